@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import regex
+
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
@@ -12,6 +14,7 @@ LOOKALIKES = {
     "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ε": "e",
 }
 _LOOKALIKE = str.maketrans(LOOKALIKES | {k.upper(): v.upper() for k, v in LOOKALIKES.items() if len(k.upper()) == 1})
+_DROPPED = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _LATIN = re.compile(r"[A-Za-z]")
 _MIXED = re.compile(r"[^\W\d_]+")
 
@@ -24,8 +27,7 @@ def fold(text: str) -> str:
     """
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if not (unicodedata.combining(c) or unicodedata.category(c) == "Cf"))
+    text = _DROPPED.sub("", unicodedata.normalize("NFKD", text))
     if text.isascii():
         return text
     return _MIXED.sub(lambda m: m[0].translate(_LOOKALIKE) if _LATIN.search(m[0]) else m[0], text)
