@@ -44,7 +44,7 @@ def query_phrases(text: Column | str) -> Column:
     """Maximal runs of words that are no stop words, each joined by blanks."""
     stop = words_array(TITLE_STOP)
     marked = F.array_join(F.transform(tokenize(text), lambda w: F.when(F.array_contains(stop, w), F.lit("|")).otherwise(w)), " ")
-    return F.filter(F.transform(F.split(marked, r"\|"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(marked, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def multifield(*parts: Column | str) -> Column:
