@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.folding import fold
-from quadrille.runtime import broadcast_if_small
+from quadrille.runtime import broadcast_if_small, spread
 
 #: Entries of one tree; a longer list is cut into shards of about this size.
 SHARD_ENTRIES = 50_000
@@ -303,7 +303,7 @@ def map_values(values: DataFrame, entries: DataFrame, shard_entries: int = SHARD
                 got = [decide(ways, *kept[0].candidates(ways)) for ways in map(readings, batch["value"])]
                 yield pd.DataFrame({"value": batch["value"], "key": [g[0] for g in got], "distance": [g[1] for g in got]})
 
-        return distinct.mapInPandas(run, _FOUND)
+        return spread(distinct).mapInPandas(run, _FOUND)
     groups = max(1, -(-distinct.count() // GROUP_VALUES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = refs.select(F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), every(groups).alias("part"), "key", "name", "code")
