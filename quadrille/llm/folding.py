@@ -15,6 +15,7 @@ LOOKALIKES = {
 }
 _LOOKALIKE = str.maketrans(LOOKALIKES | {k.upper(): v.upper() for k, v in LOOKALIKES.items() if len(k.upper()) == 1})
 _DROPPED = regex.compile(r"[\p{Mn}\p{Cf}]+")
+_ALIKE = re.compile("[" + "".join(sorted({chr(k) for k in _LOOKALIKE})) + "]")
 _LATIN = re.compile(r"[A-Za-z]")
 _MIXED = re.compile(r"[^\W\d_]+")
 
@@ -28,6 +29,6 @@ def fold(text: str) -> str:
     if text.isascii():
         return text
     text = _DROPPED.sub("", unicodedata.normalize("NFKD", text))
-    if text.isascii():
+    if text.isascii() or not _ALIKE.search(text):
         return text
     return _MIXED.sub(lambda m: m[0].translate(_LOOKALIKE) if _LATIN.search(m[0]) else m[0], text)

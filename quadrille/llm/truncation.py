@@ -16,6 +16,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ from quadrille.runtime import broadcast_if_small, materialize, release
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 5
 #: Tokens of the beginning of a unit that terminality looks at.
 PREFIX = 5
+#: The longest mark or remnant behind a cut, in characters; the first piece of a text's end that is searched for its last units.
+REMNANT, WINDOW = 512, 1024
 #: Marks a beginning that is part of a first word only.
 PART = "~"
 
@@ -47,7 +50,6 @@ _REMNANT = re.compile(
     re.IGNORECASE,
 )
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
-_TRAILING = regex.compile(r"(?:\s|\p{So}|\p{Sk}|\p{Cf}|\p{Mn})+$")
 _STOP = regex.compile(r"""[.!?。！？؟।]['"’”»)\]]*$""")
 #: Words whose full stop ends no sentence.
 _ABBREVIATED = re.compile(r"(?:^|\s)(?:prof|dr|mr|mrs|ms|mme|st|pp|fig|vs|e\.g|i\.e)\.$", re.IGNORECASE)
@@ -56,6 +58,14 @@ _CODE = re.compile(r"\b[A-Za-z]{2,6} ?\d{3}[A-Za-z]?\b")
 _DIGIT = re.compile(r"\d")
 
 
+def trimmed(text: str) -> str:
+    """Text without blanks, pictures and invisible characters at its end."""
+    at = len(text)
+    while at and ((c := text[at - 1]).isspace() or c > "\x7f" and unicodedata.category(c) in ("So", "Sk", "Cf", "Mn")):
+        at -= 1
+    return text[:at]
+
+
 def plain(text: str) -> str:
     """Text without tags and entities; a block tag ends a line."""
     if "<" in text:
@@ -67,14 +77,21 @@ def without_remnant(text: str) -> tuple[str, bool]:
     """The text up to a mark or remnant of a cut, and whether there was one."""
     text = text.rstrip()
     marked = False
-    while m := _REMNANT.search(text):
-        at = m.start()
-        if at == len(text):
-            break
+    while (at := _remnant_at(text)) >= 0:
         text, marked = text[:at].rstrip(), True
     return text, marked
 
 
+def _remnant_at(text: str) -> int:
+    """Where a mark or remnant at the end begins, or -1. An open tag may be as long as REMNANT characters."""
+    before = max(0, len(text) - REMNANT)
+    open_tag = text.rfind("<", before) > text.rfind(">", before)
+    if not (text[-1:] in "…])�" or open_tag or text.endswith("...") or "&" in text[-10:] or text[-4:].lower() == "more"):
+        return -1
+    m = _REMNANT.search(text, before)
+    return m.start() if m and m.start() < len(text) else -1
+
+
 def ends_well(text: str) -> bool:
     return bool(_STOP.search(text)) and not _ABBREVIATED.search(text[-12:])
 
@@ -94,29 +111,51 @@ def units(text: str) -> list[str]:
     return out
 
 
+def alike(text: str) -> str:
+    """Text with course codes and digits made alike."""
+    return _DIGIT.sub("9", _CODE.sub("C", text))
+
+
 def beginnings(unit: str) -> list[str]:
-    """The beginnings of a unit by 1 to PREFIX tokens; course codes and digits are made alike."""
-    tokens = _DIGIT.sub("9", _CODE.sub("C", unit)).split()
-    return [" ".join(tokens[:k]) for k in range(1, min(PREFIX, len(tokens)) + 1)]
+    """The beginnings of a unit by 1 to PREFIX tokens."""
+    tokens = unit.split(None, PREFIX)[:PREFIX]
+    return [" ".join(tokens[:k]) for k in range(1, len(tokens) + 1)]
 
 
 def tail(text: str) -> tuple[str, bool, str]:
     """(last unit without a full stop, '' if the text ends with one or is a phrase; whether a mark follows; the unit before).
 
     A text of one unit that begins with a small letter or holds none at all is a phrase, such as a logged search, unless a
-    mark follows it.
+    mark follows it. The end of the text is read in a window that grows until it holds two units before the last or is the
+    whole text, so the outcome is that of the whole text.
     """
     body, marked = without_remnant(text)
-    body = _TRAILING.sub("", plain(body))
-    while (m := _REMNANT.search(body)) and m.start() < len(body):
-        marked |= body[m.start()] != "&"
-        body = _TRAILING.sub("", body[: m.start()])
-    if not body or ends_well(body):
-        return "", marked, ""
+    size = WINDOW
+    while True:
+        piece = body[-size:]
+        if size < len(body) and "<" in piece[: REMNANT // 2]:
+            piece = piece[piece.index("<") :]
+        got = _tail(piece, marked)
+        if got is not None and (size >= len(body) or got[3] > 3):
+            return got[:3]
+        if size >= len(body):
+            return "", marked, ""
+        size *= 4
+
+
+def _tail(piece: str, marked: bool) -> tuple[str, bool, str, int] | None:
+    body = trimmed(plain(piece))
+    while (at := _remnant_at(body)) >= 0:
+        marked |= body[at] != "&"
+        body = trimmed(body[:at])
+    if not body:
+        return None
+    if ends_well(body):
+        return "", marked, "", 99
     parts = units(body)
     if not parts or not marked and len(parts) == 1 and (parts[0].lstrip()[:1].islower() or parts[0].upper() == parts[0]):
-        return "", marked, ""
-    return parts[-1], marked, parts[-2] if len(parts) > 1 else ""
+        return "", marked, "", len(parts)
+    return parts[-1], marked, parts[-2] if len(parts) > 1 else "", len(parts)
 
 
 def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,10 +164,10 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text in zip(batch["doc"], batch["text"]):
             unit, marked, before = tail(text)
             if unit:
-                begins = beginnings(unit)
+                begins = beginnings(alike(unit))
                 if len(begins) == 1:
                     begins = [PART + begins[0]]
-                rows.append((doc, marked, begins, len(unit.split()) == len(begins), xxhash.xxh3_64_intdigest(before) - (1 << 63)))
+                rows.append((doc, marked, begins, len(alike(unit).split()) == len(begins), xxhash.xxh3_64_intdigest(before) - (1 << 63)))
         yield pd.DataFrame(rows, columns=["doc", "marked", "begins", "whole", "before"])
 
 
@@ -138,9 +177,9 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stopped: Counter = Counter()
         open_: Counter = Counter()
         for text in batch["text"]:
-            parts = units(_TRAILING.sub("", plain(without_remnant(text)[0])))
+            parts = units(trimmed(alike(plain(without_remnant(text)[0]))))
             for n, u in enumerate(parts, 1):
-                if _STOP.search(_TRAILING.sub("", u)):
+                if u[-1] in ".!?" or _STOP.search(trimmed(u)):
                     stopped.update(beginnings(u))
                 elif n < len(parts):
                     open_.update(beginnings(u))
@@ -234,7 +273,7 @@ _CLEAN = re.compile(r"[\W_]+")
 def _tokens(text: str) -> list[tuple[str, bool]]:
     """(word, whether a sentence or line ends behind it)."""
     out = []
-    body = _TRAILING.sub("", plain(without_remnant(text)[0]))
+    body = trimmed(plain(without_remnant(text)[0]))
     for u in _UNITS.split(body):
         own = [w for w in (_CLEAN.sub("", fold(t).lower()) for t in _TOKEN.findall(u)) if w]
         out += [(w, False) for w in own[:-1]] + [(w, True) for w in own[-1:]]
@@ -254,7 +293,7 @@ def ends_early(text: str, other: str) -> bool:
     if stop_a == len(a):
         if stop_b == len(b) or b[stop_b - 1][1]:
             return False
-        return not ends_well(_TRAILING.sub("", plain(without_remnant(text)[0])))
+        return not ends_well(trimmed(plain(without_remnant(text)[0])))
     if stop_a == len(a) - 1 and stop_b < len(b):
         x, y = a[-1][0], b[stop_b][0]
         return len(x) < len(y) and y.startswith(x)
