@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its row count times its width is proven to be below this.
@@ -33,6 +33,13 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def materialize_counted(df: DataFrame, tag: str, *metrics) -> tuple[DataFrame, dict]:
+    """``materialize`` with aggregates that are observed while the table is written, so they cost no job of their own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *metrics), tag)
+    return out, seen.get
+
+
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -41,6 +48,9 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_written)
+    _written.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quadrille_path = path
@@ -54,10 +64,22 @@ def release(*frames: DataFrame | None) -> None:
         if path is None:
             continue
         with contextlib.suppress(Exception):
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remove_written() -> None:
+    """Remove every table that ``materialize`` wrote; runs by itself when Python ends, and may be called between jobs."""
+    while _written:
+        with contextlib.suppress(Exception):
+            _delete(*_written.pop())
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -70,6 +92,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """df as it is where its scan already fills the cores, as on any large input; a small file is dealt out to all of them.
+
+    For narrow steps that cost far more than their bytes. df must be a plain scan with projections and filters.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as the session shuffles into or has cores, before a step that costs far more than its bytes."""
     spark = df.sparkSession
