@@ -1,8 +1,9 @@
 """Deeply nested JSON records to flat related rows.
 
-Cells are parsed to VARIANT values in the JVM. A first pass infers the merged schema of all cells and reads the depth of
-nesting from it; then each array level is exploded in one narrow plan, every element keeping the key of its parent and its
-ordinal. A cell may hide JSON in a text, which the schema doesn't show, so the plan is deepened until nothing is left.
+Cells are parsed once to VARIANT values in the JVM. One aggregate infers the merged schema of each column's records, which
+tells the arrays at its top; these are exploded, and then level by level the arrays nested in the elements, each element
+keeping the key of its parent and its ordinal. Every level is a narrow pass over the elements of the level above, written
+once, so no part is parsed or expanded twice; it ends with the first empty level, whatever the depth.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.codes import normalize_code
+from quadrille.runtime import materialize, release
 
 #: The arrays that a record may hold at its top.
 TOP_ARRAYS = ("groups", "courses", "program_requirements", "program_restrictions")
@@ -41,12 +43,6 @@ def _unwrap(v: Column) -> Column:
     return F.when(text.isNotNull(), F.try_parse_json(text)).otherwise(v)
 
 
-def as_elements(v: Column) -> Column:
-    """The elements of an array, of a single object, or of the JSON text of either; null for anything else."""
-    u = _unwrap(v)
-    return F.coalesce(_array(u), F.when(_object(u).isNotNull(), F.array(u)))
-
-
 def parse_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, column, v): one parsed row per valid non-null cell of distinct rows."""
     wide = df.select(F.col(key).alias("key"), *columns).distinct()
@@ -56,56 +52,52 @@ def parse_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def merged_schema(cells: DataFrame) -> dict[str, str]:
-    """The merged schema of each column's cells, as DDL text; one aggregate, one row per column."""
-    rows = cells.groupBy("column").agg(F.schema_of_variant_agg("v").alias("s")).collect()
+    """The merged schema of each column's records (cells that are objects), as DDL text; one aggregate, one row per column."""
+    records = cells.where(_object(F.col("v")).isNotNull())
+    rows = records.groupBy("column").agg(F.schema_of_variant_agg("v").alias("s")).collect()
     return {r["column"]: r["s"] for r in rows}
 
 
-def nesting(schema: str, array: str = CHILD_ARRAY) -> int:
-    """How deep the array nests within itself in a schema text."""
-    depth = most = 0
-    opened: list[bool] = []
-    for token in re.finditer(r"`?(\w+)`?\s*:\s*ARRAY<|<|>", schema):
-        if token.group() == ">":
-            if opened and opened.pop():
-                depth -= 1
-        else:
-            own = token.group(1) == array
-            opened.append(own)
-            depth += own
-            most = max(most, depth)
-    return most
+def top_names(schema: str) -> list[str]:
+    """The arrays that the merged schema has at its top."""
+    depth, names = 0, []
+    for token in re.finditer(r"`?(\w+)`?\s*:|<|>", schema):
+        if token.group() == "<":
+            depth += 1
+        elif token.group() == ">":
+            depth -= 1
+        elif depth == 1 and token.group(1) in TOP_ARRAYS:
+            names.append(token.group(1))
+    return names
+
+
+def _present(v: str) -> Column:
+    return F.col(v).isNotNull() & ~F.is_variant_null(F.col(v))
 
 
-def top_elements(cells: DataFrame) -> DataFrame:
+def top_elements(cells: DataFrame, schemas: dict[str, str]) -> DataFrame:
     """(key, section, ordinals, v): each non-null element of the arrays at the top of a cell."""
     v = F.col("v")
-    as_groups = F.struct(F.lit(TOP_ARRAYS[0]).alias("name"), _array(v).alias("items"))
-    named = [F.struct(F.lit(n).alias("name"), as_elements(F.try_variant_get(v, f"$.{n}", "variant")).alias("items")) for n in TOP_ARRAYS]
-    sections = F.when(_array(v).isNotNull(), F.array(as_groups)).otherwise(F.array(*named))
-    rows = cells.select("key", "column", F.explode(sections).alias("s")).where(F.col("s.items").isNotNull())
-    rows = rows.select("key", F.concat_ws(".", "column", "s.name").alias("section"), F.posexplode("s.items").alias("i", "v"))
+    found = {n for s in schemas.values() for n in top_names(s)}
+    whole = F.struct(F.lit(TOP_ARRAYS[0]).alias("name"), F.when(_array(v).isNotNull(), v).alias("a"))
+    parts = [F.struct(F.lit(n).alias("name"), F.try_variant_get(v, f"$.{n}", "variant").alias("a")) for n in TOP_ARRAYS if n in found]
+    arrays = cells.select("key", "column", F.explode(F.array(whole, *parts)).alias("s")).where(F.col("s.a").isNotNull())
+    arrays = arrays.select("key", F.concat_ws(".", "column", "s.name").alias("section"), _unwrap(F.col("s.a")).alias("u"))
+    rows = arrays.select("key", "section", F.posexplode(_items("u")).alias("i", "v"))
     return rows.where(_present("v")).select("key", "section", F.array("i").alias("ordinals"), "v")
 
 
-def _present(v: str) -> Column:
-    return F.col(v).isNotNull() & ~F.is_variant_null(F.col(v))
-
+def _items(u: str) -> Column:
+    """The elements of an unwrapped array or object; null for anything else."""
+    return F.coalesce(_array(F.col(u)), F.when(_object(F.col(u)).isNotNull(), F.array(u)))
 
-def _children(v: Column) -> Column:
-    return as_elements(F.try_variant_get(v, f"$.{CHILD_ARRAY}", "variant"))
 
-
-def _expand(nodes: DataFrame) -> DataFrame:
-    """One level deeper: a node not yet opened becomes itself, opened, and its children."""
-    below = F.transform(
-        F.coalesce(_children(F.col("v")), F.expr("array()").cast("array<variant>")),
-        lambda x, i: F.struct(F.concat(F.col("ordinals"), F.array(i)).alias("ordinals"), x.alias("v"), F.lit(False).alias("opened")),
-    )
-    self_ = F.array(F.struct("ordinals", "v", F.lit(True).alias("opened")))
-    rows = F.when(F.col("opened"), self_).otherwise(F.concat(self_, below))
-    out = nodes.select("key", "section", F.explode(rows).alias("n")).select("key", "section", "n.ordinals", "n.v", "n.opened")
-    return out.where(_present("v"))
+def _level_below(nodes: DataFrame) -> DataFrame:
+    """The non-null elements of the arrays nested in nodes."""
+    held = nodes.select("key", "section", "ordinals", F.try_variant_get("v", f"$.{CHILD_ARRAY}", "variant").alias("c")).where(_present("c"))
+    held = held.select("key", "section", "ordinals", _unwrap(F.col("c")).alias("u"))
+    rows = held.select("key", "section", "ordinals", F.posexplode(_items("u")).alias("i", "v")).where(_present("v"))
+    return rows.select("key", "section", F.concat("ordinals", F.array("i")).alias("ordinals"), "v")
 
 
 def flatten_records(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -114,14 +106,14 @@ def flatten_records(df: DataFrame, key: str, columns: Sequence[str]) -> DataFram
     A record's null, blank or invalid cells give no rows, nor do empty arrays; null elements keep their position but give
     no row; equal rows of df count once; columns not named are ignored.
     """
-    cells = parse_cells(df, key, columns)
-    depth = max([nesting(s) for s in merged_schema(cells).values()], default=0) + 1
-    nodes = top_elements(cells).withColumn("opened", F.lit(False))
-    for _ in range(depth):
-        nodes = _expand(nodes)
-    while not nodes.where(~F.col("opened") & _children(F.col("v")).isNotNull()).isEmpty():
-        nodes = _expand(nodes)
-    return nodes.drop("opened")
+    cells = materialize(parse_cells(df, key, columns), "cells")
+    level = materialize(top_elements(cells, merged_schema(cells)), "level")
+    release(cells)
+    nodes = level
+    while not level.isEmpty():
+        level = materialize(_level_below(level), "level")
+        nodes = nodes.unionByName(level)
+    return nodes
 
 
 def node_columns(nodes: DataFrame) -> DataFrame:
