@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators import hierarchy
-from quadrille.runtime import materialize, release
+from quadrille.runtime import materialize, materialize_counted, release
 
 
 def outdegree(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,12 @@ def condensed(edges: DataFrame, cycles: DataFrame) -> DataFrame:
 
 def longest_depth(edges: DataFrame) -> DataFrame:
     """(node, depth): length of the longest chain of ancestors in an acyclic graph, by doubling in max-plus algebra."""
-    known = materialize(edges.select(F.col("p").alias("u"), F.col("c").alias("v"), F.lit(1).alias("d")), "depth")
-    before = None
+    step = edges.select(F.col("p").alias("u"), F.col("c").alias("v"), F.lit(1).alias("d"))
+    known, before = materialize_counted(step, "depth", *hierarchy.state_of_round())
     while True:
         r = known.select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("d").alias("e"))
         longer = known.join(r, F.col("v") == F.col("m")).select("u", F.col("w").alias("v"), (F.col("d") + F.col("e")).alias("d"))
-        now = materialize(known.unionByName(longer).groupBy("u", "v").agg(F.max("d").alias("d")), "depth")
-        state = now.agg(F.count("*"), F.sum("d")).first()
+        now, state = materialize_counted(known.unionByName(longer).groupBy("u", "v").agg(F.max("d").alias("d")), "depth", *hierarchy.state_of_round())
         release(known)
         known = now
         if state == before:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import as_col
 from quadrille.functions.codes import normalize_code
-from quadrille.runtime import materialize, release
+from quadrille.runtime import materialize, materialize_counted, release
 
 #: One node in so many is a splitter.
 SPLIT_ONE_IN = 2
@@ -55,15 +55,17 @@ def _chain(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(r, left["v"] == r["m"]).select("u", F.col("w").alias("v"), (F.col("d") + F.col("e")).alias("d"))
 
 
+def state_of_round():
+    """What tells one round from the next: the number of pairs and the sum of their lengths."""
+    return F.count(F.lit(1)).alias("n"), F.sum("d").alias("d")
+
+
 def _close(step: DataFrame, through=None) -> DataFrame:
     """Min-plus closure by doubling; only nodes that pass ``through`` may stand between two steps."""
-    known, before = materialize(step, "close"), None
+    known, before = materialize_counted(step, "close", *state_of_round())
     while True:
         first = known if through is None else known.where(through(F.col("v")))
-        now = materialize(_shortest(known, _chain(first, known)), "close")
-        state = now.agg(F.count("*"), F.sum("d")).first()
-        if before is None:
-            before = known.agg(F.count("*"), F.sum("d")).first()
+        now, state = materialize_counted(_shortest(known, _chain(first, known)), "close", *state_of_round())
         release(known)
         known = now
         if state == before:
