@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.codes import normalize_code
+from quadrille.runtime import materialize
 
 
 def references(prereqs: DataFrame, antireqs: DataFrame, filters: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def orphan_references(prereqs: DataFrame, antireqs: DataFrame, filters: DataFram
     A reference without a time finds no course alive, so it is an orphan unless its code is shared. Null and blank
     references are none. With an empty courses table every reference to a code that is not shared is an orphan.
     """
-    refs = references(prereqs, antireqs, filters)
+    refs = materialize(references(prereqs, antireqs, filters), "references")
     shared = core.select(normalize_code("course_code").alias("code")).where(F.col("code") != "").distinct()
     open_ = refs.join(shared, "code", "left_anti")
     lives = courses.select(normalize_code("course_code").alias("code"), F.col("added_at").alias("born"), F.col("deleted_at").alias("died"))
