@@ -15,6 +15,7 @@ from quadrille.functions import text as T
 from quadrille.functions.words import ENGINEERING, PROGRAM_SUBJECTS
 from quadrille.operators import catalog as K
 from quadrille.operators import retrieval as V
+from quadrille.runtime import materialize
 
 #: The default weights.
 WEIGHTS = {
@@ -86,8 +87,10 @@ class Engine:
     def __init__(self, catalog: DataFrame, weights: DataFrame | None = None, scorer: Callable[[Column, Column], Column] = lexical_scorer):
         self.spark = catalog.sparkSession
         base = catalog.join(weights, "code", "left") if weights is not None else catalog.withColumn("global_weight", F.lit(0.0))
-        self.catalog = base.withColumn("global_weight", F.coalesce("global_weight", F.lit(0.0))).withColumn("body", T.multifield("code", "title", "description"))
+        full = base.withColumn("global_weight", F.coalesce("global_weight", F.lit(0.0))).withColumn("body", T.multifield("code", "title", "description"))
+        self.catalog = materialize(full, "catalog")
         self.scorer = scorer
+        self._postings: DataFrame | None = None
         self.methods: dict[str, Callable[[str, dict, Filters, int], DataFrame]] = {
             "bm25": lambda q, w, f, k: self._top(self._bm25(q).withColumnRenamed("bm25", "base"), w, f, k),
             "keyword_overlap": lambda q, w, f, k: self._top(self._overlap(q).withColumnRenamed("ko", "base"), w, f, k, plain=True),
@@ -165,8 +168,10 @@ class Engine:
         return self.spark.range(1).select(F.lit(q).alias("text"), F.lit(0).alias("q"))
 
     def _bm25(self, q: str) -> DataFrame:
-        tf = V.term_frequencies(self.catalog, "code", "body")
-        return V.bm25(V.query_terms(self._query(q), "q", "text"), tf, V.corpus_size(self.catalog, "body"))
+        if self._postings is None:
+            self._postings = materialize(V.term_frequencies(self.catalog, "code", "body"), "postings")
+        tf = self._postings
+        return V.bm25(V.query_terms(self._query(q), "q", "text"), tf, V.corpus_size(self.catalog, tf))
 
     def _overlap(self, q: str) -> DataFrame:
         kw = F.array_distinct(T.keywords(F.lit(q)))
@@ -179,8 +184,7 @@ class Engine:
         """Ranks are over the whole catalog; the filters cut only afterwards."""
         h = w["hybrid"]
         o = self._overlap(q)
-        win = lambda c: Window.partitionBy("q").orderBy(F.desc(F.round(c, 9)), "doc")
-        lists = [(self._bm25(q).withColumn("rank", F.row_number().over(win("bm25"))), h["rrf_weight_lexical"]), (o.withColumn("rank", F.row_number().over(win("ko"))), h["rrf_weight_dense"])]
+        lists = [(V.corpus_rank(self._bm25(q), "bm25"), h["rrf_weight_lexical"]), (V.corpus_rank(o, "ko"), h["rrf_weight_dense"])]
         fusion = V.rrf(lists, h["rrf_k"]).join(self._eligible(f).withColumnRenamed("code", "doc"), "doc", "left_semi")
         kept = fusion.join(o, ["q", "doc"], "left").withColumn("retrieval", F.coalesce("ko", F.lit(0.0))).drop("ko")
         return V.top(kept.withColumn("r", F.round("rrf", 9)), "r", int(h["retrieval_k"])).drop("r")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import text as T
-from quadrille.runtime import broadcast_if_small, materialize
+from quadrille.runtime import balanced, broadcast_if_small, materialize
 
 #: BM25 parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -29,7 +29,7 @@ BLOCK_QUERIES = 2048
 
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, tok, tf, len): tokens of each document with its length; documents without tokens give no rows."""
-    words = docs.select(F.col(key).alias("doc"), T.tokenize(text).alias("w"))
+    words = balanced(docs.select(F.col(key).alias("doc"), F.col(text).alias("t"))).select("doc", T.tokenize("t").alias("w"))
     long = words.select("doc", F.size("w").alias("len"), F.explode("w").alias("tok"))
     return long.groupBy("doc", "len", "tok").agg(F.count("*").alias("tf"))
 
@@ -55,8 +55,29 @@ def bm25(queries: DataFrame, tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     return tf.join(broadcast_if_small(asked, 64), "tok").join(stats).groupBy("q", "doc").agg(F.sum(part).alias("bm25"))
 
 
-def corpus_size(docs: DataFrame, text: str) -> DataFrame:
-    return docs.agg(F.count("*").alias("n"), F.sum(F.size(T.tokenize(text))).alias("total"))
+def corpus_size(docs: DataFrame, tf: DataFrame) -> DataFrame:
+    """(n, total): the number of documents, those without tokens included, and of tokens."""
+    return docs.agg(F.count("*").alias("n")).join(tf.agg(F.sum("tf").alias("total")))
+
+
+def corpus_rank(scored: DataFrame, score: str) -> DataFrame:
+    """scored (q, doc, score) with rank from 1 over all documents of a query, ties by doc.
+
+    No query's list is sorted in one task: rows are range partitioned by query, score and doc, numbered within their
+    partition, and moved on by the rows of the query in the partitions before, of which there is one count per partition.
+    """
+    spark = scored.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    key = F.round(score, 9)
+    dealt = scored.repartitionByRange(parts, "q", F.desc(key), "doc").withColumn("part", F.spark_partition_id())
+    kept = materialize(dealt, "ranked")
+    sizes = kept.groupBy("q", "part").agg(F.count("*").alias("c"))
+    earlier = F.coalesce(F.sum("c").over(Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("q").alias("oq"), F.col("part").alias("op"), earlier.alias("before"))
+    own = F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc(key), "doc"))
+    numbered = kept.withColumn("own", own)
+    out = numbered.join(broadcast_if_small(offsets, 32), (F.col("q") == F.col("oq")) & (F.col("part") == F.col("op")))
+    return out.withColumn("rank", (F.col("own") + F.col("before")).cast("int")).drop("oq", "op", "part", "own", "before")
 
 
 def title_boost(query: Column | str, title: Column | str) -> Column:

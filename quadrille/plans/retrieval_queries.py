@@ -10,7 +10,7 @@ from quadrille.functions.words import KEYWORD_STOP, TITLE_STOP
 from quadrille.operators import evaluation as E
 from quadrille.operators import retrieval as V
 from quadrille.plans.registry import Registry, sql_list
-from quadrille.runtime import broadcast_if_small, table
+from quadrille.runtime import balanced, broadcast_if_small, materialize, table
 
 R = Registry()
 K = 20
@@ -43,14 +43,16 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25(spark, d):
     docs = table(spark, d, "documents")
-    tf = V.term_frequencies(docs, "doc_id", "text")
-    return V.bm25(V.query_terms(_queries(spark, d), "item_id", "text"), tf, V.corpus_size(docs, "text"))
+    tf = materialize(V.term_frequencies(docs, "doc_id", "text"), "postings")
+    return V.bm25(V.query_terms(_queries(spark, d), "item_id", "text"), tf, V.corpus_size(docs, tf))
 
 
 def _ranked(df: DataFrame, score: str, k: int | None = K) -> DataFrame:
+    """With a cut every partition keeps its own best k first; ranks over all documents are numbered by ranges."""
+    if k is None:
+        return V.corpus_rank(df, score)
     w = Window.partitionBy("q").orderBy(F.desc(F.round(score, 9)), "doc")
-    out = df.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @R.query(f"WITH {_BM25} SELECT q, doc, rank, round(bm25, 5) AS bm25 FROM bmr WHERE rank <= {K}")
@@ -65,7 +67,7 @@ def _title():
 def _overlap(spark, d):
     """Query words are few and sent along; each document is scored in place, no document is shuffled."""
     q = _queries(spark, d).select(F.col("item_id").alias("q"), F.array_distinct(T.keywords("text")).alias("kw"))
-    docs = table(spark, d, "documents").select(
+    docs = balanced(table(spark, d, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("doc"), F.array_distinct(T.keywords(_title())).alias("kt"), F.array_distinct(T.keywords("text")).alias("kb")
     )
     both = docs.join(broadcast_if_small(q, 4096))
