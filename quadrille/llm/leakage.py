@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.folding import fold
+from quadrille.runtime import balanced
 
 #: Words of a seed; least words of a passage; least words of a passage with edits; words per edit; half width of the band.
 SEED, MIN_WORDS, MIN_EDITED, ALLOWED, BAND = 6, 15, 20, 9, 10
@@ -171,7 +172,7 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
             held = 0
         blocks[-1].append((r["k"], r["t"]))
         held += len(r["t"])
-    texts = docs.select(F.col(doc_key).cast("bigint").alias("doc"), F.col(doc_text).alias("text")).where(F.length("text") > 0)
+    texts = balanced(docs.select(F.col(doc_key).cast("bigint").alias("doc"), F.col(doc_text).alias("text")).where(F.length("text") > 0))
     out = None
     for block in blocks:
         sent = docs.sparkSession.sparkContext.broadcast(block)

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.runtime import balanced
+
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
@@ -66,7 +68,7 @@ def encode_table(docs: DataFrame, key: str, text: str, vocabulary: str = "byte_b
     Null and empty texts have an empty list; each row of docs gives one row, in its own batch, and other columns are
     ignored. Texts longer than a chunk are cut, encoded in parallel and put together again by their key.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = balanced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     size = F.coalesce(F.length("text"), F.lit(0))
     encode = _encoder(vocabulary, folder)
     short = rows.where(size <= chunk).mapInPandas(encode, "key bigint, ids array<int>")

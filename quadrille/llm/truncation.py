@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.folding import fold
-from quadrille.runtime import broadcast_if_small, materialize, release
+from quadrille.runtime import balanced, broadcast_if_small, materialize, release
 
 #: Words of a shingle, least similarity of a copy, bands and rows of the min-hash.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 5
@@ -36,6 +36,8 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 5
 PREFIX = 5
 #: The longest mark or remnant behind a cut, in characters; the first piece of a text's end that is searched for its last units.
 REMNANT, WINDOW = 512, 1024
+#: So many ends of texts alone don't show how units with a beginning close; a shorter beginning is asked then.
+FEW_ENDS = 3
 #: Marks a beginning that is part of a first word only.
 PART = "~"
 
@@ -217,10 +219,10 @@ def cut_by_terminality(texts: DataFrame) -> DataFrame:
         .groupBy("begin")
         .agg(F.sum("stopped").alias("stopped"), F.sum("open").alias("open"))
     )
-    known = wanted.join(known, "begin", "left").select(
-        "begin", F.coalesce("stopped", F.lit(0)).alias("stopped"), (F.coalesce("open", F.lit(0)) + F.col("ends") - 1).alias("open")
-    )
-    known = materialize(known.where(F.col("stopped") + F.col("open") > 0), "known")
+    inner = F.coalesce("open", F.lit(0))
+    stopped = F.coalesce("stopped", F.lit(0))
+    known = wanted.join(known, "begin", "left").where((stopped + inner > 0) | (F.col("ends") > FEW_ENDS))
+    known = materialize(known.select("begin", stopped.alias("stopped"), (inner + F.col("ends") - 1).alias("open")), "known")
     last = F.col("whole") & (F.col("k") == F.size("begins") - 1) & (F.size("begins") > 1)
     found = asked.select("begins", "whole", "k", "begin").distinct().join(broadcast_if_small(known, 100), "begin")
     found = found.where(~last | (F.col("stopped") > 0))
@@ -316,15 +318,15 @@ def copy_links(texts: DataFrame, signatures: DataFrame) -> DataFrame:
     crowd = members.groupBy("band", "hash").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
     left = materialize(members.join(crowd, ["band", "hash"], "left_semi"), "members")
     links, tested = None, None
-    while True:
+    while not left.isEmpty():
         centers = left.groupBy("band", "hash").agg(F.max(F.struct("n", F.col("doc").alias("center"))).alias("m"), F.count("*").alias("c"))
         centers = centers.where(F.col("c") > 1).select("band", "hash", F.col("m.center").alias("center"))
         held = materialize(left.join(centers, ["band", "hash"]).where(F.col("doc") != F.col("center")), "held")
-        pairs = held.select("doc", "center").distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["doc", "center"], "left_anti"), "pairs")
         if held.isEmpty():
-            release(held, left)
+            release(held)
             break
+        pairs = held.select("doc", "center").distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["doc", "center"], "left_anti"), "pairs")
         ids = pairs.select("doc").union(pairs.select("center")).distinct()
         some = texts.join(broadcast_if_small(ids, 16), "doc", "left_semi")
         full = pairs.join(some, "doc").join(some.select(F.col("doc").alias("center"), F.col("text").alias("other")), "center")
@@ -357,6 +359,7 @@ def find_cut(docs: DataFrame, key: str, text: str) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}]"))
+    texts = balanced(texts)
     both = cut_by_terminality(texts).unionByName(cut_by_copies(texts)).distinct()
     return both.withColumnRenamed("doc", key)
 
