@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import codes as C
@@ -15,6 +15,7 @@ from quadrille.functions import text as T
 from quadrille.functions.words import ENGINEERING, PROGRAM_SUBJECTS
 from quadrille.operators import catalog as K
 from quadrille.operators import retrieval as V
+from quadrille.operators import transcripts
 from quadrille.runtime import materialize
 
 #: The default weights.
@@ -64,6 +65,25 @@ def route(query: str) -> str:
     return "number" if re.search(r"\d{3,}", q) else "search"
 
 
+def resume_query(analysis: dict) -> str:
+    """The search text of an analysed resume: its subfields, domains and fields; ValueError if a section is missing."""
+    missing = [k for k in ("core_interests", "learning_patterns", "suggested_directions") if k not in analysis]
+    if missing:
+        raise ValueError(f"missing sections: {', '.join(missing)}")
+    parts = [*(analysis["core_interests"].get("subfields") or []), *(analysis["learning_patterns"].get("preferred_domains") or [])]
+    parts += [d.get("field") for d in analysis["suggested_directions"] or [] if isinstance(d, dict)]
+    return " ".join(p.strip() for p in parts if isinstance(p, str) and p.strip())
+
+
+def parse_transcript(spark: SparkSession, text: str) -> dict:
+    """One transcript's student, program, terms, completed courses and last term; ValueError if it can't be read."""
+    row = transcripts.parse_transcripts(spark.createDataFrame([(1, text)], "id bigint, t string"), "id", "t").first()
+    if row["terms"] is None:
+        raise ValueError("no student number, program, or terms and levels that match")
+    terms = [t.asDict() for t in row["terms"]]
+    return {"student_number": row["student"], "program_name": row["program"], "terms": terms, "completed": [c for t in terms for c in t["courses"]], "latest": max((t["term_id"] for t in terms), default=None)}
+
+
 @dataclass
 class Filters:
     include_undergrad: bool = True

@@ -95,3 +95,15 @@ def course_lists(text: Column | str) -> Column:
         return F.struct(what.alias("description"), F.coalesce(n, F.size(codes)).alias("required"), codes.alias("courses"))
 
     return F.filter(F.zip_with(heads, bodies, section), lambda s: F.size(s["courses"]) > 0)
+
+
+def expand_codes(text: Column | str) -> Column:
+    """All codes of a text in order, 'STAT 230/240' as STAT230 and STAT240, 'CS/SE 350' as CS350 and SE350."""
+    found = F.regexp_extract_all(as_col(text), F.lit(r"\b([A-Z]{2,6}(?:/[A-Z]{2,6})*\s*\d{3}[A-Z]?(?:\s*/\s*\d{3}[A-Z]?\b)*)"), F.lit(1))
+
+    def each(m: Column) -> Column:
+        subjects = F.split(F.regexp_extract(m, r"^([A-Z/]+)", 1), "/")
+        numbers = F.split(F.regexp_replace(m, r"^[A-Z/]+\s*", ""), r"\s*/\s*")
+        return F.flatten(F.transform(subjects, lambda s: F.transform(numbers, lambda n: C.normalize_code(F.concat(s, n)))))
+
+    return F.flatten(F.transform(found, each))

@@ -273,6 +273,36 @@ def requirement_text(spark, d):
     return texts.select(F.col("key").alias("dep_id"), F.expr("array_join(p.part, '; ')").alias("text"))
 
 
+@R.query()
+def legacy_eligibility(spark, d):
+    """The older rule over flattened rows: all AND rows of a record, and one of all its OR rows taken as a single group."""
+    nodes, roots = _tree(spark, d)
+    op = nodes.where(F.col("kind") == "prerequisite_group").select("key", F.col("node_path").alias("up"), F.coalesce("operator", F.lit("OR")).alias("up_op"))
+    leaf = nodes.where(F.col("code") != "").select("key", "code", F.coalesce("parent_path", F.lit("")).alias("up"))
+    named = leaf.join(op, ["key", "up"], "left").join(roots, "key").select("key", "code", F.coalesce("up_op", "operator", F.lit("AND")).alias("op"))
+    done = _done(spark, d).withColumn("done", F.lit(1))
+    sums = named.join(done, "code", "left").groupBy("key").agg(
+        F.count_if((F.col("op") == "AND") & F.col("done").isNull()).alias("lost"),
+        F.count_if(F.col("op") == "OR").alias("choices"),
+        F.count_if((F.col("op") == "OR") & F.col("done").isNotNull()).alias("chosen"),
+    )
+    ok = (F.col("lost") == 0) & ((F.col("choices") == 0) | (F.col("chosen") > 0))
+    return roots.join(sums, "key", "left").select(F.col("key").alias("dep_id"), F.coalesce(ok, F.lit(True)).alias("eligible"))
+
+
+@R.query()
+def restriction_text(spark, d):
+    """Per record the antirequisite codes as 'A, B' and the closed programs as 'Not open to X, Y students'."""
+    nodes = nested.node_columns(nested.flatten_records(table(spark, d, "course_dependencies"), "dep_id", ("antirequisites",)))
+    part = F.when(F.col("section").endswith(".courses"), F.when(F.col("code") != "", F.col("code")))
+    named = F.when(F.col("section").endswith(".program_restrictions"), F.col("program_name"))
+    rows = nodes.where(F.col("parent_path").isNull()).select("key", "ordinal", part.alias("c"), named.alias("p"))
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ordinal", c)))), lambda x: x[c]), ", ")
+    texts = rows.groupBy("key").agg(in_order("c").alias("courses"), in_order("p").alias("programs"))
+    closed = F.when(F.col("programs") != "", F.concat(F.lit("Not open to "), F.col("programs"), F.lit(" students")))
+    return texts.select(F.col("key").alias("dep_id"), F.nullif("courses", F.lit("")).alias("courses"), closed.alias("programs"))
+
+
 @R.query(f"""WITH {_CAT}, u AS (SELECT code FROM cat WHERE number < 600), g AS (SELECT code FROM cat WHERE dept = 'TIDE'),
 m AS (SELECT *, 'union' AS op FROM (SELECT code FROM u UNION SELECT code FROM g) UNION ALL SELECT *, 'intersect' FROM (SELECT code FROM u INTERSECT SELECT code FROM g)
   UNION ALL SELECT *, 'except' FROM (SELECT code FROM u EXCEPT SELECT code FROM g)) SELECT op, count(*) AS n, min(code) AS first FROM m GROUP BY op""")

@@ -88,4 +88,25 @@ def event_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@R.query("""SELECT row_id, ['CS' || n, 'SE' || n, 'MSE331', 'MSE' || n] AS codes FROM (SELECT row_id, regexp_extract(course_code, '([0-9]{3})', 1) AS n FROM courses) WHERE n <> ''""")
+def code_expansion(spark, d):
+    n = F.regexp_extract("course_code", r"([0-9]{3})", 1)
+    t = table(spark, d, "courses").select("row_id", n.alias("n")).where(F.col("n") != "")
+    text = F.concat(F.lit("One of CS/SE "), F.col("n"), F.lit("; or MSCI 331/"), F.col("n"), F.lit(" with 60%"))
+    return t.select("row_id", P.expand_codes(text).alias("codes"))
+
+
+@R.query("""SELECT program_id, program_name FROM programs WHERE contains(lower(program_name), 'eco') AND program_name NOT IN (SELECT unnest(option_names) FROM recommend_filters WHERE user_id = 1 AND option_names IS NOT NULL)""")
+def program_search(spark, d):
+    """Programs whose name holds what was typed and that the user has not chosen."""
+    chosen = table(spark, d, "recommend_filters").where(F.col("user_id") == 1).select(F.explode("option_names").alias("program_name"))
+    return table(spark, d, "programs").where(F.lower("program_name").contains("eco")).join(chosen, "program_name", "left_anti").select("program_id", "program_name")
+
+
+@R.query("""SELECT source, count(*) FILTER (len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) >= 50) AS long_enough, count(*) AS n FROM documents GROUP BY source""")
+def long_enough(spark, d):
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\r\n]+"))
+    return table(spark, d, "documents").groupBy("source").agg(F.count_if(words >= 50).alias("long_enough"), F.count("*").alias("n"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

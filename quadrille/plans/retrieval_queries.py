@@ -340,4 +340,14 @@ def model_sweep(spark, d):
     return t.join(F.broadcast(b)).select("event_type", F.round(gain, 6).alias("gain"), ((F.col("p95") <= 2 * F.col("bp")) & (gain >= 0.01)).alias("eligible"))
 
 
+@R.query(f"""WITH {_EVAL}, hit AS (SELECT method, q, min(CASE WHEN grade > 0 THEN rank END) AS first_hit, list_sort(list(doc) FILTER (grade > 0 AND rank <= 10)) AS got FROM lists LEFT JOIN rel USING (q, doc) GROUP BY 1, 2),
+pos AS (SELECT q, list_sort(list(doc)) AS docs FROM rel GROUP BY q) SELECT method, q, first_hit::INTEGER AS first_hit, list_sort(list_filter(docs, lambda x: NOT list_contains(coalesce(got, []), x))) AS missed FROM hit JOIN pos USING (q)""")
+def diagnostics(spark, d):
+    """The first relevant rank and the relevant documents that the first ten miss."""
+    g = E.graded(_lists(spark, d), _qrels(spark, d))
+    hit = g.groupBy("method", "q").agg(F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first_hit"), F.collect_list(F.when((F.col("grade") > 0) & (F.col("rank") <= 10), F.col("doc"))).alias("got"))
+    pos = _qrels(spark, d).groupBy("q").agg(F.collect_list("doc").alias("docs"))
+    return hit.join(pos, "q").select("method", "q", "first_hit", F.array_sort(F.array_except("docs", "got")).alias("missed"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from quadrille.api import Engine, Filters, candidate_grid, merge_weights, route
+from quadrille.api import Engine, Filters, candidate_grid, merge_weights, parse_transcript, resume_query, route
 
 ROWS = [
     ("TIDE100", "Tidal Systems", "Tides, waves and the tables of both.", 0.5),
@@ -70,3 +70,14 @@ def test_weights():
     assert w["ranking"]["alpha"] == 1.0 and w["ranking"]["phrase_title_boost"] == 0.3 and "other" not in w
     grid = candidate_grid()
     assert grid == candidate_grid() and len(grid) > 50
+
+
+def test_resume_and_transcript(spark):
+    analysis = {"core_interests": {"subfields": ["a ", None]}, "learning_patterns": {"preferred_domains": ["b"]}, "suggested_directions": [{"field": "c"}, {}]}
+    assert resume_query(analysis) == "a b c"
+    with pytest.raises(ValueError):
+        resume_query({"core_interests": {}})
+    got = parse_transcript(spark, "Student ID: 5\nProgram: Maths, H\nFall 2019\nLevel: 1A\nCS 135  Design 0.50 0.50 90\n")
+    assert got["completed"] == ["CS135"] and got["latest"] == 1199
+    with pytest.raises(ValueError):
+        parse_transcript(spark, "nothing")
