@@ -336,7 +336,7 @@ def similar_post_filter(spark, d):
 
 
 @R.query(f"""WITH e AS (SELECT {_NORM.format('course_code')} AS code, prereqs, coreqs, antireqs FROM courses)
-SELECT count(*) AS records, count_if(trim(coalesce(prereqs, '')) <> '') AS with_prereqs, count_if(trim(coalesce(coreqs, '')) <> '') AS with_coreqs, count_if(trim(coalesce(antireqs, '')) <> '') AS with_antireqs, count(DISTINCT code) AS codes FROM e""")
+SELECT count(*) AS records, count(*) FILTER (trim(coalesce(prereqs, '')) <> '') AS with_prereqs, count(*) FILTER (trim(coalesce(coreqs, '')) <> '') AS with_coreqs, count(*) FILTER (trim(coalesce(antireqs, '')) <> '') AS with_antireqs, count(DISTINCT code) AS codes FROM e""")
 def dependency_stats(spark, d):
     full = lambda c: F.count_if(F.trim(F.coalesce(c, F.lit(""))) != "").alias(f"with_{c}")
     t = table(spark, d, "courses").withColumn("code", C.normalize_code("course_code"))

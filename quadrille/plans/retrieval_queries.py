@@ -55,7 +55,7 @@ def _ranked(df: DataFrame, score: str, k: int | None = K) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-@R.query(f"WITH {_BM25} SELECT q, doc, rank, round(bm25, 5) AS bm25 FROM bmr WHERE rank <= {K}")
+@R.query(f"WITH {_BM25} SELECT q, doc, rank::INTEGER AS rank, round(bm25, 5) AS bm25 FROM bmr WHERE rank <= {K}")
 def bm25(spark, d):
     return _ranked(_bm25(spark, d), "bm25").select("q", "doc", "rank", F.round("bm25", 5).alias("bm25"))
 
@@ -76,13 +76,13 @@ def _overlap(spark, d):
     return both.where(total > 0).select("q", "doc", score.alias("ko"))
 
 
-@R.query(f"WITH {_BM25}, {_SETS} SELECT q, doc, rank, round(ko, 5) AS ko FROM ksr WHERE rank <= {K}")
+@R.query(f"WITH {_BM25}, {_SETS} SELECT q, doc, rank::INTEGER AS rank, round(ko, 5) AS ko FROM ksr WHERE rank <= {K}")
 def keyword_overlap(spark, d):
     return _ranked(_overlap(spark, d), "ko").select("q", "doc", "rank", F.round("ko", 5).alias("ko"))
 
 
 @R.query(f"""WITH {_BM25}, {_SETS}, f AS (SELECT q, doc, sum(s) AS rrf FROM (SELECT q, doc, 1.0 / (60 + rank) AS s FROM bmr UNION ALL SELECT q, doc, 1.0 / (60 + rank) FROM ksr) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, doc) AS rank FROM f) SELECT q, doc, rank, round(rrf, 8) AS rrf FROM r WHERE rank <= {K}""")
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, doc) AS rank FROM f) SELECT q, doc, rank::INTEGER AS rank, round(rrf, 8) AS rrf FROM r WHERE rank <= {K}""")
 def rrf(spark, d):
     lists = [(_ranked(_bm25(spark, d), "bm25", None), 1.0), (_ranked(_overlap(spark, d), "ko", None), 1.0)]
     return _ranked(V.rrf(lists), "rrf").select("q", "doc", "rank", F.round("rrf", 8).alias("rrf"))
@@ -107,20 +107,20 @@ _MM = "CASE WHEN max({0}) OVER w - min({0}) OVER w < 1e-12 THEN 1 ELSE ({0} - mi
 
 
 @R.query(f"""WITH {_POOL}, s AS (SELECT q, doc, 0.55 * {_MM.format('ce')} + 0.30 * {_MM.format('rrf')} + 0.15 * {_MM.format('retrieval')} AS score FROM pool WINDOW w AS (PARTITION BY q)),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM s) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 30""")
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM s) SELECT q, doc, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 30""")
 def ce_fused(spark, d):
     """The default method: reranker, fusion and retrieval scores of the pool, scaled and summed."""
     return _ranked(V.fused(_pool(spark, d)), "score", 30).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
-@R.query(f"""WITH {_POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ce, 9) DESC, doc) AS rank FROM pool) SELECT q, doc, rank, round(ce, 6) AS ce FROM r WHERE rank <= 30""")
+@R.query(f"""WITH {_POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ce, 9) DESC, doc) AS rank FROM pool) SELECT q, doc, rank::INTEGER AS rank, round(ce, 6) AS ce FROM r WHERE rank <= 30""")
 def cross_encoder_rerank(spark, d):
     return _ranked(_pool(spark, d), "ce", 30).select("q", "doc", "rank", F.round("ce", 6).alias("ce"))
 
 
 @R.query(f"""WITH {_POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ce, 9) DESC, doc) AS rank FROM pool),
 m AS (SELECT q, doc, ce * (1 + 0.4 * (doc % 7) / 7.0) * (CASE WHEN course_code = 'TIDE100' THEN 1.6 ELSE 1 END) AS score FROM r JOIN documents ON doc_id = doc WHERE rank <= 72),
-z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM m) SELECT q, doc, rank, round(score, 6) AS score FROM z WHERE rank <= 30""")
+z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM m) SELECT q, doc, rank::INTEGER AS rank, round(score, 6) AS score FROM z WHERE rank <= 30""")
 def rerank_graph(spark, d):
     """Reranked pool times a global and a department multiplier."""
     best = _ranked(_pool(spark, d), "ce", 72).select("q", "doc", "ce")
@@ -152,18 +152,18 @@ def _nearest(spark, d, k=10):
     return V.vector_top(v.where(F.col("id") % 100 == 0), v, k)
 
 
-@R.query(f"WITH {_VEC} SELECT q, doc, rank, round(sim, 6) AS sim FROM cos WHERE rank <= 10")
+@R.query(f"WITH {_VEC} SELECT q, doc, rank::INTEGER AS rank, round(sim, 6) AS sim FROM cos WHERE rank <= 10")
 def cosine_topk(spark, d):
     return _nearest(spark, d).select("q", "doc", "rank", F.round("sim", 6).alias("sim"))
 
 
-@R.query(f"WITH {_VEC} SELECT q, doc, rank, round(sim, 6) AS sim FROM cos WHERE rank <= 15 AND sim > 0")
+@R.query(f"WITH {_VEC} SELECT q, doc, rank::INTEGER AS rank, round(sim, 6) AS sim FROM cos WHERE rank <= 15 AND sim > 0")
 def similar_items(spark, d):
     """The nearest of each item without itself; only positive similarities, after the cut."""
     return _nearest(spark, d, 15).where(F.col("sim") > 0).select("q", "doc", "rank", F.round("sim", 6).alias("sim"))
 
 
-@R.query(f"WITH {_VEC}, w AS (SELECT q, doc, sim * (CASE WHEN ql = dl THEN 1.6 ELSE 1 END) AS score FROM cos WHERE rank <= 150 AND sim >= 0.25), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM w) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= 30")
+@R.query(f"WITH {_VEC}, w AS (SELECT q, doc, sim * (CASE WHEN ql = dl THEN 1.6 ELSE 1 END) AS score FROM cos WHERE rank <= 150 AND sim >= 0.25), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM w) SELECT q, doc, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 30")
 def cosine_boosted(spark, d):
     """Two stages: five times the list by similarity, cut at 0.25, then the same-department multiplier."""
     labels = table(spark, d, "embeddings").select("vec_id", "label")
@@ -196,7 +196,7 @@ def fuzzy(spark, d):
 
 @R.query(f"""WITH {_BM25}, {_SETS}, a AS (SELECT q, doc, bm25 / max(bm25) OVER (PARTITION BY q) AS b FROM bm), k AS (SELECT q, doc, ko / max(ko) OVER (PARTITION BY q) AS o FROM ks),
 e AS (SELECT q, doc, 0.2 * coalesce(b, 0) + 0.2 * coalesce(o, 0) AS score FROM a FULL JOIN k USING (q, doc)),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM e) SELECT q, doc, rank, round(score, 6) AS score FROM r WHERE rank <= {K}""")
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM e) SELECT q, doc, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= {K}""")
 def ensemble(spark, d):
     w = Window.partitionBy("q")
     b = _bm25(spark, d).select("q", "doc", (F.col("bm25") / F.max("bm25").over(w)).alias("b"))
@@ -300,7 +300,7 @@ def winner(spark, d):
     return E.winner(_round(_gated(spark, d), "ndcg")).select("method", "ndcg", "passes")
 
 
-@R.query(f"""WITH {_EVAL} SELECT rank, q, max(CASE WHEN method = 'cosine' THEN doc END) AS cosine, max(CASE WHEN method = 'first' THEN doc END) AS "first" FROM lists GROUP BY q, rank""")
+@R.query(f"""WITH {_EVAL} SELECT rank::INTEGER AS rank, q, max(CASE WHEN method = 'cosine' THEN doc END) AS cosine, max(CASE WHEN method = 'first' THEN doc END) AS "first" FROM lists GROUP BY q, rank""")
 def side_by_side_pivot(spark, d):
     return _lists(spark, d).groupBy("q", "rank").pivot("method", ["cosine", "first"]).agg(F.max("doc"))
 
