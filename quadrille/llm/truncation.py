@@ -7,8 +7,7 @@ whole corpus it is counted, for each beginning of a unit (a sentence or line), h
 stop and how often they end openly, as headings, list items and signatures do. A text is cut if the longest known beginning
 of its last unit is one of sentences that go on to a full stop.
 
-Within a bucket of a band nobody is paired with everybody: each member is held against the longest text of the bucket; the
-members that are no copies of it form the bucket of the next round, until none is left. Exact copies count as one text.
+All members of a bucket are held against each other, unless their sizes rule a copy out. Exact copies count as one text.
 """
 
 from __future__ import annotations
@@ -254,11 +253,12 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = copy_words(text)
             if len(w) < SHINGLE:
                 continue
+            shingles = shingle_hashes(w)
             with np.errstate(over="ignore"):
-                mixed = shingle_hashes(w)[:, None] * _A + _B
+                mixed = shingles[:, None] * _A + _B
             low = (mixed ^ (mixed >> np.uint64(31))).min(axis=0)
             bands = [xxhash.xxh3_64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes()) - (1 << 63) for i in range(BANDS)]
-            rows.append((doc, len(w), xxhash.xxh3_128_hexdigest(" ".join(w)), bands))
+            rows.append((doc, shingles.size, xxhash.xxh3_128_hexdigest(" ".join(w)), bands))
         yield pd.DataFrame(rows, columns=["doc", "n", "same", "bands"])
 
 
@@ -312,33 +312,24 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def copy_links(texts: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(doc, center, doc_cut, center_cut): verified pairs of near-copies, each text against the longest of a bucket."""
+    """(doc, center, doc_cut, center_cut): verified pairs of near-copies; of all pairs that share a bucket, center is the larger.
+
+    n is a text's number of different shingles: sizes further apart than SIMILAR can't be copies. Each pair comes out of the
+    first band it shares, so no pair is verified twice.
+    """
     one = signatures.groupBy("same").agg(F.min(F.struct("doc", "n", "bands")).alias("s")).select("s.*")
-    members = one.select(F.col("doc"), "n", F.posexplode("bands").alias("band", "hash"))
+    members = one.select("doc", "n", "bands", F.posexplode("bands").alias("band", "hash"))
     crowd = members.groupBy("band", "hash").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
     left = materialize(members.join(crowd, ["band", "hash"], "left_semi"), "members")
-    links, tested = None, None
-    while not left.isEmpty():
-        centers = left.groupBy("band", "hash").agg(F.max(F.struct("n", F.col("doc").alias("center"))).alias("m"), F.count("*").alias("c"))
-        centers = centers.where(F.col("c") > 1).select("band", "hash", F.col("m.center").alias("center"))
-        held = materialize(left.join(centers, ["band", "hash"]).where(F.col("doc") != F.col("center")), "held")
-        if held.isEmpty():
-            release(held)
-            break
-        pairs = held.select("doc", "center").distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["doc", "center"], "left_anti"), "pairs")
-        ids = pairs.select("doc").union(pairs.select("center")).distinct()
-        some = texts.join(broadcast_if_small(ids, 16), "doc", "left_semi")
-        full = pairs.join(some, "doc").join(some.select(F.col("doc").alias("center"), F.col("text").alias("other")), "center")
-        got = materialize(full.mapInPandas(_verify, "doc bigint, center bigint, doc_cut boolean, center_cut boolean"), "links")
-        links = got if links is None else links.unionByName(got)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        rest = held.join(links.select("doc", "center"), ["doc", "center"], "left_anti").select("band", "hash", "doc", "n")
-        now = materialize(rest, "members")
-        release(left, held)
-        left = now
-    if links is None:
-        return texts.sparkSession.createDataFrame([], "doc bigint, center bigint, doc_cut boolean, center_cut boolean")
+    large = left.select("band", "hash", F.col("doc").alias("center"), F.col("n").alias("most"), F.col("bands").alias("own"))
+    first = F.array_position(F.zip_with("bands", "own", lambda x, y: x == y), True) - 1
+    fits = (F.struct("n", "doc") < F.struct("most", "center")) & (F.col("n") >= SIMILAR * F.col("most"))
+    pairs = materialize(left.join(large, ["band", "hash"]).where(fits & (first == F.col("band"))).select("doc", "center"), "pairs")
+    ids = pairs.select("doc").union(pairs.select("center")).distinct()
+    some = texts.join(broadcast_if_small(ids, 16), "doc", "left_semi")
+    full = pairs.join(some, "doc").join(some.select(F.col("doc").alias("center"), F.col("text").alias("other")), "center")
+    links = materialize(full.mapInPandas(_verify, "doc bigint, center bigint, doc_cut boolean, center_cut boolean"), "links")
+    release(left, pairs)
     return links
 
 

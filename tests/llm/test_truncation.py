@@ -80,6 +80,19 @@ def test_crowded_bucket_leaves_nobody_out(spark):
     assert links == {frozenset((i, 10 + i)) for i in range(6)}
 
 
+def test_a_copy_of_the_longest_text_still_meets_the_others(spark):
+    """X is a copy of C and of Z, Z none of C: both links come out of one bucket."""
+    w = [f"w{i}" for i in range(120)]
+    texts = {1: w[:104], 2: w[:101], 3: w[:83]}
+    size = lambda a: a - T.SHINGLE + 1
+    assert size(83) / size(104) < T.SIMILAR < size(83) / size(101)
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc bigint, text string")
+    sizes = F.size(F.split("text", " ")) - T.SHINGLE + 1
+    signatures = table.select("doc", sizes.alias("n"), F.md5("text").alias("same"), F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")).alias("bands"))
+    links = [(r["doc"], r["center"], r["doc_cut"]) for r in T.copy_links(table, signatures).collect()]
+    assert sorted(links) == [(2, 1, True), (3, 2, True)]
+
+
 @pytest.mark.parametrize("keep", [False])
 def test_empty(spark, keep):
     table = spark.createDataFrame([(1, "a")], "doc_id bigint, text string").where(F.lit(keep))
