@@ -5,7 +5,8 @@ similarity verifies them, the pair is aligned, and the copy whose alignment ends
 cut. (2) For texts that no copy shows to be cut, terminality: how a last unit without a full stop closes elsewhere. Over the
 whole corpus it is counted, for each beginning of a unit (a sentence or line), how often units that begin so go on to a full
 stop and how often they end openly, as headings, list items and signatures do. A text is cut if the longest known beginning
-of its last unit is one of sentences that go on to a full stop.
+of its last unit is one of sentences that go on to a full stop, or if its closing word shows it: it hardly ever ends a unit
+elsewhere, or it is no word of the corpus but the beginning of words that are.
 
 All members of a bucket are held against each other, unless their sizes rule a copy out. Exact copies count as one text.
 """
@@ -37,8 +38,10 @@ PREFIX = 5
 REMNANT, WINDOW = 512, 1024
 #: So many ends of texts alone don't show how units with a beginning close; a shorter beginning is asked then.
 FEW_ENDS = 3
-#: Marks a beginning that is part of a first word only.
-PART = "~"
+#: Marks a beginning that is part of a first word only; a closing word; the beginning of longer words.
+PART, CLOSE, LONGER = "~", "\x01", "\x02"
+#: A closing word shows a cut if it goes on so many times as often as it ends a unit, and so many times at least.
+GOES_ON, LEAST_INNER = 100, 20
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -57,6 +60,7 @@ _ABBREVIATED = re.compile(r"(?:^|\s)(?:prof|dr|mr|mrs|ms|mme|st|pp|fig|vs|e\.g|i
 _UNITS = regex.compile(r"""(?<=[.!?。！？؟।]['"’”»)\]]?)\s+|\s*[\r\n]+\s*""")
 _CODE = re.compile(r"\b[A-Za-z]{2,6} ?\d{3}[A-Za-z]?\b")
 _DIGIT = re.compile(r"\d")
+_MARKS = re.compile(r"[\W_]+")
 
 
 def trimmed(text: str) -> str:
@@ -123,6 +127,17 @@ def beginnings(unit: str) -> list[str]:
     return [" ".join(tokens[:k]) for k in range(1, len(tokens) + 1)]
 
 
+def unit_words(unit: str) -> list[str]:
+    """The words of a unit in small letters without marks; a course code, made alike, is C."""
+    return [w if w == "C" else w.lower() for w in _MARKS.sub(" ", fold(unit)).split()]
+
+
+def closing_word(unit: str) -> str:
+    """The last word of a unit, made alike, or '' if it is a course code or holds a digit."""
+    words = unit_words(unit[-WINDOW:])
+    return words[-1] if words and words[-1].isalpha() and words[-1] != "C" else ""
+
+
 def tail(text: str) -> tuple[str, bool, str]:
     """(last unit without a full stop, '' if the text ends with one or is a phrase; whether a mark follows; the unit before).
 
@@ -168,18 +183,28 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 begins = beginnings(alike(unit))
                 if len(begins) == 1:
                     begins = [PART + begins[0]]
-                rows.append((doc, marked, begins, len(alike(unit).split()) == len(begins), xxhash.xxh3_64_intdigest(before) - (1 << 63)))
-        yield pd.DataFrame(rows, columns=["doc", "marked", "begins", "whole", "before"])
+                rows.append((doc, marked, begins, len(alike(unit).split()) == len(begins), xxhash.xxh3_64_intdigest(before) - (1 << 63), closing_word(alike(unit))))
+        yield pd.DataFrame(rows, columns=["doc", "marked", "begins", "whole", "before", "closing"])
 
 
 def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch, how many units with a full stop and how many open units begin so; the last unit of a text counts if it stops."""
+    """Per batch, how many units with a full stop and how many open units begin so; the last unit of a text counts if it stops.
+
+    A CLOSE word is counted as stopped where its unit goes on behind it, as open where the unit ends with it; a LONGER
+    beginning is counted as stopped for each longer word.
+    """
     for batch in batches:
         stopped: Counter = Counter()
         open_: Counter = Counter()
+        inner: Counter = Counter()
+        final: Counter = Counter()
         for text in batch["text"]:
             parts = units(trimmed(alike(plain(without_remnant(text)[0]))))
             for n, u in enumerate(parts, 1):
+                words = unit_words(u)
+                inner.update(words[:-1])
+                if n < len(parts) or _STOP.search(trimmed(u)):
+                    final.update(words[-1:])
                 if u[-1] in ".!?" or _STOP.search(trimmed(u)):
                     stopped.update(beginnings(u))
                 elif n < len(parts):
@@ -189,16 +214,21 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 stopped[PART + word[:k]] += stopped[word]
         for word in [w for w in open_ if " " not in w]:
             open_[PART + word] += open_[word]
-        names = list(stopped | open_)
+        for word, times in (inner + final).items():
+            for k in range(1, min(len(word), 25)):
+                stopped[LONGER + word[:k]] += times
+            stopped[CLOSE + word] = inner[word]
+            open_[CLOSE + word] = final[word]
+        names = list(stopped.keys() | open_.keys())
         yield pd.DataFrame({"begin": names, "stopped": [stopped[x] for x in names], "open": [open_[x] for x in names]})
 
 
 def open_tails(texts: DataFrame) -> DataFrame:
-    """(doc, marked, begins, whole, before) of each text whose last unit has no full stop.
+    """(doc, marked, begins, whole, before, closing) of each text whose last unit has no full stop.
 
-    whole: whether the last of begins is the whole unit; before: a hash of the unit before it.
+    whole: whether the last of begins is the whole unit; before: a hash of the unit before it; closing: its last word.
     """
-    return texts.mapInPandas(_tails, "doc bigint, marked boolean, begins array<string>, whole boolean, before bigint")
+    return texts.mapInPandas(_tails, "doc bigint, marked boolean, begins array<string>, whole boolean, before bigint, closing string")
 
 
 def cut_by_terminality(texts: DataFrame) -> DataFrame:
@@ -206,13 +236,18 @@ def cut_by_terminality(texts: DataFrame) -> DataFrame:
 
     The ends of texts count once per different unit before them, so copies of one cut text don't make its end look meant. The
     whole last unit, whose last word may be half a word, counts only where sentences begin with it. A unit that begins like
-    no other is taken as meant.
+    no other is taken as meant, unless its closing word shows a cut: a word that goes on GOES_ON times as often as it ends a
+    unit, or half a word, which occurs nowhere in the corpus though longer words begin so.
     """
     tails = materialize(open_tails(texts), "tails")
     counts = texts.mapInPandas(_unit_counts, "begin string, stopped bigint, open bigint")
     kinds = tails.where(~F.col("marked")).select("begins", "whole", "before").distinct()
     asked = kinds.select("begins", "whole", "before", F.posexplode("begins").alias("k", "begin"))
-    wanted = materialize(asked.select("begin", "before").distinct().groupBy("begin").agg(F.count("*").alias("ends")), "begins")
+    closings = tails.where(~F.col("marked") & (F.col("closing") != "")).select("closing", "before").distinct()
+    marks = F.explode(F.array(F.lit(CLOSE), F.lit(LONGER)))
+    closed = closings.select(marks.alias("mark"), "closing", "before").select(F.concat("mark", "closing").alias("begin"), "before")
+    every = asked.select("begin", "before").distinct().unionByName(closed)
+    wanted = materialize(every.groupBy("begin").agg(F.count("*").alias("ends")), "begins")
     known = (
         counts.join(broadcast_if_small(wanted.select("begin"), 80), "begin", "left_semi")
         .groupBy("begin")
@@ -227,8 +262,24 @@ def cut_by_terminality(texts: DataFrame) -> DataFrame:
     found = found.where(~last | (F.col("stopped") > 0))
     best = found.groupBy("begins", "whole").agg(F.max_by(F.struct("stopped", "open"), "k").alias("b"))
     cut = best.where(F.col("b.stopped") > F.col("b.open")).select("begins", "whole")
-    by_unit = tails.where(~F.col("marked")).join(broadcast_if_small(cut, 160), ["begins", "whole"], "left_semi")
-    return by_unit.select("doc").unionByName(tails.where("marked").select("doc"))
+    unmarked = tails.where(~F.col("marked"))
+    by_unit = unmarked.join(broadcast_if_small(cut, 160), ["begins", "whole"], "left_semi").select("doc")
+    by_word = unmarked.join(broadcast_if_small(cut_words(known), 32), "closing", "left_semi").select("doc")
+    return by_unit.unionByName(by_word).unionByName(tails.where("marked").select("doc")).distinct()
+
+
+def cut_words(known: DataFrame) -> DataFrame:
+    """(closing) of closing words that show a cut, by the counts (begin, stopped, open) of their CLOSE and LONGER rows.
+
+    Other open ends with the word are in open; a word that is known by them alone occurs nowhere else.
+    """
+    of = lambda mark: known.where(F.col("begin").startswith(mark)).withColumn("closing", F.expr("substring(begin, 2)")).drop("begin")
+    close = of(CLOSE)
+    goes_on = close.where((F.col("stopped") >= LEAST_INNER) & (F.col("stopped") > GOES_ON * F.col("open"))).select("closing")
+    longer = of(LONGER).where((F.col("stopped") > FEW_ENDS) & (F.col("stopped") > GOES_ON * F.col("open")))
+    word = close.select("closing", (F.col("stopped") + F.col("open")).alias("times"))
+    half = longer.join(word, "closing", "left").where(F.coalesce("times", "open") <= F.col("open")).select("closing")
+    return goes_on.unionByName(half).distinct()
 
 
 def shingle_hashes(words: list[str]) -> np.ndarray:

@@ -93,6 +93,16 @@ def test_a_copy_of_the_longest_text_still_meets_the_others(spark):
     assert sorted(links) == [(2, 1, True), (3, 2, True)]
 
 
+def test_closing_words_show_cuts_of_long_open_units(spark):
+    """Units that begin like contact lines, which end openly, are cut if their last word is half a word or always goes on."""
+    rng = random.Random(7)
+    line = "Contact the department advising office"
+    rows = [(i, document(rng) + f"\n{line} of hall {rng.choice('abc')}\n" + document(rng, 2) + f"\n{line}") for i in range(30)]
+    rows += [(100, document(rng) + "\nContact the department advising offi"), (101, document(rng) + f"\n{line} of"), (102, document(rng) + f"\n{line}")]
+    table = spark.createDataFrame(rows, "doc bigint, text string")
+    assert {r["doc"] for r in T.cut_by_terminality(table).collect()} == {100, 101}
+
+
 @pytest.mark.parametrize("keep", [False])
 def test_empty(spark, keep):
     table = spark.createDataFrame([(1, "a")], "doc_id bigint, text string").where(F.lit(keep))
