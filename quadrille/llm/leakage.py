@@ -58,35 +58,48 @@ def plain_words(text: str) -> list[str]:
 
 
 def align(item: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
-    """(score, edits, start, stop) of the best local alignment near a diagonal; start and stop are places of the item.
+    """(score, edits, start, stop) of the best local alignment near a diagonal; start and stop are places of the item."""
+    score, start, stop, places = align_path(item, words, diagonal, band)
+    return score, len(places), start, stop
 
-    The band is as wide as single words may be added or left out; ties go to the first end found.
+
+def align_path(item: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int, list[tuple[int, int]]]:
+    """(score, start, stop, edits) of the best local alignment near a diagonal; edits are (place of the item, item words taken).
+
+    The band is as wide as single words may be added or left out; ties go to the first end found. An added word stands before
+    its place and takes no word of the item.
     """
     width = 2 * band + 1
-    score, paths = [0] * (width + 2), [(0, 0)] * (width + 2)
-    best = (0, 0, 0, 0)
+    score, paths = [0] * (width + 2), [(None, 0)] * (width + 2)
+    best = (0, 0, 0, None)
     first = max(0, -diagonal - band)
     last = min(len(item), len(words) - diagonal + band)
     for i in range(first, last):
         x = item[i]
-        now, path = [0] * (width + 2), [(0, i + 1)] * (width + 2)
+        now, path = [0] * (width + 2), [(None, i + 1)] * (width + 2)
         base = i + diagonal - band - 1
         for k in range(max(1, -base), min(width, len(words) - 1 - base) + 1):
-            above, p = score[k], paths[k] if score[k] > 0 else (0, i)
+            above, p = score[k], paths[k] if score[k] > 0 else (None, i)
             if x == words[base + k]:
                 s = above + 2
             else:
-                s, p = above - 3, (p[0] + 1, p[1])
+                s, p, at, taken = above - 3, p, i, 1
                 if score[k + 1] - 3 > s:
-                    s, p = score[k + 1] - 3, (paths[k + 1][0] + 1, paths[k + 1][1])
+                    s, p = score[k + 1] - 3, paths[k + 1]
                 if now[k - 1] - 3 > s:
-                    s, p = now[k - 1] - 3, (path[k - 1][0] + 1, path[k - 1][1])
+                    s, p, at, taken = now[k - 1] - 3, path[k - 1], i + 1, 0
+                if s > 0:
+                    p = ((at, taken, p[0]), p[1])
             if s > 0:
                 now[k], path[k] = s, p
                 if s > best[0]:
-                    best = (s, p[0], p[1], i + 1)
+                    best = (s, p[1], i + 1, p[0])
         score, paths = now, path
-    return best
+    edits, link = [], best[3]
+    while link is not None:
+        edits.append(link[:2])
+        link = link[2]
+    return best[0], best[1], best[2], edits[::-1]
 
 
 def is_leak(length: int, edits: int, item_words: int) -> bool:
@@ -96,6 +109,20 @@ def is_leak(length: int, edits: int, item_words: int) -> bool:
     return length >= MIN_WORDS if edits == 0 else length >= MIN_EDITED and edits * ALLOWED <= length
 
 
+def leaked_stretch(start: int, stop: int, edits: list[tuple[int, int]], item_words: int) -> tuple[int, int, int] | None:
+    """(score, length, edits) of the best stretch of an alignment that is a leak, from behind one edit up to another; or None."""
+    begins = [start, *(at + taken for at, taken in edits)]
+    ends = [*(at for at, _ in edits), stop]
+    best = None
+    for i, a in enumerate(begins):
+        for j in range(i, len(ends)):
+            length = ends[j] - a
+            if is_leak(length, j - i, item_words):
+                left_out = sum(taken for _, taken in edits[i:j])
+                best = max(best or (0, 0, 0), (2 * (length - left_out) - 3 * (j - i), length, j - i))
+    return best
+
+
 def may_extend(item: list[str], words: list[str], diagonal: int, start: int, stop: int) -> bool:
     """Whether some MIN_EDITED words of the item around a run can nearly all stand near the run in the text.
 
@@ -140,16 +167,15 @@ class Items:
         for (key, diagonal), places in hits.items():
             item = self.words[key]
             n = min(SEED, len(item))
-            start = places[0]
+            start, done = places[0], 0
             for place, following in zip(places, [*places[1:], -1]):
                 if following == place + 1:
                     continue
                 stop = place + n
                 if is_leak(stop - start, 0, len(item)):
                     found = (2 * (stop - start), stop - start, 0)
-                elif may_extend(item, w, diagonal, start, stop):
-                    score, edits, a, b = align(item, w, diagonal)
-                    found = (score, b - a, edits) if is_leak(b - a, edits, len(item)) else None
+                elif stop > done and may_extend(item, w, diagonal, start, stop):
+                    found, done = _leak_behind(item, w, diagonal, done, start)
                 else:
                     found = None
                 if found and found > best.get(key, (0,)):
@@ -158,6 +184,23 @@ class Items:
         return [(key, length, edits) for key, (_, length, edits) in best.items()]
 
 
+def _leak_behind(item: list[str], words: list[str], diagonal: int, done: int, run: int) -> tuple[tuple[int, int, int] | None, int]:
+    """The best leak of the alignments behind the place done, up to the one that holds the run or lies behind it; and where that ends."""
+    todo, best = [(done, len(item))], None
+    stop = done
+    while todo:
+        lo, hi = todo.pop()
+        score, a, b, edits = align_path(item[lo:hi], words, diagonal + lo)
+        if not score:
+            continue
+        found = leaked_stretch(lo + a, lo + b, [(lo + at, taken) for at, taken in edits], len(item))
+        best = max(filter(None, (best, found)), default=None)
+        stop = max(stop, lo + b)
+        if lo + a > run:
+            todo.append((lo, lo + a))
+    return best, stop
+
+
 def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_key, item_key, words, edits) for each document and item of which it holds a passage.
 

@@ -77,3 +77,24 @@ def test_seeds_lose_no_accepted_alignment():
         _, edits, start, stop = max(align(items.words[1], text, d) for d in range(-40, 25))
         if is_leak(stop - start, edits, 60):
             assert items.found_in(" ".join(text))
+
+
+def test_a_good_stretch_of_a_bad_alignment_is_found():
+    """30 words with 2 edits are a leak alone, also where the alignment runs on through 20 words with 6 edits."""
+    item = [f"i{n}" for n in range(50)]
+    w = list(item)
+    for at in (9, 19, 30, 33, 36, 39, 42, 45):
+        w[at] = "x"
+    _, edits, start, stop = align(item, w, 0)
+    assert not is_leak(stop - start, edits, 50)
+    assert [h[0] for h in Items([(1, " ".join(item))]).found_in(" ".join(["q"] * 9 + w + ["q"] * 9))] == [1]
+
+
+def test_stretches_agree_with_brute_force():
+    for _ in range(300):
+        stop = RNG.randrange(10, 60)
+        taken = sorted(RNG.sample(range(1, stop - 1), RNG.randrange(0, 8)))
+        edits = [(at, RNG.randrange(2)) for at in taken]
+        inside = lambda a, b: sum(a <= at and at + t <= b and (t or a < at < b) for at, t in edits)
+        want = any(is_leak(b - a, inside(a, b), 99) for a in range(stop) for b in range(a + 1, stop + 1))
+        assert bool(leakage.leaked_stretch(0, stop, edits, 99)) == want
