@@ -3,8 +3,9 @@
 The items are indexed by their word n-grams. A training text is folded to plain words, its n-grams are looked up, and each
 diagonal on which a text and an item share seeds is aligned locally, in a band, with a match for +2 and a misspelt,
 replaced, added or missing word for -3. An alignment counts if it covers the whole item or ``MIN_WORDS`` words of it and
-holds few edits for its length. With ``ALLOWED`` words per edit such an alignment always has a run of ``SEED`` equal words,
-so seeds of that length lose none. N-grams that a large share of the items has in common are set phrases, not seeds.
+holds few edits for its length. More edits, and edits in shorter passages, count if each of them shows that it is no other
+filler of a template: a single word left out or added, or a replacement that no item holds. With ``ALLOWED`` words per edit such an alignment always has a run of ``SEED`` equal words,
+so seeds of that length lose none of the first kind. N-grams that a large share of the items has in common are set phrases, not seeds.
 
 Items go to the executors in blocks of bounded size, each block being one pass over the texts; texts are never shuffled.
 """
@@ -25,6 +26,8 @@ from quadrille.runtime import balanced
 
 #: Words of a seed; least words of a passage; least words of a passage with edits; words per edit; half width of the band.
 SEED, MIN_WORDS, MIN_EDITED, ALLOWED, BAND = 6, 15, 20, 9, 10
+#: Words per edit where every edit shows that it is no filler of a template.
+SHOWN_ALLOWED = 5
 #: Characters of item text in one block.
 BLOCK_CHARS = 8 << 20
 #: An n-gram in more than this share of the items (and in more than COMMON_LEAST of them) is a set phrase.
@@ -63,15 +66,18 @@ def align(item: list[str], words: list[str], diagonal: int, band: int = BAND) ->
     return score, len(places), start, stop
 
 
-def align_path(item: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """(score, start, stop, edits) of the best local alignment near a diagonal; edits are (place of the item, item words taken).
+Edit = tuple[int, int, int, int]
+
+
+def align_path(item: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int, list[Edit]]:
+    """(score, start, stop, edits) of the best local alignment near a diagonal; edits are (place of the item, item words taken, place of the text, its words taken).
 
     The band is as wide as single words may be added or left out; ties go to the first end found. An added word stands before
     its place and takes no word of the item.
     """
     width = 2 * band + 1
     score, paths = [0] * (width + 2), [(None, 0)] * (width + 2)
-    best = (0, 0, 0, None)
+    best = (0, 0, 0, None, 0)
     first = max(0, -diagonal - band)
     last = min(len(item), len(words) - diagonal + band)
     for i in range(first, last):
@@ -83,22 +89,24 @@ def align_path(item: list[str], words: list[str], diagonal: int, band: int = BAN
             if x == words[base + k]:
                 s = above + 2
             else:
-                s, p, at, taken = above - 3, p, i, 1
+                s, p, at, taken, held = above - 3, p, i, 1, 1
                 if score[k + 1] - 3 > s:
-                    s, p = score[k + 1] - 3, paths[k + 1]
+                    s, p, held = score[k + 1] - 3, paths[k + 1], 0
                 if now[k - 1] - 3 > s:
-                    s, p, at, taken = now[k - 1] - 3, path[k - 1], i + 1, 0
+                    s, p, at, taken, held = now[k - 1] - 3, path[k - 1], i + 1, 0, 1
                 if s > 0:
-                    p = ((at, taken, p[0]), p[1])
+                    p = ((at, taken, held, p[0]), p[1])
             if s > 0:
                 now[k], path[k] = s, p
                 if s > best[0]:
-                    best = (s, p[1], i + 1, p[0])
+                    best = (s, p[1], i + 1, p[0], base + k + 1)
         score, paths = now, path
-    edits, link = [], best[3]
+    edits, link, i, j = [], best[3], best[2], best[4]
     while link is not None:
-        edits.append(link[:2])
-        link = link[2]
+        at, taken, held, link = link
+        j -= i - at - taken + held
+        i = at
+        edits.append((at, taken, j, held))
     return best[0], best[1], best[2], edits[::-1]
 
 
@@ -109,43 +117,59 @@ def is_leak(length: int, edits: int, item_words: int) -> bool:
     return length >= MIN_WORDS if edits == 0 else length >= MIN_EDITED and edits * ALLOWED <= length
 
 
-def leaked_stretch(start: int, stop: int, edits: list[tuple[int, int]], item_words: int) -> tuple[int, int, int] | None:
+def is_shown_leak(length: int, edits: int, item_words: int) -> bool:
+    """Whether a stretch all of whose edits are shown to be edits of a passage is a leak."""
+    return length >= min(MIN_WORDS, item_words) and edits * SHOWN_ALLOWED <= length
+
+
+def shown_edits(edits: list[Edit], words: list[str], vocabulary: set[str]) -> list[bool]:
+    """Whether each edit is a single word left out or added with no edit beside it, or puts letters there that no item holds as a word."""
+    out = []
+    for n, (at, taken, place, held) in enumerate(edits):
+        beside = n and edits[n - 1][0] + edits[n - 1][1] == at or n + 1 < len(edits) and edits[n + 1][0] == at + taken
+        foreign = not held or words[place].isalpha() and words[place] not in vocabulary
+        out.append(foreign if taken and held else not beside)
+    return out
+
+
+def leaked_stretch(start: int, stop: int, edits: list[Edit], item_words: int, shown: list[bool] | None = None) -> tuple[int, int, int] | None:
     """(score, length, edits) of the best stretch of an alignment that is a leak, from behind one edit up to another; or None."""
-    begins = [start, *(at + taken for at, taken in edits)]
-    ends = [*(at for at, _ in edits), stop]
+    shown = shown or [False] * len(edits)
+    begins = [start, *(e[0] + e[1] for e in edits)]
+    ends = [*(e[0] for e in edits), stop]
     best = None
     for i, a in enumerate(begins):
         for j in range(i, len(ends)):
             length = ends[j] - a
-            if is_leak(length, j - i, item_words):
-                left_out = sum(taken for _, taken in edits[i:j])
+            if is_leak(length, j - i, item_words) or j > i and all(shown[i:j]) and is_shown_leak(length, j - i, item_words):
+                left_out = sum(e[1] for e in edits[i:j])
                 best = max(best or (0, 0, 0), (2 * (length - left_out) - 3 * (j - i), length, j - i))
     return best
 
 
 def may_extend(item: list[str], words: list[str], diagonal: int, start: int, stop: int) -> bool:
-    """Whether some MIN_EDITED words of the item around a run can nearly all stand near the run in the text.
+    """Whether some MIN_WORDS words of the item around a run, or all of fewer, can nearly all stand near the run in the text.
 
-    A passage with edits holds so many words with at most one edit in ALLOWED; a cheap bound that rejects no such passage.
+    A passage with edits holds so many words with at most one edit in SHOWN_ALLOWED; a cheap bound that rejects no such passage.
     """
-    reach = MIN_EDITED - 1
+    size = min(MIN_WORDS, len(item))
+    reach = size - 1
     near_by = set(words[max(0, start + diagonal - reach - BAND) : stop + diagonal + reach + BAND])
     lost = [x not in near_by for x in item[max(0, start - reach) : stop + reach]]
-    if len(lost) < MIN_EDITED:
-        return False
-    missing = sum(lost[:MIN_EDITED])
+    missing = sum(lost[:size])
     least = missing
-    for old, new in zip(lost, lost[MIN_EDITED:]):
+    for old, new in zip(lost, lost[size:]):
         missing += new - old
         least = min(least, missing)
-    return least <= MIN_EDITED // ALLOWED + 1
+    return least <= size // SHOWN_ALLOWED + 1
 
 
 class Items:
-    """A block of items, indexed by their seeds."""
+    """A block of items, indexed by their seeds; vocabulary: the words of all blocks, else of this one."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], vocabulary: set[str] | None = None):
         self.words = {key: plain_words(text) for key, text in items}
+        self.vocabulary = {x for w in self.words.values() for x in w} if vocabulary is None else vocabulary
         where: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for key, w in self.words.items():
             n = min(SEED, len(w))
@@ -175,7 +199,7 @@ class Items:
                 if is_leak(stop - start, 0, len(item)):
                     found = (2 * (stop - start), stop - start, 0)
                 elif stop > done and may_extend(item, w, diagonal, start, stop):
-                    found, done = _leak_behind(item, w, diagonal, done, start)
+                    found, done = _leak_behind(item, w, diagonal, done, start, self.vocabulary)
                 else:
                     found = None
                 if found and found > best.get(key, (0,)):
@@ -184,7 +208,9 @@ class Items:
         return [(key, length, edits) for key, (_, length, edits) in best.items()]
 
 
-def _leak_behind(item: list[str], words: list[str], diagonal: int, done: int, run: int) -> tuple[tuple[int, int, int] | None, int]:
+def _leak_behind(
+    item: list[str], words: list[str], diagonal: int, done: int, run: int, vocabulary: set[str]
+) -> tuple[tuple[int, int, int] | None, int]:
     """The best leak of the alignments behind the place done, up to the one that holds the run or lies behind it; and where that ends."""
     todo, best = [(done, len(item))], None
     stop = done
@@ -193,7 +219,8 @@ def _leak_behind(item: list[str], words: list[str], diagonal: int, done: int, ru
         score, a, b, edits = align_path(item[lo:hi], words, diagonal + lo)
         if not score:
             continue
-        found = leaked_stretch(lo + a, lo + b, [(lo + at, taken) for at, taken in edits], len(item))
+        edits = [(lo + e[0], *e[1:]) for e in edits]
+        found = leaked_stretch(lo + a, lo + b, edits, len(item), shown_edits(edits, words, vocabulary))
         best = max(filter(None, (best, found)), default=None)
         stop = max(stop, lo + b)
         if lo + a > run:
@@ -208,17 +235,18 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     """
     listed = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).where(F.length("t") > 0).distinct()
     blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
+    held, vocabulary = 0, set()
     for r in listed.orderBy("k").toLocalIterator():
         if held + len(r["t"]) > block_chars and blocks[-1]:
             blocks.append([])
             held = 0
         blocks[-1].append((r["k"], r["t"]))
+        vocabulary.update(plain_words(r["t"]))
         held += len(r["t"])
     texts = balanced(docs.select(F.col(doc_key).cast("bigint").alias("doc"), F.col(doc_text).alias("text")).where(F.length("text") > 0))
     out = None
     for block in blocks:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent = docs.sparkSession.sparkContext.broadcast((block, vocabulary))
         part = texts.mapInPandas(_scan(sent), "doc bigint, item bigint, words int, edits int")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "words", "edits")
@@ -229,7 +257,7 @@ def _scan(sent):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not kept:
-            kept.append(Items(sent.value))
+            kept.append(Items(*sent.value))
         for batch in batches:
             rows = [(doc, *hit) for doc, text in zip(batch["doc"], batch["text"]) for hit in kept[0].found_in(text)]
             yield pd.DataFrame(rows, columns=["doc", "item", "words", "edits"])

@@ -98,3 +98,17 @@ def test_stretches_agree_with_brute_force():
         inside = lambda a, b: sum(a <= at and at + t <= b and (t or a < at < b) for at, t in edits)
         want = any(is_leak(b - a, inside(a, b), 99) for a in range(stop) for b in range(a + 1, stop + 1))
         assert bool(leakage.leaked_stretch(0, stop, edits, 99)) == want
+
+
+def test_edited_short_passages_are_found_and_other_fillers_are_not():
+    item, other = [f"i{n}" for n in range(60)], [f"o{n}" for n in range(60)]
+    items = Items([(1, " ".join(item)), (2, " ".join(other))])
+    hits = lambda w: [h[0] for h in items.found_in(" ".join(["q"] * 9 + w + ["q"] * 9))]
+    short = item[20:36]
+    assert hits(short[:7] + ["mispelt"] + short[8:]) == [1]
+    assert hits(short[:7] + short[8:]) == [1]
+    assert hits(short[:7] + ["added"] + short[7:]) == [1]
+    spread = [w if n % 8 != 7 else "mispelt" for n, w in enumerate(item)]
+    assert hits(spread) == [1]
+    assert hits(short[:7] + ["o5"] + short[8:]) == [] and hits(short[:7] + ["1999"] + short[8:]) == []
+    assert hits(short[:13]) == []
