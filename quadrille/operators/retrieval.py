@@ -192,6 +192,54 @@ def similarity_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("ratio", ratio(F.lower(a), F.lower(b)))
 
 
+#: Shares of the similarities of title, description and code.
+FUZZY_WEIGHTS = (0.4, 0.5, 0.1)
+
+
+def fuzzy_top(queries: DataFrame, items: DataFrame, fields: tuple[str, str, str], k: int = 10) -> DataFrame:
+    """(q, doc, score, rank): the k items of the highest weighted Ratcliff-Obershelp similarity of title, description and code.
+
+    queries: (q, text), of which blocks go out to the items; items: (doc, *fields), every one of which is scored. An item is
+    left out early only where a bound of its score (shared letters) is below the k best of its batch. A null is as ''.
+    """
+    rows = queries.select("q", "text").toLocalIterator()
+    spark, out = items.sparkSession, None
+    while block := [(r["q"], (r["text"] or "").lower()) for r in itertools.islice(rows, BLOCK_QUERIES)]:
+        part = items.select("doc", *fields).mapInPandas(_fuzzy(spark.sparkContext.broadcast(block), fields, k), "q bigint, doc bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "q bigint, doc bigint, score double, rank int")
+    return top(out.withColumn("r", F.round("score", 9)), "r", k).drop("r")
+
+
+def _fuzzy(sent, fields: tuple[str, str, str], k: int):
+    import difflib
+    import heapq
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list[float]] = [[] for _ in sent.value]
+        for batch in batches:
+            rows = []
+            for doc, *texts in batch[["doc", *fields]].itertuples(index=False, name=None):
+                matchers = [(w, difflib.SequenceMatcher(None, "", (t or "").lower())) for w, t in zip(FUZZY_WEIGHTS, texts)]
+                for n, (q, text) in enumerate(sent.value):
+                    least = best[n][0] - 1e-9 if len(best[n]) == k else -1.0
+                    for _, m in matchers:
+                        m.set_seq1(text)
+                    if sum(w * m.real_quick_ratio() for w, m in matchers) < least or sum(w * m.quick_ratio() for w, m in matchers) < least:
+                        continue
+                    score = sum(w * m.ratio() for w, m in matchers)
+                    if score < least:
+                        continue
+                    rows.append((q, doc, score))
+                    heapq.heappush(best[n], score)
+                    if len(best[n]) > k:
+                        heapq.heappop(best[n])
+            yield pd.DataFrame(rows, columns=["q", "doc", "score"])
+
+    return run
+
+
 def star_pagerank(scored: DataFrame, damping: float = 0.85) -> DataFrame:
     """scored (q, doc, sim) with rank mass: personalised PageRank on the star from the query to its documents, in closed form."""
     w = Window.partitionBy("q")

@@ -10,7 +10,7 @@ from quadrille.functions.words import KEYWORD_STOP, TITLE_STOP
 from quadrille.operators import evaluation as E
 from quadrille.operators import retrieval as V
 from quadrille.plans.registry import Registry, sql_list
-from quadrille.runtime import balanced, broadcast_if_small, materialize, table
+from quadrille.runtime import balanced, broadcast_if_small, materialize, spread, table
 
 R = Registry()
 K = 20
@@ -187,11 +187,11 @@ def mmr(spark, d):
 
 @R.query()
 def fuzzy(spark, d):
-    """0.4 title, 0.5 text and 0.1 code similarity of each logged search with the first catalog rows of its own code or word."""
-    logged = table(spark, d, "documents").where((F.col("source") == "search_log") & F.col("text").isNotNull()).select(F.col("doc_id").alias("q"), "text", F.explode(F.array_distinct(T.tokenize("text"))).alias("tok"))
-    cat = table(spark, d, "courses").where(F.col("title").isNotNull()).select("row_id", "title", F.explode(F.array_distinct(T.tokenize("title"))).alias("tok"))
-    pairs = logged.join(cat, "tok").select("q", "text", "row_id", "title").distinct()
-    return V.similarity_ratio(pairs, "text", "title").select("q", "row_id", F.round("ratio", 6).alias("ratio"))
+    """The ten courses of the highest 0.4 title, 0.5 description and 0.1 code similarity to each logged search, of all courses."""
+    logged = table(spark, d, "documents").where((F.col("source") == "search_log") & F.col("text").isNotNull() & (F.col("doc_id") % 100 == 0))
+    cat = table(spark, d, "courses").select(F.col("row_id").alias("doc"), "title", "description", "course_code").distinct()
+    best = V.fuzzy_top(logged.select(F.col("doc_id").alias("q"), "text"), spread(cat), ("title", "description", "course_code"))
+    return best.select("q", F.col("doc").alias("row_id"), "rank", F.round("score", 6).alias("score"))
 
 
 @R.query(f"""WITH {_BM25}, {_SETS}, a AS (SELECT q, doc, bm25 / max(bm25) OVER (PARTITION BY q) AS b FROM bm), k AS (SELECT q, doc, ko / max(ko) OVER (PARTITION BY q) AS o FROM ks),
