@@ -23,6 +23,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FULL_BOOST, PHRASE_BOOST, WORD_BOOST, WORD_CAP = 0.4, 0.3, 0.22, 0.65
 #: Rank fusion and reranking.
 RRF_K, W_CE, W_RRF, W_RETRIEVAL = 60.0, 0.55, 0.30, 0.15
+#: Columns beyond the rank and rounds of the subspace iteration of LSA.
+OVERSAMPLED, SUBSPACE_ROUNDS = 20, 6
 #: Queries of one vector block.
 BLOCK_QUERIES = 2048
 
@@ -247,41 +249,63 @@ def star_pagerank(scored: DataFrame, damping: float = 0.85) -> DataFrame:
     return scored.withColumn("mass", damping / (1 + damping) * s / F.sum(s).over(w))
 
 
-def lsa(docs: DataFrame, key: str, text: str, terms: int = 500, rank: int = 50) -> DataFrame:
-    """(key, vector): TF-IDF over the most frequent terms, reduced by the eigenvectors of their Gram matrix.
+def lsa(docs: DataFrame, key: str, text: str, terms: int = 5000, rank: int = 100, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(key, vector): TF-IDF over the most frequent terms, reduced to the first right singular vectors of the rows.
 
-    The Gram matrix is terms x terms whatever the number of documents; partitions add up their own and the driver solves it.
+    Tokens have two letters or more and are none of stop; ties at the cut of terms go by the alphabet. One row for each row of
+    docs, with a vector of zeros where it holds no term. The vectors come from randomized subspace iteration: each round is one
+    pass over sparse rows, whose partitions send a (terms x width) sum, added up on the executors by column; the driver holds
+    one such matrix, whatever the number of documents.
     """
-    tf = materialize(term_frequencies(docs, key, text), "tf")
+    spark = docs.sparkSession
+    counted = term_frequencies(docs, key, text).where((F.length("tok") > 1) & ~F.col("tok").isin(*stop) if stop else F.length("tok") > 1)
+    tf = materialize(counted, "tf")
     n = docs.count()
-    vocab = tf.groupBy("tok").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "tok").limit(terms).collect()
+    vocab = tf.groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("c")).orderBy(F.desc("c"), "tok").limit(terms).collect()
     index = {r["tok"]: i for i, r in enumerate(vocab)}
     idf = np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in vocab])
     size = len(index)
-    listed = F.broadcast(docs.sparkSession.createDataFrame([(t, i) for t, i in index.items()] or [("", -1)], "tok string, i int"))
-    rows = tf.join(listed, "tok").groupBy("doc").agg(F.collect_list(F.struct("i", "tf")).alias("w"))
-
-    def dense(w) -> np.ndarray:
-        x = np.zeros(size)
-        for p in w:
-            x[p["i"]] = p["tf"] * idf[p["i"]]
-        norm = np.linalg.norm(x)
-        return x / norm if norm else x
-
-    def gram(batches):
-        g = np.zeros((size, size))
-        for b in batches:
-            m = np.stack([dense(w) for w in b["w"]]) if len(b) else np.zeros((0, size))
-            g += m.T @ m
-        yield pd.DataFrame({"i": np.arange(size), "row": list(g)})
-
-    total = rows.mapInPandas(gram, "i int, row array<double>").groupBy("i").agg(*[F.sum(F.get("row", F.lit(j))).alias(f"c{j}") for j in range(size)])
-    g = np.array([r[1:] for r in sorted(total.collect())], dtype=float).reshape(-1, size)
-    _, vectors = np.linalg.eigh(g)
-    base = vectors[:, ::-1][:, : min(rank, size)]
+    listed = F.broadcast(spark.createDataFrame([(t, i) for t, i in index.items()] or [("", -1)], "tok string, i int"))
+    known = tf.join(listed, "tok").groupBy("doc").agg(F.collect_list("i").alias("i"), F.collect_list("tf").alias("tf"))
+    rows = materialize(docs.select(F.col(key).alias("doc")).join(known, "doc", "left"), "rows")
+
+    def times(b: pd.DataFrame, m: np.ndarray) -> tuple[list, np.ndarray]:
+        """The sparse rows of a batch and their products with m."""
+        held, out = [], np.zeros((len(b), m.shape[1]))
+        for r, (i, t) in enumerate(zip(b["i"], b["tf"])):
+            i = np.asarray([] if i is None else i, dtype=int)
+            x = np.asarray([] if t is None else t, dtype=float) * idf[i]
+            x = x / np.linalg.norm(x) if len(x) else x
+            held.append((i, x))
+            out[r] = x @ m[i]
+        return held, out
+
+    def gram_times(sent):
+        def run(batches):
+            m = sent.value
+            total = np.zeros_like(m)
+            for b in batches:
+                for (i, x), y in zip(*times(b, m)):
+                    total[i] += np.outer(x, y)
+            yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+
+        return run
+
+    width = min(size, rank + OVERSAMPLED)
+    base = np.linalg.qr(np.random.default_rng(42).standard_normal((size, width)))[0] if size else np.zeros((0, 0))
+    for last in [False] * SUBSPACE_ROUNDS + [True] if size else []:
+        part = rows.select("i", "tf").mapInPandas(gram_times(spark.sparkContext.broadcast(base)), "i int, row array<double>")
+        sums = part.groupBy("i").agg(F.array(*[F.sum(F.get("row", F.lit(j))) for j in range(width)]).alias("row"))
+        product = np.array([r["row"] for r in sorted(sums.collect())], dtype=float)
+        if last:
+            _, turn = np.linalg.eigh(base.T @ product)
+            base = (base @ turn)[:, ::-1][:, :rank]
+        else:
+            base = np.linalg.qr(product)[0]
+    sent = spark.sparkContext.broadcast(base)
 
     def project(batches):
         for b in batches:
-            yield pd.DataFrame({key: b["doc"], "vector": [list(dense(w) @ base) for w in b["w"]]})
+            yield pd.DataFrame({key: b["doc"], "vector": list(times(b, sent.value)[1])})
 
     return rows.mapInPandas(project, f"{key} bigint, vector array<double>")

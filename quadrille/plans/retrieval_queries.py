@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import text as T
-from quadrille.functions.words import KEYWORD_STOP, TITLE_STOP
+from quadrille.functions.words import KEYWORD_STOP, LSA_STOP, TITLE_STOP
 from quadrille.operators import evaluation as E
 from quadrille.operators import retrieval as V
 from quadrille.plans.registry import Registry, sql_list
@@ -207,7 +207,8 @@ def ensemble(spark, d):
 
 @R.query()
 def lsa(spark, d):
-    out = V.lsa(table(spark, d, "courses"), "row_id", "description", 200, 20)
+    """One row for each course, by the reference's 5000 terms and 100 components."""
+    out = V.lsa(table(spark, d, "courses").select("row_id", "description").distinct(), "row_id", "description", 5000, 100, LSA_STOP)
     return out.select("row_id", F.round(V.T.dot("vector", "vector"), 6).alias("length2"))
 
 

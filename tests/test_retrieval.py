@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import random
 
+import numpy as np
+
 from quadrille.operators import retrieval as V
 
 WORDS = "tidal salinity gradients orchard science braided lutes kelp beds harmonic analysis rain dunes ledgers".split()
@@ -23,3 +25,21 @@ def test_fuzzy_scores_every_item(spark):
         scored = [(-round(sum(w * ratio(text, f) for w, f in zip((0.4, 0.5, 0.1), fields)), 9), doc) for doc, *fields in courses]
         want += [(q, doc, n, -s) for n, (s, doc) in enumerate(sorted(scored)[:10], 1)]
     assert sorted((r["q"], r["doc"], r["rank"], round(r["score"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_lsa_agrees_with_a_full_decomposition(spark):
+    """All terms but stop words, rare ones too, and a row for every course; lengths and cosines as by a dense SVD."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices(WORDS, k=6)) + f" rare{i} the") for i in range(40)] + [(90, None), (91, "the the"), (92, "rare7 rare8")]
+    out = V.lsa(spark.createDataFrame(docs, "row_id bigint, description string").repartition(3), "row_id", "description", 5000, 10, ("the",))
+    got = {r["row_id"]: np.array(r["vector"]) for r in out.collect()}
+    assert set(got) == {k for k, _ in docs}
+    split = {k: [w for w in (t or "").split() if w != "the"] for k, t in docs}
+    terms = sorted({w for ws in split.values() for w in ws})
+    x = np.array([[split[k].count(t) for t in terms] for k, _ in docs], dtype=float)
+    x *= np.log((1 + len(docs)) / (1 + (x > 0).sum(0))) + 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    y = x @ np.linalg.svd(x)[2][:10].T
+    z = np.array([got[k] for k, _ in docs])
+    assert z.shape == y.shape and np.abs(z @ z.T - y @ y.T).max() < 0.02
+    assert (z[-2] == 0).all() and (z[-3] == 0).all()
