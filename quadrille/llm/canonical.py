@@ -24,9 +24,6 @@ from quadrille.runtime import broadcast_if_small, spread
 SHARD_ENTRIES = 50_000
 #: Values searched in one group of a shard.
 GROUP_VALUES = 20_000
-#: Levenshtein radius of the search; the accepted Damerau-Levenshtein distance is ``allowed``.
-RADIUS = 4
-
 #: Words around a program's name that are no part of it.
 LEADING = (
     "honours", "honors", "hons", "hon", "joint honours", "jh", "h", "bsc", "ba", "basc", "bachelor of", "b a sc", "b sc", "b a",
@@ -46,6 +43,14 @@ def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 12 else 3
 
 
+def radius(length: int) -> int:
+    """Levenshtein radius that holds every entry whose Damerau-Levenshtein distance to so many letters is allowed.
+
+    A swap counts 2 under Levenshtein, so that distance is at most twice the other; an entry may be longer by what is allowed.
+    """
+    return 2 * allowed(length + allowed(12))
+
+
 def letters(text: str) -> str:
     """Only letters and digits, in lower case."""
     return re.sub(r"[\W_]+", "", text.lower())
@@ -245,8 +250,8 @@ class Canon:
             found += [(SHORT, n, 0, key) for key in self.spelled_out(tokens)]
             if n < MASK_READINGS and len(tokens) <= MASK_TOKENS:
                 mask |= sum(1 << n * MASK_TOKENS + k for k, t in enumerate(tokens) if t in self.vocabulary)
-            for lev, entry in self.tree.within(p, RADIUS):
-                if (d := damerau(entry, p)) <= allowed(len(entry)):
+            for lev, entry in self.tree.within(p, radius(len(p))):
+                if abs(len(entry) - len(p)) <= allowed(len(entry)) and (d := damerau(entry, p)) <= allowed(len(entry)):
                     found.append((TYPO, d, lev, self.names[entry]))
         return mask, found
 

@@ -65,3 +65,11 @@ def test_empty(spark):
     assert canonical.map_rows(rows.where(F.lit(False)), "program_name", entries).collect() == []
     got = canonical.map_rows(rows, "program_name", entries.where(F.lit(False))).select("key").distinct().collect()
     assert [r["key"] for r in got] == [-1]
+
+
+def test_swaps_stay_within_the_radius():
+    """Two swaps and an edit are 5 under Levenshtein, three swaps 6, and 3 under the distance that is allowed."""
+    for value in ("Rian Statisitcz", "Rian Sttaisitcs"):
+        assert damerau(canonical.letters(value), "rainstatistics") == 3 and levenshtein(canonical.letters(value), "rainstatistics") > 4
+        ways = readings(value)
+        assert decide(ways, *Canon(ENTRIES).candidates(ways))[0] == 5
