@@ -137,8 +137,19 @@ b AS (SELECT q, doc_id AS doc, lower(trim(qs.text)) AS qt, lower({_TITLE.replace
 SELECT q, doc, round((CASE WHEN contains(t, qt) THEN 0.4 ELSE 0 END) + 0.3 * len(list_filter(ph, lambda p: contains(t, p))) + least(0.65, 0.22 * len(list_intersect(cw, {_TOK.format('t')})) * len(list_intersect(cw, {_TOK.format('t')})) / len(cw)), 6) AS boost
 FROM b WHERE t <> ''""")
 def title_boost(spark, d):
+    """The logged searches alone, as the SQL has it; ``title_boost_all`` scores every document."""
+    return _boosts(spark, table(spark, d, "documents").where(F.col("source") == "search_log"), d)
+
+
+@R.query()
+def title_boost_all(spark, d):
+    """The boost of every document with a title line, of all sources."""
+    return _boosts(spark, table(spark, d, "documents"), d)
+
+
+def _boosts(spark, documents, d):
     q = _queries(spark, d).select(F.col("item_id").alias("q"), F.col("text").alias("qt"))
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.col("source") == "search_log")).select(F.col("doc_id").alias("doc"), _title().alias("t"))
+    docs = balanced(documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), _title().alias("t")))
     both = docs.where(F.col("t") != "").join(broadcast_if_small(q, 4096))
     return both.select("q", "doc", F.round(V.title_boost(F.col("qt"), F.col("t")), 6).alias("boost"))
 

@@ -8,6 +8,7 @@ import random
 import numpy as np
 
 from quadrille.operators import retrieval as V
+from quadrille.plans import retrieval_queries as Q
 
 WORDS = "tidal salinity gradients orchard science braided lutes kelp beds harmonic analysis rain dunes ledgers".split()
 
@@ -43,3 +44,11 @@ def test_lsa_agrees_with_a_full_decomposition(spark):
     z = np.array([got[k] for k, _ in docs])
     assert z.shape == y.shape and np.abs(z @ z.T - y @ y.T).max() < 0.02
     assert (z[-2] == 0).all() and (z[-3] == 0).all()
+
+
+def test_title_boost_all_scores_every_source(spark, tmp_path):
+    docs = [(1, "Tidal wake tables\nbody", "syllabus"), (2, "rain gauges", "search_log"), (3, "the tidal", "review"), (4, None, "forum"), (5, "\nbody", "forum")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100, "tidal wake"), (101, "rain")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["q"], r["doc"]): r["boost"] for r in Q.title_boost_all(spark, str(tmp_path)).collect()}
+    assert got == {(100, 1): 1.14, (100, 2): 0.0, (100, 3): 0.11}
