@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -82,9 +83,9 @@ def remove_written() -> None:
             _delete(*_written.pop())
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the counted rows times row_bytes stay below limit; otherwise the join shuffles."""
-    most = limit // row_bytes
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast only if the counted rows times row_bytes stay below limit (BROADCAST_BYTES); otherwise the join shuffles."""
+    most = (BROADCAST_BYTES if limit is None else limit) // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -101,6 +102,21 @@ def balanced(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def kept_on_worker(key: tuple, make: Callable[[], object]):
+    """What make gives, made once per Python worker and kept there for its later tasks; the last few keys are kept.
+
+    key must name everything that make depends on, such as the id of a broadcast or a file's name.
+    """
+    import sys
+
+    held = sys.__dict__.setdefault("_quadrille_kept", {})
+    if key not in held:
+        while len(held) >= 4:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as the session shuffles into or has cores, before a step that costs far more than its bytes."""
     spark = df.sparkSession
