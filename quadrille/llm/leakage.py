@@ -1,13 +1,13 @@
 """Evaluation passages inside training texts: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The items are indexed by their word n-grams. A training text is folded to plain words, its n-grams are looked up, and each
-diagonal on which a text and an item share seeds is aligned locally, in a band, with a match for +2 and a misspelt,
-replaced, added or missing word for -3. An alignment counts if it covers the whole item or ``MIN_WORDS`` words of it and
-holds few edits for its length. More edits, and edits in shorter passages, count if each of them shows that it is no other
-filler of a template: a single word left out or added, or a replacement that no item holds. With ``ALLOWED`` words per edit such an alignment always has a run of ``SEED`` equal words,
-so seeds of that length lose none of the first kind. N-grams that a large share of the items has in common are set phrases, not seeds.
-
-Items go to the executors in blocks of bounded size, each block being one pass over the texts; texts are never shuffled.
+Both sides are folded to plain words, and their word n-grams are hashed in Arrow batches. Seeds are the n-grams of the items
+that not too many items share, counted over all items; they are joined to the n-grams of the texts (broadcast behind a check
+of their size, else by a shuffle), so each text is read once for any number of items and no item passes through the driver.
+A text and an item that share seeds are aligned locally, in a band around each diagonal with seeds, with a match for +2 and
+a misspelt, replaced, added or missing word for -3. An alignment counts if it covers the whole item or ``MIN_WORDS`` words
+of it and holds few edits for its length. More edits, and edits in shorter passages, count if each of them shows that it is
+no other filler of a template: a single word left out or added, or a replacement that no item holds. With ``ALLOWED`` words
+per edit such an alignment always has a run of ``SEED`` equal words, so seeds of that length lose none of the first kind.
 """
 
 from __future__ import annotations
@@ -17,19 +17,19 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.folding import fold
-from quadrille.runtime import balanced
+from quadrille.runtime import balanced, broadcast_if_small, materialize, release, spread
 
 #: Words of a seed; least words of a passage; least words of a passage with edits; words per edit; half width of the band.
 SEED, MIN_WORDS, MIN_EDITED, ALLOWED, BAND = 6, 15, 20, 9, 10
 #: Words per edit where every edit shows that it is no filler of a template.
 SHOWN_ALLOWED = 5
-#: Characters of item text in one block.
-BLOCK_CHARS = 8 << 20
 #: An n-gram in more than this share of the items (and in more than COMMON_LEAST of them) is a set phrase.
 COMMON_SHARE, COMMON_LEAST = 0.25, 8
 
@@ -164,48 +164,38 @@ def may_extend(item: list[str], words: list[str], diagonal: int, start: int, sto
     return least <= size // SHOWN_ALLOWED + 1
 
 
-class Items:
-    """A block of items, indexed by their seeds; vocabulary: the words of all blocks, else of this one."""
+def gram_hashes(words: list[str], n: int) -> np.ndarray:
+    """A hash of each run of n words, by its place."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    out = np.full(max(len(words) - n + 1, 0), n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
+    return out.view(np.int64)
 
-    def __init__(self, items: list[tuple[int, str]], vocabulary: set[str] | None = None):
-        self.words = {key: plain_words(text) for key, text in items}
-        self.vocabulary = {x for w in self.words.values() for x in w} if vocabulary is None else vocabulary
-        where: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for key, w in self.words.items():
-            n = min(SEED, len(w))
-            for at in range(len(w) - n + 1 if n else 0):
-                where[tuple(w[at : at + n])].append((key, at))
-        most = max(COMMON_LEAST, int(COMMON_SHARE * len(self.words)))
-        self.seeds = {g: places for g, places in where.items() if len({k for k, _ in places}) <= most}
-        self.sizes = sorted({len(g) for g in self.seeds})
-
-    def found_in(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, length, edits) of each item that the text holds a passage of."""
-        w = plain_words(text)
-        hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for n in self.sizes:
-            for at, gram in enumerate(zip(*[w[i:] for i in range(n)])):
-                for key, place in self.seeds.get(gram, ()):
-                    hits[key, at - place].append(place)
-        best: dict[int, tuple[int, int, int]] = {}
-        for (key, diagonal), places in hits.items():
-            item = self.words[key]
-            n = min(SEED, len(item))
-            start, done = places[0], 0
-            for place, following in zip(places, [*places[1:], -1]):
-                if following == place + 1:
-                    continue
-                stop = place + n
-                if is_leak(stop - start, 0, len(item)):
-                    found = (2 * (stop - start), stop - start, 0)
-                elif stop > done and may_extend(item, w, diagonal, start, stop):
-                    found, done = _leak_behind(item, w, diagonal, done, start, self.vocabulary)
-                else:
-                    found = None
-                if found and found > best.get(key, (0,)):
-                    best[key] = found
-                start = following
-        return [(key, length, edits) for key, (_, length, edits) in best.items()]
+
+def best_passage(item: list[str], words: list[str], seeds: list[tuple[int, int]], vocabulary: set[str]) -> tuple[int, int] | None:
+    """(length, edits) of the best passage of an item in a text, or None; seeds: (diagonal, place of the item) of each shared n-gram.
+
+    vocabulary: of the words of the text, those that some item holds.
+    """
+    n = min(SEED, len(item))
+    best, last, done, start = None, None, 0, 0
+    ordered = sorted(seeds)
+    for (diagonal, place), following in zip(ordered, [*ordered[1:], (None, None)]):
+        if diagonal != last:
+            last, start, done = diagonal, place, 0
+        if following == (diagonal, place + 1):
+            continue
+        stop = place + n
+        found = None
+        if is_leak(stop - start, 0, len(item)):
+            found = (2 * (stop - start), stop - start, 0)
+        elif stop > done and may_extend(item, words, diagonal, start, stop):
+            found, done = _leak_behind(item, words, diagonal, done, start, vocabulary)
+        best = max(filter(None, (best, found)), default=None)
+        start = following[1]
+    return best and best[1:]
 
 
 def _leak_behind(
@@ -228,38 +218,82 @@ def _leak_behind(
     return best, stop
 
 
-def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_key, item_key, words, edits) for each document and item of which it holds a passage.
+def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """(doc_key, item_key, words, edits), distinct, for each document and item of which it holds a passage.
 
-    Null, empty and wordless texts on either side give no rows; equal rows of docs give equal rows; an empty side gives none.
+    Null, empty and wordless texts on either side give no rows; repeated rows count once; an empty side gives none.
     """
-    listed = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).where(F.length("t") > 0).distinct()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held, vocabulary = 0, set()
-    for r in listed.orderBy("k").toLocalIterator():
-        if held + len(r["t"]) > block_chars and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["k"], r["t"]))
-        vocabulary.update(plain_words(r["t"]))
-        held += len(r["t"])
-    texts = balanced(docs.select(F.col(doc_key).cast("bigint").alias("doc"), F.col(doc_text).alias("text")).where(F.length("text") > 0))
-    out = None
-    for block in blocks:
-        sent = docs.sparkSession.sparkContext.broadcast((block, vocabulary))
-        part = texts.mapInPandas(_scan(sent), "doc bigint, item bigint, words int, edits int")
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "words", "edits")
-
-
-def _scan(sent):
-    kept: list[Items] = []
+    listed = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
+    known = materialize(spread(listed).mapInPandas(_fold_items, "item bigint, own bigint, words string"), "items")
+    seeds = materialize(_seeds(known), "seeds")
+    sizes = [r["size"] for r in seeds.select("size").distinct().collect()]
+    texts = docs.select(F.col(doc_key).cast("bigint").alias("doc"), F.col(doc_text).alias("text")).where(F.length("text") > 0)
+    texts = balanced(texts).withColumn("row", F.xxhash64("text"))
+    grams = texts.mapInPandas(_text_grams(sizes), "doc bigint, row bigint, grams array<bigint>")
+    each = grams.select("doc", "row", F.posexplode("grams").alias("at", "gram"))
+    shared = each.join(broadcast_if_small(seeds.drop("size"), 64), "gram")
+    pairs = shared.groupBy("doc", "row", "own").agg(F.collect_list(F.struct((F.col("at") - F.col("place")).alias("diagonal"), "place")).alias("seeds"))
+    pairs = materialize(pairs, "pairs")
+    some = pairs.select("doc", "row").distinct()
+    held = texts.join(broadcast_if_small(some, 64), ["doc", "row"], "left_semi")
+    told = materialize(held.distinct().mapInPandas(_fold_texts, "doc bigint, row bigint, words string"), "told")
+    vocabulary = known.select(F.explode(F.split("words", " ")).alias("w")).distinct()
+    own = told.select("doc", "row", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).join(broadcast_if_small(vocabulary, 64), "w")
+    own = own.groupBy("doc", "row").agg(F.array_join(F.collect_list("w"), " ").alias("vocabulary"))
+    right = known.select("item", "own", F.col("words").alias("item_words"))
+    rows = pairs.join(broadcast_if_small(right, 8192), "own").join(told, ["doc", "row"]).join(own, ["doc", "row"])
+    rows = spread(rows.select("doc", "item", "item_words", "words", "vocabulary", "seeds"))
+    out = materialize(rows.mapInPandas(_align_pairs, "doc bigint, item bigint, words int, edits int"), "leaks")
+    release(known, seeds, pairs, told)
+    return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "words", "edits").distinct()
+
+
+def _seeds(known: DataFrame) -> DataFrame:
+    """(gram, size, own, place) of the n-grams of the items (item, own, words) that are no set phrases, counted over all items."""
+    every = known.mapInPandas(_item_grams, "gram bigint, size int, own bigint, place int")
+    count = every.groupBy("gram").agg(F.count_distinct("own").alias("items"))
+    most = max(COMMON_LEAST, int(COMMON_SHARE * known.count()))
+    return every.join(broadcast_if_small(count.where(F.col("items") > most).select("gram"), 16), "gram", "left_anti")
+
+
+def _fold_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """own: a key of the item and its text, since an item may come with several texts."""
+    for batch in batches:
+        rows = [(k, xxhash.xxh3_64_intdigest(f"{k} {t}") - (1 << 63), " ".join(w)) for k, t in zip(batch["item"], batch["text"]) if (w := plain_words(t))]
+        yield pd.DataFrame(rows, columns=["item", "own", "words"])
+
+
+def _item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for own, words in zip(batch["own"], batch["words"]):
+            w = words.split(" ")
+            n = min(SEED, len(w))
+            rows += [(g, n, own, place) for place, g in enumerate(gram_hashes(w, n))]
+        yield pd.DataFrame(rows, columns=["gram", "size", "own", "place"])
+
 
+def _text_grams(sizes: list[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not kept:
-            kept.append(Items(*sent.value))
         for batch in batches:
-            rows = [(doc, *hit) for doc, text in zip(batch["doc"], batch["text"]) for hit in kept[0].found_in(text)]
-            yield pd.DataFrame(rows, columns=["doc", "item", "words", "edits"])
+            rows = []
+            for doc, row, text in zip(batch["doc"], batch["row"], batch["text"]):
+                words = plain_words(text)
+                rows += [(doc, row, g) for n in sizes if (g := gram_hashes(words, n)).size]
+            yield pd.DataFrame(rows, columns=["doc", "row", "grams"])
 
     return run
+
+
+def _fold_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"doc": batch["doc"], "row": batch["row"], "words": [" ".join(plain_words(t)) for t in batch["text"]]})
+
+
+def _align_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for doc, item, own, words, known, seeds in batch.itertuples(index=False, name=None):
+            if found := best_passage(own.split(" "), words.split(" "), [(s["diagonal"], s["place"]) for s in seeds], set(known.split(" "))):
+                rows.append((doc, item, *found))
+        yield pd.DataFrame(rows, columns=["doc", "item", "words", "edits"])

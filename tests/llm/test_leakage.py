@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from quadrille import runtime
 from quadrille.llm import leakage
-from quadrille.llm.leakage import Items, align, is_leak, plain_words
+from quadrille.llm.leakage import SEED, align, best_passage, gram_hashes, is_leak, plain_words
 
 RNG = random.Random(11)
 POOL = [a + b for a in ("bar", "cor", "dun", "fen", "gul", "hol", "mar", "nes") for b in ("ak", "el", "in", "ost", "um", "yr")]
@@ -15,6 +16,20 @@ def passage(n):
     return [RNG.choice(POOL) for _ in range(n)]
 
 
+def found_in(items, text):
+    """The items of which a text holds a passage, by the seeds they share."""
+    w, vocabulary, out = plain_words(text), {x for i in items.values() for x in i}, []
+    for key, item in items.items():
+        n = min(SEED, len(item))
+        places = {}
+        for place, g in enumerate(gram_hashes(item, n)):
+            places.setdefault(g, []).append(place)
+        seeds = [(at - place, place) for at, g in enumerate(gram_hashes(w, n)) for place in places.get(g, ())]
+        if seeds and best_passage(item, w, seeds, vocabulary):
+            out.append(key)
+    return out
+
+
 def slow_align(a, b):
     best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
@@ -38,7 +53,8 @@ def test_forms_do_not_count():
     assert plain_words(text) == "the softhyphenete fern150 wide deja openair leau".split() or plain_words(text)[-5:] == ["fern150", "wide", "deja", "openair", "leau"]
 
 
-def test_passages(spark):
+def test_passages(spark, monkeypatch):
+    """Equal rows for any number of partitions, with and without a broadcast of the seeds and items."""
     items = {1: passage(60), 2: passage(70), 3: passage(15), 4: passage(8)}
     noise = lambda n: ["zz" + w for w in passage(n)]
     edited = items[2][10:50]
@@ -58,9 +74,11 @@ def test_passages(spark):
     table = spark.createDataFrame(rows, "doc_id bigint, text string, item int")
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(5, None), (6, ""), (7, "?!")], "item_id bigint, text string")
     want = {(1, 1), (2, 1), (4, 2), (5, 3), (5, 1), (6, 4)}
-    for block in (1 << 20, 300):
-        got = leakage.find_leaks(table, "doc_id", "text", bench, "item_id", "text", block_chars=block).select("doc_id", "item_id").distinct()
-        assert {tuple(r) for r in got.collect()} == want
+    for least in (8 << 20, 0):
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", least)
+        for parts in (1, 5):
+            got = leakage.find_leaks(table.repartition(parts), "doc_id", "text", bench.repartition(parts), "item_id", "text").select("doc_id", "item_id").distinct()
+            assert {tuple(r) for r in got.collect()} == want
     none = bench.where(F.lit(False))
     assert leakage.find_leaks(table, "doc_id", "text", none, "item_id", "text").collect() == []
     assert leakage.find_leaks(table.where(F.lit(False)), "doc_id", "text", bench, "item_id", "text").collect() == []
@@ -68,15 +86,15 @@ def test_passages(spark):
 
 def test_seeds_lose_no_accepted_alignment():
     """Random edits: whatever the full alignment accepts, the seeded search finds."""
-    items = Items([(1, " ".join(passage(60)))])
+    items = {1: passage(60)}
     for _ in range(200):
-        w = list(items.words[1][RNG.randrange(20) : RNG.randrange(30, 60)])
+        w = list(items[1][RNG.randrange(20) : RNG.randrange(30, 60)])
         for _ in range(RNG.randrange(0, 5)):
             w[RNG.randrange(len(w))] = "x" + RNG.choice(POOL)
         text = ["qq"] * 20 + w + ["qq"] * 20
-        _, edits, start, stop = max(align(items.words[1], text, d) for d in range(-40, 25))
+        _, edits, start, stop = max(align(items[1], text, d) for d in range(-40, 25))
         if is_leak(stop - start, edits, 60):
-            assert items.found_in(" ".join(text))
+            assert found_in(items, " ".join(text))
 
 
 def test_a_good_stretch_of_a_bad_alignment_is_found():
@@ -87,7 +105,7 @@ def test_a_good_stretch_of_a_bad_alignment_is_found():
         w[at] = "x"
     _, edits, start, stop = align(item, w, 0)
     assert not is_leak(stop - start, edits, 50)
-    assert [h[0] for h in Items([(1, " ".join(item))]).found_in(" ".join(["q"] * 9 + w + ["q"] * 9))] == [1]
+    assert found_in({1: item}, " ".join(["q"] * 9 + w + ["q"] * 9)) == [1]
 
 
 def test_stretches_agree_with_brute_force():
@@ -102,8 +120,7 @@ def test_stretches_agree_with_brute_force():
 
 def test_edited_short_passages_are_found_and_other_fillers_are_not():
     item, other = [f"i{n}" for n in range(60)], [f"o{n}" for n in range(60)]
-    items = Items([(1, " ".join(item)), (2, " ".join(other))])
-    hits = lambda w: [h[0] for h in items.found_in(" ".join(["q"] * 9 + w + ["q"] * 9))]
+    hits = lambda w: found_in({1: item, 2: other}, " ".join(["q"] * 9 + w + ["q"] * 9))
     short = item[20:36]
     assert hits(short[:7] + ["mispelt"] + short[8:]) == [1]
     assert hits(short[:7] + short[8:]) == [1]
