@@ -1,10 +1,10 @@
 """Encoding of whole texts by a public byte-level BPE vocabulary, and decoding.
 
-A text is cut into overlapping chunks; each chunk is split into pre-tokens on its own, in parallel, and the pieces are
-stitched where the pre-token boundaries of two neighbours agree (they resynchronise at the first boundary that both put at
-the same place with the same rest of the overlap before it). Merges never cross a pre-token, so the pieces between two
-agreed boundaries can be encoded alone, and the ids are those of the whole text. A text within one chunk needs no stitching
-and no shuffle. Decoding joins the raw bytes of the ids before it reads them as UTF-8.
+Every text is cut into overlapping chunks. Each chunk is split into pre-tokens on its own, and neighbours are stitched where
+their pre-token boundaries agree (they resynchronise at the first two boundaries in a row that both put at the same places
+of the overlap). Merges never cross a pre-token, so the pieces between agreed boundaries are encoded alone and the ids are
+those of the whole text. The chunks of a text are stitched in the task that holds its row, so nothing is shuffled and each
+text is read once; rows are what runs in parallel. Decoding joins the raw bytes of the ids before it reads them as UTF-8.
 """
 
 from __future__ import annotations
@@ -18,16 +18,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.runtime import balanced
+from quadrille.runtime import balanced, kept_on_worker
 
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a chunk without its overlap, and of the overlap behind it.
-CHUNK, OVERLAP = 1 << 20, 1 << 12
+CHUNK, OVERLAP = 1024, 128
 
 _SPLIT = regex.compile(PATTERN)
+_BLANK = regex.compile(r"[\s\x1c-\x1f]")
 
 
 def load(name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
@@ -44,104 +45,56 @@ def boundaries(chunk: str) -> list[int]:
     return [m.end() for m in _SPLIT.finditer(chunk)]
 
 
-def agreed(left: str, right: str, overlap: int) -> int:
-    """The first place in right, within the overlap, at which both neighbours end a pre-token twice in a row; -1 if none."""
-    base = len(left) - overlap
-    #: The last pre-token of a chunk may go on behind its end, and a run of blanks before the end depends on what follows.
-    ends_left = {e - base for e in boundaries(left) if base < e <= len(left) - 2 - _tail(left)}
-    ends_right = [e for e in boundaries(right[: 2 * overlap]) if e < overlap]
-    for a, b in zip(ends_right, ends_right[1:]):
-        if a in ends_left and b in ends_left:
-            return a
-    return -1
+def pieces(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[str]:
+    """Parts of a text, in order, that end where pre-tokens of the whole text end.
 
-
-def _tail(text: str) -> int:
-    """Length of the last pre-token and the blanks around it, which what follows might change."""
-    ends = boundaries(text[-512:])
-    return len(text[-512:]) - (ends[-3] if len(ends) >= 3 else 0)
+    A chunk begins at an agreed boundary. It gives way to the next one, which begins at any character of its last overlap, at
+    the first place where both end a pre-token twice in a row, and not with a blank, since a run of blanks is split by what
+    follows it. The last pre-tokens of a chunk, which what follows may change, are not asked. Where an overlap holds no such
+    place (an endless word or run of blanks) the chunk is made twice as long.
+    """
+    start, size = 0, chunk
+    while start + size < len(text):
+        stop = start + size
+        left = boundaries(text[start:stop])
+        sure = {start + e for e in left[:-2]}
+        after = stop - overlap
+        right = [after + e for e in boundaries(text[after : stop + overlap])]
+        meet = next((a for a, b in zip(right, right[1:]) if a in sure and b in sure and not _BLANK.match(text[a - 1])), None)
+        if meet is None:
+            size *= 2
+            continue
+        yield text[start:meet]
+        start, size = meet, chunk
+    yield text[start:]
 
 
 def encode_table(docs: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, ids): the token ids of each row's whole text, without special tokens.
 
-    Null and empty texts have an empty list; each row of docs gives one row, in its own batch, and other columns are
-    ignored. Texts longer than a chunk are cut, encoded in parallel and put together again by their key.
+    Null and empty texts have an empty list; each row of docs gives one row, and other columns are ignored. overlap must be
+    less than chunk.
     """
     rows = balanced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    size = F.coalesce(F.length("text"), F.lit(0))
-    encode = _encoder(vocabulary, folder)
-    short = rows.where(size <= chunk).mapInPandas(encode, "key bigint, ids array<int>")
-    long = rows.where(size > chunk)
-    if long.isEmpty():
-        return short
-    long = long.withColumn("whole", F.monotonically_increasing_id())
-    #: The last chunk runs on over its overlap, so that every overlap is full.
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1 - overlap, F.lit(0)), F.lit(chunk))
-    parts = long.select("key", "whole", F.length("text").alias("n"), "text", F.explode(starts).alias("at")).select(
-        "key",
-        "whole",
-        "at",
-        (F.col("at") + chunk + overlap >= F.col("n")).alias("last"),
-        F.substr("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("own"),
-        F.when(F.col("at") > 0, F.substr("text", F.col("at") - chunk + 1, F.lit(chunk + overlap))).alias("before"),
-        F.substr("text", F.col("at") + chunk + 1, F.lit(chunk + overlap)).alias("after"),
-    )
-    spread = parts.repartition("whole", "at")
-    pieces = spread.mapInPandas(_piece_encoder(vocabulary, folder, chunk, overlap), "key bigint, whole bigint, at int, ids array<int>, agreed boolean")
-    joined = (
-        pieces.groupBy("key", "whole")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"), F.bool_and("agreed").alias("ok"))
-        .select("key", "whole", F.flatten(F.col("p.ids")).alias("ids"), "ok")
-    )
-    #: Without any boundary in an overlap (one endless word) nothing can be cut; such a text is encoded in one piece.
-    whole = long.join(joined.where(~F.col("ok")).select("whole"), "whole", "left_semi").select("key", "text")
-    return short.unionByName(joined.where("ok").select("key", "ids")).unionByName(whole.mapInPandas(encode, "key bigint, ids array<int>"))
-
-
-def _encoder(vocabulary: str, folder: str):
-    kept: list = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not kept:
-            kept.append(load(vocabulary, folder))
-        encode = kept[0].encode_ordinary
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "ids": [encode(t) if isinstance(t, str) and t else [] for t in batch["text"]]})
-
-    return run
+        encode = kept_on_worker(("tokens", vocabulary, folder), lambda: load(vocabulary, folder)).encode_ordinary
 
+        def ids(t) -> list[int]:
+            return [i for piece in pieces(t, chunk, overlap) for i in encode(piece)] if isinstance(t, str) and t else []
 
-def _piece_encoder(vocabulary: str, folder: str, chunk: int, overlap: int):
-    kept: list = []
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not kept:
-            kept.append(load(vocabulary, folder))
         for batch in batches:
-            ids, ok = [], []
-            for own, before, after, last in zip(batch["own"], batch["before"], batch["after"], batch["last"]):
-                start = agreed(before, own, overlap) if isinstance(before, str) else 0
-                stop = len(own)
-                if not last:
-                    meet = agreed(own, after, overlap)
-                    stop = chunk + meet if meet >= 0 else -1
-                ok.append(start >= 0 and stop >= 0)
-                ids.append(kept[0].encode_ordinary(own[start:stop]) if ok[-1] else [])
-            yield pd.DataFrame({"key": batch["key"], "whole": batch["whole"], "at": batch["at"], "ids": ids, "agreed": ok})
+            yield pd.DataFrame({"key": batch["key"], "ids": [ids(t) for t in batch["text"]]})
 
-    return run
+    return rows.mapInPandas(run, "key bigint, ids array<int>")
 
 
 def decode_table(encoded: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(key, text) of (key, ids): the raw bytes of all ids joined, then read as UTF-8; an empty list gives ''."""
-    kept: list = []
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not kept:
-            kept.append(load(vocabulary, folder))
+        known = kept_on_worker(("tokens", vocabulary, folder), lambda: load(vocabulary, folder))
         for batch in batches:
-            texts = [kept[0].decode_bytes(list(i)).decode("utf-8", "replace") for i in batch["ids"]]
+            texts = [known.decode_bytes(list(i)).decode("utf-8", "replace") for i in batch["ids"]]
             yield pd.DataFrame({"key": batch["key"], "text": texts})
 
     return encoded.select("key", "ids").mapInPandas(run, "key bigint, text string")

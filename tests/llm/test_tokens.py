@@ -42,3 +42,15 @@ def test_repeated_rows_keep_their_number(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c " * 900), (2, "c " * 900)], "doc_id bigint, text string")
     got = tokens.encode_table(docs, "doc_id", "text", chunk=400, overlap=100).groupBy("key").count().collect()
     assert {r["key"]: r["count"] for r in got} == {1: 2, 2: 2}
+
+
+def test_pieces_alone_give_the_ids_of_the_whole_text():
+    """Short chunks, so that every text is stitched many times; blanks, marks and contractions on the seams."""
+    rng, encoder = random.Random(3), tokens.load()
+    parts = [" ", "  ", "\n", "a", "bc", "'s", ".", "..", "é", "日", "1", "23", "\u200b", "don't", "\t", " x", "\x1c", "\x85", "\xa0"]
+    for chunk, overlap in ((40, 20), (64, 30), (16, 8)):
+        for _ in range(400):
+            text = "".join(rng.choices(parts, k=rng.randrange(0, 200)))
+            cut = list(tokens.pieces(text, chunk, overlap))
+            assert "".join(cut) == text and [i for p in cut for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(text)
+    assert len(list(tokens.pieces("tide tables " * 900))) > 8
