@@ -10,6 +10,7 @@ a hash of the entry, every value is searched in every shard, and ``decide`` merg
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.folding import fold
-from quadrille.runtime import broadcast_if_small, spread
+from quadrille.runtime import broadcast_if_small, kept_on_worker, materialize, spread
 
 #: Entries of one tree; a longer list is cut into shards of about this size.
 SHARD_ENTRIES = 50_000
@@ -183,8 +184,6 @@ def _short_for(short: str, word: str) -> bool:
 
 #: Kinds of candidates, the surest first.
 NAME, CODE, JOINED, LOOSE, HEAD, SHORT, TYPO = range(7)
-#: Tokens and readings whose vocabulary is noted in a mask of bits.
-MASK_TOKENS, MASK_READINGS = 10, 6
 
 Candidate = tuple[int, int, int, int]
 
@@ -230,9 +229,9 @@ class Canon:
                 return []
         return sorted({node[None] for node in level if None in node})
 
-    def candidates(self, ways: list[str]) -> tuple[int, list[Candidate]]:
-        """The mask of words in the vocabulary, and (kind, distance, second distance, key) of all that the readings may mean."""
-        mask, found = 0, []
+    def candidates(self, ways: list[str]) -> tuple[set[str], list[Candidate]]:
+        """The words of the readings that some entry holds, and (kind, distance, second distance, key) of all that they may mean."""
+        known_words, found = set(), []
         plain = [letters(w) for w in ways]
         for n, (w, p) in enumerate(zip(ways, plain)):
             for kind, known in ((NAME, self.names), (CODE, self.codes), (JOINED, self.joined)):
@@ -243,20 +242,19 @@ class Canon:
                     if q in known:
                         found.append((LOOSE, n, 0, known[q]))
         if found and min(found)[0] <= LOOSE:
-            return mask, [min(found)]
+            return known_words, [min(found)]
         for n, (w, p) in enumerate(zip(ways, plain)):
             found += [(HEAD, n, 0 if cut else 1, key) for key, cut in self.heads.get(p, ())]
             tokens = [t for t in words(w) if t != "and"]
             found += [(SHORT, n, 0, key) for key in self.spelled_out(tokens)]
-            if n < MASK_READINGS and len(tokens) <= MASK_TOKENS:
-                mask |= sum(1 << n * MASK_TOKENS + k for k, t in enumerate(tokens) if t in self.vocabulary)
+            known_words.update(self.vocabulary.intersection(tokens))
             for lev, entry in self.tree.within(p, radius(len(p))):
                 if abs(len(entry) - len(p)) <= allowed(len(entry)) and (d := damerau(entry, p)) <= allowed(len(entry)):
                     found.append((TYPO, d, lev, self.names[entry]))
-        return mask, found
+        return known_words, found
 
 
-def decide(ways: list[str], mask: int, found: list[Candidate]) -> tuple[int, int]:
+def decide(ways: list[str], known_words: set[str], found: list[Candidate]) -> tuple[int, int]:
     """(key, distance) of the entry meant, of all shards' candidates; key -1 if none.
 
     Exact readings come first. A beginning counts if one entry alone begins so and lacks only its last word. A value made of
@@ -270,10 +268,9 @@ def decide(ways: list[str], mask: int, found: list[Candidate]) -> tuple[int, int
         heads = {(c[3], c[2]) for c in found if c[0] == HEAD and c[1] == n}
         if len({k for k, _ in heads}) == 1 and (next(iter(heads))[0], 0) in heads:
             return next(iter(heads))[0], 0
-    for n, w in enumerate(ways[:MASK_READINGS]):
-        tokens = [t for t in words(w) if t != "and"]
-        full = sum(1 << n * MASK_TOKENS + k for k in range(len(tokens)))
-        if tokens and len(tokens) <= MASK_TOKENS and mask & full == full:
+    for w in ways:
+        tokens = {t for t in words(w) if t != "and"}
+        if tokens and tokens <= known_words:
             return -1, 0
     for n in range(len(ways)):
         keys = {c[3] for c in found if c[0] == SHORT and c[1] == n}
@@ -299,13 +296,12 @@ def map_values(values: DataFrame, entries: DataFrame, shard_entries: int = SHARD
     shards = max(1, -(-refs.count() // shard_entries))
     if shards == 1:
         listed = spark.sparkContext.broadcast([tuple(r) for r in refs.collect()])
-        kept: list[Canon] = []
+        listed_id = uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if not kept:
-                kept.append(Canon(listed.value))
+            canon = kept_on_worker(("canon", listed_id), lambda: Canon(listed.value))
             for batch in batches:
-                got = [decide(ways, *kept[0].candidates(ways)) for ways in map(readings, batch["value"])]
+                got = [decide(ways, *canon.candidates(ways)) for ways in map(readings, batch["value"])]
                 yield pd.DataFrame({"value": batch["value"], "key": [g[0] for g in got], "distance": [g[1] for g in got]})
 
         return spread(distinct).mapInPandas(run, _FOUND)
@@ -317,14 +313,14 @@ def map_values(values: DataFrame, entries: DataFrame, shard_entries: int = SHARD
     def search(vals: pd.DataFrame, refs_: pd.DataFrame) -> pd.DataFrame:
         canon = Canon(list(refs_[["key", "name", "code"]].itertuples(index=False, name=None)))
         got = [canon.candidates(readings(v)) for v in vals["value"]]
-        return pd.DataFrame({"value": vals["value"], "mask": [g[0] for g in got], "found": [[list(c) for c in g[1]] for g in got]})
+        return pd.DataFrame({"value": vals["value"], "known": [sorted(g[0]) for g in got], "found": [[list(c) for c in g[1]] for g in got]})
 
-    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(search, "value string, mask bigint, found array<array<bigint>>")
-    merged = found.groupBy("value").agg(F.bit_or("mask").alias("mask"), F.flatten(F.collect_list("found")).alias("found"))
+    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(search, "value string, known array<string>, found array<array<bigint>>")
+    merged = found.groupBy("value").agg(F.flatten(F.collect_set("known")).alias("known"), F.flatten(F.collect_list("found")).alias("found"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [decide(readings(v), int(m), [tuple(map(int, c)) for c in f]) for v, m, f in zip(batch["value"], batch["mask"], batch["found"])]
+            got = [decide(readings(v), set(m), [tuple(map(int, c)) for c in f]) for v, m, f in zip(batch["value"], batch["known"], batch["found"])]
             yield pd.DataFrame({"value": batch["value"], "key": [g[0] for g in got], "distance": [g[1] for g in got]})
 
     return merged.mapInPandas(merge, _FOUND)
@@ -339,5 +335,5 @@ def map_rows(rows: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     exact = entries.select(F.col("name").alias("exact_name")).where(F.col("exact_name").isNotNull()).distinct()
     open_ = rows.where(F.col(column).isNotNull() & ~F.col(column).rlike(BLANK))
     open_ = open_.join(exact, F.col(column) == F.col("exact_name"), "left_anti")
-    found = map_values(open_.select(column), entries)
+    found = materialize(map_values(open_.select(column), entries), "mapped")
     return open_.join(broadcast_if_small(found, 120), open_[column] == found["value"]).drop("value")
