@@ -1,14 +1,18 @@
 """Texts that were cut off before their own end.
 
-Two kinds of evidence are put together. (1) Near-copies: min-hash banding over word shingles proposes pairs, exact Jaccard
-similarity verifies them, the pair is aligned, and the copy whose alignment ends inside a word or sentence of the other is
-cut. (2) For texts that no copy shows to be cut, terminality: how a last unit without a full stop closes elsewhere. Over the
-whole corpus it is counted, for each beginning of a unit (a sentence or line), how often units that begin so go on to a full
-stop and how often they end openly, as headings, list items and signatures do. A text is cut if the longest known beginning
-of its last unit is one of sentences that go on to a full stop, or if its closing word shows it: it hardly ever ends a unit
-elsewhere, or it is no word of the corpus but the beginning of words that are.
-
-All members of a bucket are held against each other, unless their sizes rule a copy out. Exact copies count as one text.
+Two kinds of evidence are put together. (1) Near-copies: a cut copy is like the beginning of its original, however much is
+missing. Min-hash signatures are taken of the first 10, 20, 40, ... words of every text, and a text that ends openly is banded
+by its longest such beginnings with the same beginnings of all others. Pairs in one band must also share the words at
+the open end, with the other text going on there inside a sentence; then exact similarity of the text and as many words of the
+other is asked, the pair is aligned, and the text whose alignment ends early is cut. (2) For texts that no copy shows to be
+cut, terminality: how a last unit without a full stop closes elsewhere. Over the whole corpus it is counted, for each
+beginning of a unit (a sentence or line), how often units that begin so go on to a full stop and how often they end openly, as
+headings, list items and signatures do, and for each word how often it goes on and how often it closes a unit. A text is cut
+if the longest known beginning of its last unit is one of sentences that go on to a full stop, or if its closing word shows
+it: it hardly ever ends a unit elsewhere, or it is no word of the corpus but the beginning of words that are.
+
+Every text is read once for its end, its counts and its signatures; only texts that share a band are read again. Exact copies
+count as one text.
 """
 
 from __future__ import annotations
@@ -22,24 +26,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.folding import fold
-from quadrille.runtime import balanced, broadcast_if_small, materialize, release
+from quadrille.runtime import balanced, broadcast_if_small, materialize, release, spread
 
 #: Words of a shingle, least similarity of a copy, bands and rows of the min-hash.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 5
+#: Words of the shortest beginning that is signed; each further one is twice as long. Words that pairs share at an open end.
+LEAST_HEAD, CONTEXT = 10, 2
+#: Beginnings by which a text with an open end is looked up.
+KEYED = 2
+#: Counted names after which a partition's counts are sent on and begun anew.
+FLUSH = 200_000
 #: Tokens of the beginning of a unit that terminality looks at.
 PREFIX = 5
 #: The longest mark or remnant behind a cut, in characters; the first piece of a text's end that is searched for its last units.
 REMNANT, WINDOW = 512, 1024
 #: So many ends of texts alone don't show how units with a beginning close; a shorter beginning is asked then.
 FEW_ENDS = 3
-#: Marks a beginning that is part of a first word only; a closing word; the beginning of longer words.
-PART, CLOSE, LONGER = "~", "\x01", "\x02"
+#: Letters by which names are matched to beginnings of them.
+KEY = 4
 #: A closing word shows a cut if it goes on so many times as often as it ends a unit, and so many times at least.
 GOES_ON, LEAST_INNER = 100, 20
 
@@ -54,13 +65,14 @@ _REMNANT = re.compile(
     re.IGNORECASE,
 )
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
-_STOP = regex.compile(r"""[.!?。！？؟।]['"’”»)\]]*$""")
+#: Marks that end a sentence, and marks that may stand behind them.
+_STOPS, _BEHIND = ".!?。！？؟।", "'\"’”»)]"
 #: Words whose full stop ends no sentence.
 _ABBREVIATED = re.compile(r"(?:^|\s)(?:prof|dr|mr|mrs|ms|mme|st|pp|fig|vs|e\.g|i\.e)\.$", re.IGNORECASE)
 _UNITS = regex.compile(r"""(?<=[.!?。！？؟।]['"’”»)\]]?)\s+|\s*[\r\n]+\s*""")
 _CODE = re.compile(r"\b[A-Za-z]{2,6} ?\d{3}[A-Za-z]?\b")
 _DIGIT = re.compile(r"\d")
-_MARKS = re.compile(r"[\W_]+")
+_LETTERS = re.compile(r"[^\W_]+")
 
 
 def trimmed(text: str) -> str:
@@ -97,8 +109,14 @@ def _remnant_at(text: str) -> int:
     return m.start() if m and m.start() < len(text) else -1
 
 
+def stops(text: str) -> bool:
+    """Whether a text ends with a full stop, quotes and brackets behind it included."""
+    bare = text.rstrip(_BEHIND)
+    return bool(bare) and bare[-1] in _STOPS
+
+
 def ends_well(text: str) -> bool:
-    return bool(_STOP.search(text)) and not _ABBREVIATED.search(text[-12:])
+    return stops(text) and not _ABBREVIATED.search(text[-12:])
 
 
 def units(text: str) -> list[str]:
@@ -129,7 +147,7 @@ def beginnings(unit: str) -> list[str]:
 
 def unit_words(unit: str) -> list[str]:
     """The words of a unit in small letters without marks; a course code, made alike, is C."""
-    return [w if w == "C" else w.lower() for w in _MARKS.sub(" ", fold(unit)).split()]
+    return [w if w == "C" else w.lower() for w in _LETTERS.findall(fold(unit))]
 
 
 def closing_word(unit: str) -> str:
@@ -174,143 +192,190 @@ def _tail(piece: str, marked: bool) -> tuple[str, bool, str, int] | None:
     return parts[-1], marked, parts[-2] if len(parts) > 1 else "", len(parts)
 
 
-def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_COUNTED = pa.schema([("doc", pa.int64()), ("marked", pa.bool_()), ("open", pa.bool_()), ("begins", pa.list_(pa.string())), ("whole", pa.bool_()), ("before", pa.int64()), ("closing", pa.string()), ("same", pa.string()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kind", pa.string()), ("name", pa.string()), ("stopped", pa.int64()), ("opened", pa.int64())])
+_DDL = "doc bigint, marked boolean, open boolean, begins array<string>, whole boolean, before bigint, closing string, same string, n int, keys array<bigint>, bands array<bigint>, ends array<bigint>, kind string, name string, stopped bigint, opened bigint"
+#: Kinds of rows of the one pass: a document, a beginning of a unit, a word.
+DOCUMENT, BEGINNING, WORD = "document", "beginning", "word"
+
+
+def _read_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text with its end and signatures, and rows with counts of beginnings and words for what was read since the last ones."""
+    counts = [Counter() for _ in range(4)]
     for batch in batches:
         rows = []
-        for doc, text in zip(batch["doc"], batch["text"]):
-            unit, marked, before = tail(text)
-            if unit:
-                begins = beginnings(alike(unit))
-                if len(begins) == 1:
-                    begins = [PART + begins[0]]
-                rows.append((doc, marked, begins, len(alike(unit).split()) == len(begins), xxhash.xxh3_64_intdigest(before) - (1 << 63), closing_word(alike(unit))))
-        yield pd.DataFrame(rows, columns=["doc", "marked", "begins", "whole", "before", "closing"])
+        for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
+            rows.append({"doc": doc, "kind": DOCUMENT} | _end_of(text) | _count_units(text, *counts))
+        yield pa.RecordBatch.from_pylist(rows, schema=_COUNTED)
+        if sum(map(len, counts)) > FLUSH:
+            yield _counted(*counts)
+            counts = [Counter() for _ in range(4)]
+    yield _counted(*counts)
 
 
-def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch, how many units with a full stop and how many open units begin so; the last unit of a text counts if it stops.
+def _end_of(text: str) -> dict:
+    unit, marked, before = tail(text)
+    if not unit:
+        return {"marked": marked}
+    like = alike(unit)
+    begins = beginnings(like)
+    return {"marked": marked, "begins": begins, "whole": len(like.split()) == len(begins), "before": xxhash.xxh3_64_intdigest(before) - (1 << 63), "closing": closing_word(like)}
 
-    A CLOSE word is counted as stopped where its unit goes on behind it, as open where the unit ends with it; a LONGER
-    beginning is counted as stopped for each longer word.
-    """
-    for batch in batches:
-        stopped: Counter = Counter()
-        open_: Counter = Counter()
-        inner: Counter = Counter()
-        final: Counter = Counter()
-        for text in batch["text"]:
-            parts = units(trimmed(alike(plain(without_remnant(text)[0]))))
-            for n, u in enumerate(parts, 1):
-                words = unit_words(u)
-                inner.update(words[:-1])
-                if n < len(parts) or _STOP.search(trimmed(u)):
-                    final.update(words[-1:])
-                if u[-1] in ".!?" or _STOP.search(trimmed(u)):
-                    stopped.update(beginnings(u))
-                elif n < len(parts):
-                    open_.update(beginnings(u))
-        for word in [w for w in stopped if " " not in w]:
-            for k in range(1, min(len(word), 24) + 1):
-                stopped[PART + word[:k]] += stopped[word]
-        for word in [w for w in open_ if " " not in w]:
-            open_[PART + word] += open_[word]
-        for word, times in (inner + final).items():
-            for k in range(1, min(len(word), 25)):
-                stopped[LONGER + word[:k]] += times
-            stopped[CLOSE + word] = inner[word]
-            open_[CLOSE + word] = final[word]
-        names = list(stopped.keys() | open_.keys())
-        yield pd.DataFrame({"begin": names, "stopped": [stopped[x] for x in names], "open": [open_[x] for x in names]})
-
-
-def open_tails(texts: DataFrame) -> DataFrame:
-    """(doc, marked, begins, whole, before, closing) of each text whose last unit has no full stop.
-
-    whole: whether the last of begins is the whole unit; before: a hash of the unit before it; closing: its last word.
+
+def _count_units(text: str, stopped: Counter, opened: Counter, inner: Counter, final: Counter) -> dict:
+    """Counts the units of a text; its end and signatures for the comparison of copies.
+
+    Units with a full stop and open units count by their beginnings; the last unit of a text counts if it stops. Words count
+    as inner where their unit goes on behind them and as final where it ends with them.
     """
-    return texts.mapInPandas(_tails, "doc bigint, marked boolean, begins array<string>, whole boolean, before bigint, closing string")
+    whole = plain(without_remnant(text)[0])
+    parts = units(trimmed(alike(whole)))
+    for n, u in enumerate(parts, 1):
+        stop = stops(u) or stops(trimmed(u))
+        words = unit_words(u)
+        inner.update(words[:-1])
+        if n < len(parts) or stop:
+            final.update(words[-1:])
+        if stop:
+            stopped.update(beginnings(u))
+        elif n < len(parts):
+            opened.update(beginnings(u))
+    return signature(_WORDS.findall(fold(whole).lower()), not ends_well(trimmed(whole)))
+
+
+def _counted(stopped: Counter, opened: Counter, inner: Counter, final: Counter) -> pa.RecordBatch:
+    names, words = list(stopped.keys() | opened.keys()), list(inner.keys() | final.keys())
+    columns = {
+        "kind": [BEGINNING] * len(names) + [WORD] * len(words),
+        "name": names + words,
+        "stopped": [stopped[x] for x in names] + [inner[x] for x in words],
+        "opened": [opened[x] for x in names] + [final[x] for x in words],
+    }
+    size = len(names) + len(words)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _COUNTED], schema=_COUNTED)
+
+
+def read_once(texts: DataFrame) -> DataFrame:
+    """The one pass over texts (doc, text): rows of all three kinds, written."""
+    return materialize(texts.mapInArrow(_read_once, _DDL), "read")
 
 
-def cut_by_terminality(texts: DataFrame) -> DataFrame:
-    """(doc) of texts (doc, text) that a mark or the terminality of their last unit shows to be cut.
+def _known(read: DataFrame, kind: str) -> DataFrame:
+    """(name, stopped, opened) of a kind, over the whole corpus."""
+    return read.where(F.col("kind") == kind).groupBy("name").agg(F.sum("stopped").alias("stopped"), F.sum("opened").alias("opened"))
+
+
+def begun_by(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """names (name, ...) joined to every wanted (begin) that begins the name, by the first letters of both."""
+    sized = names.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(KEY))))).withColumn("key", F.substr("name", F.lit(1), F.col("k")))
+    keyed = wanted.select("begin", F.least(F.length("begin"), F.lit(KEY)).alias("k")).withColumn("key", F.substr("begin", F.lit(1), F.col("k")))
+    return sized.join(broadcast_if_small(keyed, 80), ["k", "key"]).where(F.startswith("name", "begin")).drop("k", "key")
+
+
+def cut_by_terminality(read: DataFrame) -> DataFrame:
+    """(doc) of the texts of ``read_once`` that a mark or the terminality of their last unit shows to be cut.
 
     The ends of texts count once per different unit before them, so copies of one cut text don't make its end look meant. The
-    whole last unit, whose last word may be half a word, counts only where sentences begin with it. A unit that begins like
-    no other is taken as meant, unless its closing word shows a cut: a word that goes on GOES_ON times as often as it ends a
-    unit, or half a word, which occurs nowhere in the corpus though longer words begin so.
+    whole last unit, whose last word may be half a word, counts only where sentences begin with it; a last unit of one word
+    counts by all first words that it begins. A unit that begins like no other is taken as meant, unless its closing word
+    shows a cut (``cut_words``).
     """
-    tails = materialize(open_tails(texts), "tails")
-    counts = texts.mapInPandas(_unit_counts, "begin string, stopped bigint, open bigint")
-    kinds = tails.where(~F.col("marked")).select("begins", "whole", "before").distinct()
+    tails = read.where(F.col("begins").isNotNull()).select("doc", "marked", "begins", "whole", "before", "closing")
+    unmarked = tails.where(~F.col("marked"))
+    kinds = materialize(unmarked.select("begins", "whole", "before", "closing").distinct(), "ends")
     asked = kinds.select("begins", "whole", "before", F.posexplode("begins").alias("k", "begin"))
-    closings = tails.where(~F.col("marked") & (F.col("closing") != "")).select("closing", "before").distinct()
-    marks = F.explode(F.array(F.lit(CLOSE), F.lit(LONGER)))
-    closed = closings.select(marks.alias("mark"), "closing", "before").select(F.concat("mark", "closing").alias("begin"), "before")
-    every = asked.select("begin", "before").distinct().unionByName(closed)
-    wanted = materialize(every.groupBy("begin").agg(F.count("*").alias("ends")), "begins")
-    known = (
-        counts.join(broadcast_if_small(wanted.select("begin"), 80), "begin", "left_semi")
-        .groupBy("begin")
-        .agg(F.sum("stopped").alias("stopped"), F.sum("open").alias("open"))
-    )
-    inner = F.coalesce("open", F.lit(0))
-    stopped = F.coalesce("stopped", F.lit(0))
-    known = wanted.join(known, "begin", "left").where((stopped + inner > 0) | (F.col("ends") > FEW_ENDS))
-    known = materialize(known.select("begin", stopped.alias("stopped"), (inner + F.col("ends") - 1).alias("open")), "known")
+    wanted = asked.groupBy("begin", (F.size("begins") == 1).alias("alone")).agg(F.count_distinct("before").alias("ends"))
+    wanted = materialize(wanted, "begins")
+    every = _known(read, BEGINNING).withColumnRenamed("name", "begin")
+    plainly = wanted.where(~F.col("alone")).join(every.join(broadcast_if_small(wanted.select("begin").distinct(), 80), "begin", "left_semi"), "begin", "left")
+    single = begun_by(_known(read, BEGINNING).where(~F.col("name").contains(" ")), wanted.where("alone").select("begin"))
+    single = single.groupBy("begin").agg(F.sum("stopped").alias("stopped"), F.sum(F.when(F.col("name") == F.col("begin"), F.col("opened"))).alias("opened"))
+    alone = wanted.where("alone").join(single, "begin", "left")
+    stopped, opened = F.coalesce("stopped", F.lit(0)), F.coalesce("opened", F.lit(0))
+    known = plainly.unionByName(alone).where((stopped + opened > 0) | (F.col("ends") > FEW_ENDS))
+    known = materialize(known.select("begin", "alone", stopped.alias("stopped"), (opened + F.col("ends") - 1).alias("opened")), "known")
     last = F.col("whole") & (F.col("k") == F.size("begins") - 1) & (F.size("begins") > 1)
-    found = asked.select("begins", "whole", "k", "begin").distinct().join(broadcast_if_small(known, 100), "begin")
-    found = found.where(~last | (F.col("stopped") > 0))
-    best = found.groupBy("begins", "whole").agg(F.max_by(F.struct("stopped", "open"), "k").alias("b"))
-    cut = best.where(F.col("b.stopped") > F.col("b.open")).select("begins", "whole")
-    unmarked = tails.where(~F.col("marked"))
+    named = asked.select("begins", "whole", "k", "begin", (F.size("begins") == 1).alias("alone")).distinct()
+    found = named.join(broadcast_if_small(known, 100), ["begin", "alone"]).where(~last | (F.col("stopped") > 0))
+    best = found.groupBy("begins", "whole").agg(F.max_by(F.struct("stopped", "opened"), "k").alias("b"))
+    cut = best.where(F.col("b.stopped") > F.col("b.opened")).select("begins", "whole")
     by_unit = unmarked.join(broadcast_if_small(cut, 160), ["begins", "whole"], "left_semi").select("doc")
-    by_word = unmarked.join(broadcast_if_small(cut_words(known), 32), "closing", "left_semi").select("doc")
+    words = cut_words(_known(read, WORD), kinds.where(F.col("closing") != "").groupBy("closing").agg(F.count_distinct("before").alias("ends")))
+    by_word = unmarked.join(broadcast_if_small(words, 32), "closing", "left_semi").select("doc")
     return by_unit.unionByName(by_word).unionByName(tails.where("marked").select("doc")).distinct()
 
 
-def cut_words(known: DataFrame) -> DataFrame:
-    """(closing) of closing words that show a cut, by the counts (begin, stopped, open) of their CLOSE and LONGER rows.
+def cut_words(words: DataFrame, closings: DataFrame) -> DataFrame:
+    """(closing) of closing words (closing, ends) that show a cut, by the counts of all words.
 
-    Other open ends with the word are in open; a word that is known by them alone occurs nowhere else.
+    A word shows it that goes on GOES_ON times as often as it ends a unit, here or elsewhere, or half a word, which occurs
+    nowhere in the corpus though longer words begin so.
     """
-    of = lambda mark: known.where(F.col("begin").startswith(mark)).withColumn("closing", F.expr("substring(begin, 2)")).drop("begin")
-    close = of(CLOSE)
-    goes_on = close.where((F.col("stopped") >= LEAST_INNER) & (F.col("stopped") > GOES_ON * F.col("open"))).select("closing")
-    longer = of(LONGER).where((F.col("stopped") > FEW_ENDS) & (F.col("stopped") > GOES_ON * F.col("open")))
-    word = close.select("closing", (F.col("stopped") + F.col("open")).alias("times"))
-    half = longer.join(word, "closing", "left").where(F.coalesce("times", "open") <= F.col("open")).select("closing")
-    return goes_on.unionByName(half).distinct()
-
-
-def shingle_hashes(words: list[str]) -> np.ndarray:
+    begun = begun_by(words, closings.select(F.col("closing").alias("begin")))
+    own, times = F.col("name") == F.col("begin"), F.col("stopped") + F.col("opened")
+    sums = begun.groupBy("begin").agg(*[F.coalesce(F.sum(F.when(w, c)), F.lit(0)).alias(n) for w, c, n in ((own, F.col("stopped"), "inner"), (own, F.col("opened"), "final"), (~own, times, "longer"))])
+    t = closings.join(sums.withColumnRenamed("begin", "closing"), "closing")
+    again = F.col("final") + F.col("ends") - 1
+    goes_on = (F.col("inner") >= LEAST_INNER) & (F.col("inner") > GOES_ON * again)
+    half = (F.col("inner") + F.col("final") == 0) & (F.col("longer") > FEW_ENDS) & (F.col("longer") > GOES_ON * (F.col("ends") - 1))
+    return t.where(goes_on | half).select("closing")
+
+
+def running_shingles(words: list[str]) -> np.ndarray:
+    """A hash of each run of SHINGLE words, by its place."""
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
     out = np.zeros(len(words) - SHINGLE + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(SHINGLE):
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
             out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingle_hashes(words: list[str]) -> np.ndarray:
+    return np.unique(running_shingles(words))
+
+
+_WORDS = re.compile(r"\w+")
 
 
 def copy_words(text: str) -> list[str]:
     """Words to compare copies by."""
-    return re.findall(r"\w+", fold(plain(without_remnant(text)[0])).lower())
+    return _WORDS.findall(fold(plain(without_remnant(text)[0])).lower())
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc"], batch["text"]):
-            w = copy_words(text)
-            if len(w) < SHINGLE:
-                continue
-            shingles = shingle_hashes(w)
-            with np.errstate(over="ignore"):
-                mixed = shingles[:, None] * _A + _B
-            low = (mixed ^ (mixed >> np.uint64(31))).min(axis=0)
-            bands = [xxhash.xxh3_64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes()) - (1 << 63) for i in range(BANDS)]
-            rows.append((doc, shingles.size, xxhash.xxh3_128_hexdigest(" ".join(w)), bands))
-        yield pd.DataFrame(rows, columns=["doc", "n", "same", "bands"])
+def heads(n: int) -> list[int]:
+    """The lengths of the beginnings of n words that are signed, the longest last."""
+    out = []
+    while LEAST_HEAD << len(out) <= n:
+        out.append(LEAST_HEAD << len(out))
+    return out
+
+
+def context(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
+
+
+def signature(words: list[str], open_: bool) -> dict:
+    """same: a hash of the words; bands: of all signed beginnings, keys: of the KEYED longest; ends: of the words at an open end.
+
+    The last word of an open end may be half a word, so the words before it are an end, too.
+    """
+    out = {"open": open_, "n": len(words), "same": xxhash.xxh3_128_hexdigest(f"{open_} {' '.join(words)}"), "bands": [], "keys": [], "ends": []}
+    lengths = heads(len(words))
+    if not lengths:
+        return out
+    shingles = running_shingles(words[: lengths[-1]])
+    with np.errstate(over="ignore"):
+        mixed = shingles[:, None] * _A + _B
+    mixed ^= mixed >> np.uint64(31)
+    cuts = [0, *(n - SHINGLE + 1 for n in lengths[:-1])]
+    least = np.minimum.accumulate(np.minimum.reduceat(mixed, cuts, axis=0), axis=0)
+    for n, row in zip(lengths, least):
+        out["bands"] += [xxhash.xxh3_64_intdigest(row[i * ROWS : (i + 1) * ROWS].tobytes(), seed=n * BANDS + i) - (1 << 63) for i in range(BANDS)]
+    out["keys"] = out["bands"][-KEYED * BANDS :]
+    if open_:
+        out["ends"] = [context(words[-CONTEXT:]), context(words[-CONTEXT - 1 : -1])]
+    return out
 
 
 def jaccard(a: list[str], b: list[str]) -> float:
@@ -334,8 +399,9 @@ def _tokens(text: str) -> list[tuple[str, bool]]:
 
 
 def ends_early(text: str, other: str) -> bool:
-    """Whether a text, aligned with a near-copy, stops inside a word or sentence of it."""
+    """Whether a text, aligned with the beginning of a near-copy, stops inside a word or sentence of it."""
     a, b = _tokens(text), _tokens(other)
+    b = b[: len(a) + len(a) // 4 + SHINGLE]
     if len(a) < 2 or len(b) < 2:
         return False
     blocks = difflib.SequenceMatcher(None, [w for w, _ in a], [w for w, _ in b], autojunk=False).get_matching_blocks()
@@ -353,57 +419,94 @@ def ends_early(text: str, other: str) -> bool:
     return False
 
 
+def is_cut_copy(text: str, other: str) -> bool:
+    """Whether a text is like as many words of the beginning of the other and ends early there."""
+    a, b = copy_words(text), copy_words(other)
+    return len(a) >= SHINGLE and len(b) >= SHINGLE and jaccard(a, b[: max(len(a), SHINGLE)]) >= SIMILAR and ends_early(text, other)
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(x, b) for x, b, text, other in zip(batch["x"], batch["b"], batch["text"], batch["other"]) if is_cut_copy(text, other)]
+        yield pd.DataFrame(rows, columns=["x", "b"])
+
+
+def _goes_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's contexts behind which a sentence goes on."""
     for batch in batches:
         rows = []
-        for one, two, x, y in zip(batch["doc"], batch["center"], batch["text"], batch["other"]):
-            if jaccard(copy_words(x), copy_words(y)) >= SIMILAR:
-                rows.append((one, two, ends_early(x, y), ends_early(y, x)))
-        yield pd.DataFrame(rows, columns=["doc", "center", "doc_cut", "center_cut"])
+        for b, text in zip(batch["b"], batch["text"]):
+            w, inside = [], []
+            for u in _UNITS.split(trimmed(plain(without_remnant(text)[0]))):
+                own = _WORDS.findall(fold(u).lower())
+                w += own
+                inside += range(len(w) - len(own) + 1, len(w))
+            rows.append((b, sorted({context(w[i - CONTEXT : i]) for i in inside if i >= CONTEXT})))
+        yield pd.DataFrame(rows, columns=["b", "contexts"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(x, b) of the pairs whose x is a cut copy of b."""
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.col("x").alias("doc")).union(pairs.select("b")).distinct()
+    some = materialize(texts.join(broadcast_if_small(ids, 16), "doc", "left_semi").dropDuplicates(["doc"]), "some")
+    full = pairs.join(some.withColumnRenamed("doc", "x"), "x").join(some.select(F.col("doc").alias("b"), F.col("text").alias("other")), "b")
+    out = materialize(spread(full).mapInPandas(_verify, "x bigint, b bigint"), "verified")
+    release(pairs, some)
+    return out
 
 
-def copy_links(texts: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(doc, center, doc_cut, center_cut): verified pairs of near-copies; of all pairs that share a bucket, center is the larger.
+def copy_links(texts: DataFrame, read: DataFrame) -> DataFrame:
+    """(x, b): for each open text that a near-copy shows to be cut, at least one such pair; equal texts are one.
 
-    n is a text's number of different shingles: sizes further apart than SIMILAR can't be copies. Each pair comes out of the
-    first band it shares, so no pair is verified twice.
+    First every x is held against the longest text of each of its bands that goes on behind its end, so a band of any size
+    costs one pair for each of its texts; only those that this doesn't show to be cut meet the band's other such texts.
     """
-    one = signatures.groupBy("same").agg(F.min(F.struct("doc", "n", "bands")).alias("s")).select("s.*")
-    members = one.select("doc", "n", "bands", F.posexplode("bands").alias("band", "hash"))
-    crowd = members.groupBy("band", "hash").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
-    left = materialize(members.join(crowd, ["band", "hash"], "left_semi"), "members")
-    large = left.select("band", "hash", F.col("doc").alias("center"), F.col("n").alias("most"), F.col("bands").alias("own"))
-    first = F.array_position(F.zip_with("bands", "own", lambda x, y: x == y), True) - 1
-    fits = (F.struct("n", "doc") < F.struct("most", "center")) & (F.col("n") >= SIMILAR * F.col("most"))
-    pairs = materialize(left.join(large, ["band", "hash"]).where(fits & (first == F.col("band"))).select("doc", "center"), "pairs")
-    ids = pairs.select("doc").union(pairs.select("center")).distinct()
-    some = texts.join(broadcast_if_small(ids, 16), "doc", "left_semi")
-    full = pairs.join(some, "doc").join(some.select(F.col("doc").alias("center"), F.col("text").alias("other")), "center")
-    links = materialize(full.mapInPandas(_verify, "doc bigint, center bigint, doc_cut boolean, center_cut boolean"), "links")
-    release(left, pairs)
+    one = read.where((F.col("kind") == DOCUMENT) & (F.size("keys") > 0)).groupBy("same").agg(F.min_by(F.struct("doc", "n", "keys", "bands", "ends"), "doc").alias("s"))
+    one = materialize(one.select("s.*"), "texts")
+    keyed = one.where(F.size("ends") > 0).select(F.col("doc").alias("x"), "ends", F.explode("keys").alias("band"))
+    near = one.select(F.col("doc").alias("b"), F.col("n").alias("size"), F.explode("bands").alias("band"))
+    near = materialize(near.join(broadcast_if_small(keyed.select("band").distinct(), 16), "band", "left_semi"), "near")
+    crowd = materialize(near.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("band"), "crowd")
+    keyed = keyed.join(broadcast_if_small(crowd, 16), "band", "left_semi").select("band", "x", F.explode("ends").alias("context")).distinct()
+    keyed = materialize(keyed, "keyed")
+    near = near.join(broadcast_if_small(crowd, 16), "band", "left_semi")
+    held = texts.withColumnRenamed("doc", "b").join(broadcast_if_small(near.select("b").distinct(), 16), "b", "left_semi")
+    on = held.mapInPandas(_goes_on, "b bigint, contexts array<bigint>").select("b", F.explode("contexts").alias("context")).distinct()
+    on = materialize(on.join(broadcast_if_small(keyed.select("context").distinct(), 16), "context", "left_semi"), "goes_on")
+    going = materialize(near.join(on, "b").select("band", "context", "size", "b"), "going")
+    longest = going.groupBy("band", "context").agg(F.max(F.struct("size", "b")).alias("m")).select("band", "context", F.col("m.b").alias("b"))
+    other = F.col("x") != F.col("b")
+    first = keyed.join(longest, ["band", "context"]).where(other).select("x", "b").distinct()
+    shown = verified(first, texts)
+    rest = keyed.join(broadcast_if_small(shown.select("x").distinct(), 16), "x", "left_anti")
+    second = rest.join(going, ["band", "context"]).where(other).select("x", "b").distinct().join(first, ["x", "b"], "left_anti")
+    links = materialize(shown.unionByName(verified(second, texts)), "links")
+    release(one, near, crowd, keyed, on, going, shown)
     return links
 
 
-def cut_by_copies(texts: DataFrame) -> DataFrame:
+def cut_by_copies(texts: DataFrame, read: DataFrame) -> DataFrame:
     """(doc) of texts that a near-copy shows to be cut, their exact copies included."""
-    signatures = materialize(texts.mapInPandas(_signatures, "doc bigint, n int, same string, bands array<bigint>"), "signatures")
-    links = copy_links(texts, signatures)
-    cut = links.where("doc_cut").select("doc").union(links.where("center_cut").select("center")).distinct()
-    same = signatures.join(broadcast_if_small(cut, 16), "doc", "left_semi").select("same").distinct()
-    return signatures.join(broadcast_if_small(same, 64), "same", "left_semi").select("doc")
+    cut = copy_links(texts, read).select(F.col("x").alias("doc")).distinct()
+    own = read.where(F.col("kind") == DOCUMENT).select("doc", "same")
+    same = own.join(broadcast_if_small(cut, 16), "doc", "left_semi").select("same").distinct()
+    return own.join(broadcast_if_small(same, 64), "same", "left_semi").select("doc")
 
 
 def find_cut(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key) of each distinct row whose text was cut off inside a word or sentence.
 
     Null, empty and blank texts are never cut, nor are texts that end as meant (with a full stop, or openly like a heading, a
-    list item, a signature or a search phrase). Texts of fewer words than a shingle are judged by terminality alone. An
+    list item, a signature or a search phrase). Texts of fewer than LEAST_HEAD words are judged by terminality alone. An
     empty table gives no rows; other columns are ignored.
     """
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}]"))
     texts = balanced(texts)
-    both = cut_by_terminality(texts).unionByName(cut_by_copies(texts)).distinct()
-    return both.withColumnRenamed("doc", key)
+    read = read_once(texts)
+    found = materialize(cut_by_terminality(read).unionByName(cut_by_copies(texts, read)).distinct(), "cut")
+    release(read)
+    return found.withColumnRenamed("doc", key)
 
 
 def cut_rates(docs: DataFrame, cut: DataFrame, key: str, source: str) -> DataFrame:
