@@ -1,16 +1,20 @@
 """Several values packed in one field: a parsing expression grammar, one row per value with its position.
 
-    field    <- marks? (group end / list) end
-    group    <- open list close                    open and close: [ ] or { } or ( )
-    list     <- (separator / value)*
-    value    <- quoted &(separator / end) / bare   ordered: where a quote doesn't close, the parser goes back
-    quoted   <- Q (Q Q / '\\' any / !Q any)* Q        Q: " or ', or “ closed by ”
-    bare     <- (!separator any)+
-    separator<- [,;；|/&+•\\n\\r\\t] / blank 'and' blank / blank 'or' blank
+    field    <- list end
+    list     <- (marks / separator / value)*
+    value    <- quoted &stop / group &stop / bare      ordered: where a quote or bracket doesn't close, the parser goes back
+    quoted   <- Q (Q Q / '\\' any / !Q any)* Q          Q: " or ', or “ closed by ”
+    group    <- open list close                        open and close: [ ] or { } or ( )
+    bare     <- (held / !separator any)+ tail?
+    held     <- open any* close                        separators in a bracket inside a value are part of it
+    tail     <- blank open ('and' / 'or') blank list close     as in 'CS 115 (or CS 135)'
+    stop     <- separator / close / end
+    separator<- [,;；|/&+•\n\r\t] / blank 'and' blank / blank 'or' blank
     marks    <- a bullet - * • at the start of a line
 
-The alternatives are tried in order at each place; a quote that never closes, or is followed by more than blanks before
-the next separator, is read again as part of a bare value and sets the error flag.
+The alternatives are tried in order at each place. A quote that never closes, or is followed by more than blanks before the
+next stop, is read again as part of a bare value and sets the error flag, as does a bracket without its partner. What a failed
+quote has shown about the places behind it is kept, so a field takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 SEPARATORS = ",;；|/&+•\n\r\t"
 BRACKETS = {"[": "]", "{": "}", "(": ")"}
 QUOTES = {'"': '"', "'": "'", "“": "”"}
+_CLOSING = set(BRACKETS.values())
 
 _WORD = re.compile(r"\s(?:and|or)(?=\s)", re.IGNORECASE)
+_JOINED = re.compile(r"\s*(?:and|or)\s", re.IGNORECASE)
 _BULLET = re.compile(r"\s*[-*•](?=\s)\s*")
 _CODE = re.compile(r"([A-Za-z]{2,6})\s*(\d{3}[A-Za-z]*)\s*\Z")
 _NUMBER = re.compile(r"\d{3}[A-Za-z]*\Z")
@@ -42,15 +48,19 @@ def _separator(text: str, at: int, end: int) -> int:
     return word.end() if word else -1
 
 
-def _quoted(text: str, at: int, end: int) -> tuple[str, int] | None:
-    """The value quoted from here and the place behind it; None if the quote doesn't close before a separator or the end."""
-    close = QUOTES[text[at]]
-    twice = close == text[at]
+def _quoted(text: str, at: int, end: int, lost: set[tuple[str, int]]) -> tuple[str, int] | None:
+    """The value quoted from here and the place behind it; None if the quote doesn't close before a stop.
+
+    lost: (quote, place) pairs from which no quote of the kind closes; what is read in vain is added.
+    """
+    quote = text[at]
+    close = QUOTES[quote]
+    twice = close == quote
     out: list[str] = []
     i = at + 1
-    while i < end:
+    while i < end and (quote, i) not in lost:
         c = text[i]
-        if c == "\\" and i + 1 < end and text[i + 1] in (close, text[at], "\\"):
+        if c == "\\" and i + 1 < end and text[i + 1] in (close, quote, "\\"):
             out.append(text[i + 1])
             i += 2
         elif c == close:
@@ -67,22 +77,46 @@ def _quoted(text: str, at: int, end: int) -> tuple[str, int] | None:
         else:
             out.append(c)
             i += 1
+    lost.update((quote, j) for j in range(at + 1, min(i, end)))
     return None
 
 
 def _stops(text: str, at: int, end: int) -> bool:
-    """Whether only blanks lie between this place and a separator or the end."""
+    """Whether only blanks lie between this place and a separator, a closing bracket or the end."""
     if at >= end:
         return True
     if _separator(text, at, end) >= 0:
         return True
     i = _BLANKS.match(text, at, end).end()
-    return i >= end or text[i] in SEPARATORS
+    return i >= end or text[i] in SEPARATORS or text[i] in _CLOSING
+
+
+def _partners(text: str, at: int, end: int, lost: set[tuple[str, int]]) -> dict[int, int]:
+    """The place of the closing bracket of each opening one that has one; brackets inside quoted values are none."""
+    found: dict[int, int] = {}
+    open_: list[int] = []
+    i = at
+    while i < end:
+        c = text[i]
+        if c in QUOTES and (i == at or text[i - 1].isspace() or text[i - 1] in SEPARATORS or text[i - 1] in BRACKETS):
+            if got := _quoted(text, i, end, lost):
+                i = got[1]
+                continue
+        elif c in BRACKETS:
+            open_.append(i)
+        elif c in _CLOSING and open_ and BRACKETS[text[open_[-1]]] == c:
+            found[open_.pop()] = i
+        i += 1
+    return found
 
 
 def _list(text: str, at: int, end: int) -> list[tuple[str, bool]]:
     """(value, malformed) of each value from here to end."""
     values: list[tuple[str, bool]] = []
+    lost: set[tuple[str, int]] = set()
+    partner = _partners(text, at, end, lost) if any(c in BRACKETS for c in text) else {}
+    paired = partner.keys() | set(partner.values())
+    closing: set[int] = set()
     line_start = True
     while at < end:
         if line_start and (bullet := _BULLET.match(text, at, end)):
@@ -95,23 +129,32 @@ def _list(text: str, at: int, end: int) -> list[tuple[str, bool]]:
             line_start = c in "\n\r"
             at = past
             continue
-        if c.isspace():
+        if c.isspace() or at in closing:
+            at += 1
+            continue
+        if at in partner and _stops(text, partner[at] + 1, end):
+            closing.add(partner[at])
+            line_start = True
             at += 1
             continue
         line_start = False
-        if c in QUOTES:
-            if got := _quoted(text, at, end):
-                values.append((got[0], False))
-                at = got[1]
-                continue
-            bad = True
-        else:
-            bad = False
+        bad = c in QUOTES
+        if bad and (got := _quoted(text, at, end, lost)):
+            values.append((got[0], False))
+            at = got[1]
+            continue
         i = at
-        while i < end and _separator(text, i, end) < 0:
+        while i < end and i not in closing and _separator(text, i, end) < 0:
+            if i in partner:
+                if i > at and (word := _JOINED.match(text, i + 1, partner[i])) and _stops(text, partner[i] + 1, end):
+                    closing.add(partner[i])
+                    break
+                i = partner[i] + 1
+                continue
+            bad |= (text[i] in BRACKETS or text[i] in _CLOSING) and i not in paired
             i += 1
         values.append((text[at:i], bad))
-        at = i
+        at = word.end() if i in partner else i
     return values
 
 
@@ -122,14 +165,9 @@ def parse_field(text: str | None) -> list[tuple[str, bool]]:
     at, end = len(text) - len(text.lstrip()), len(text.rstrip())
     if at >= end:
         return []
-    values = None
-    if (close := BRACKETS.get(text[at])) and text[end - 1] == close:
-        values = _list(text, at + 1, end - 1)
-    if values is None:
-        values = _list(text, at, end)
     out: list[tuple[str, bool]] = []
     subject = ""
-    for value, bad in values:
+    for value, bad in _list(text, at, end):
         value = value.strip()
         if not value:
             continue

@@ -132,6 +132,8 @@ def test_nested(spark):
         ('["CS 1", "the \\"gold\\" card, any"]', ["CS 1", 'the "gold" card, any']), ("{CS135, \"a, b\"}", ["CS135", "a, b"]), ("('a; b' and CS135)", ["a; b", "CS135"]),
         ('"say ""hi"", now" or CS135A', ['say "hi", now', "CS135A"]), ("“it’s, so” & CS135", ["it’s, so", "CS135"]), ("Dean's leave + CS135", ["Dean's leave", "CS135"]),
         ("- CS135\r\n- 'x, y'\r\n- 136", ["CS135", "x, y", "CS136"]), ("* co-op standing\n* CS 135", ["co-op standing", "CS135"]), ("• CS135 • CS136", ["CS135", "CS136"]),
+        ("[CS 115], [CS 135, CS 145]", ["CS115", "CS135", "CS145"]), ("CS 115 (or CS 135)", ["CS115", "CS135"]), ("{(CS 115), [x; 'y, z']}", ["CS115", "x", "y, z"]),
+        ("CS 115 (lab, term), CS 2", ["CS 115 (lab, term)", "CS 2"]), ('["a ] b", CS 135]', ["a ] b", "CS135"]), ("(A, B) lab", ["(A, B) lab"]), ("(CS 115", ["(CS 115"]), ("()", []),
         ("'open, CS135", ["'open", "CS135"]), ("“open, CS135", ["“open", "CS135"]), ("135", ["135"]), ('""', []), ("CS135 AND CS136", ["CS135", "CS136"]), ("candor and", ["candor and"]),
     ],
 )
@@ -139,6 +141,15 @@ def test_packed_grammar(text, items):
     assert [i for i, _ in packed.parse_field(text)] == items
 
 
+def test_packed_flags():
+    """A quote or bracket without its partner is flagged; what is whole isn't."""
+    flags = lambda text: [bad for _, bad in packed.parse_field(text)]
+    assert flags("(CS 115, CS 135") == [True, False] and flags("CS 115], CS 135") == [True, False] and flags('"x, y') == [True, False]
+    assert not any(flags("[CS 115], (x (y), 'z')") + flags("CS 115 (or CS 135)"))
+    many = "; ".join("'a" for _ in range(30000)) + " " + "(" * 30000
+    assert len(flags(many)) == 30000 and all(flags(many))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab ,;'\"/&-", min_size=1, max_size=12).map(str.strip).filter(lambda s: s and s.strip("-* •")), max_size=5))
 def test_packed_round_trip(values):
