@@ -1,9 +1,10 @@
-"""Deeply nested JSON records to flat related rows.
+"""Deeply nested JSON records to flat related tables.
 
 Cells are parsed once to VARIANT values in the JVM. One aggregate infers the merged schema of each column's records, which
-tells the arrays at its top; these are exploded, and then level by level the arrays nested in the elements, each element
-keeping the key of its parent and its ordinal. Every level is a narrow pass over the elements of the level above, written
-once, so no part is parsed or expanded twice; it ends with the first empty level, whatever the depth.
+tells the names that hold arrays; the arrays of every name are exploded level by level, each element keeping the key of its
+parent, the names of the arrays that lead to it and its ordinals. Objects between two arrays are passed through. Every level
+is a narrow pass over the elements of the level above, written once, so no part is parsed or expanded twice; it ends with the
+first empty level, whatever the depth. ``child_tables`` gives one table for each path of array names.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from quadrille.functions.codes import normalize_code
 from quadrille.runtime import materialize, release
 
-#: The arrays that a record may hold at its top.
+#: The arrays that a requirement record may hold at its top; a bare array counts as the first.
 TOP_ARRAYS = ("groups", "courses", "program_requirements", "program_restrictions")
-#: Fixed value: the array by which elements nest.
+#: Fixed value: the array by which the elements of requirements nest.
 CHILD_ARRAY = "courses"
 
 
@@ -58,72 +59,100 @@ def merged_schema(cells: DataFrame) -> dict[str, str]:
     return {r["column"]: r["s"] for r in rows}
 
 
-def top_names(schema: str) -> list[str]:
-    """The arrays that the merged schema has at its top."""
-    depth, names = 0, []
-    for token in re.finditer(r"`?(\w+)`?\s*:|<|>", schema):
-        if token.group() == "<":
-            depth += 1
-        elif token.group() == ">":
-            depth -= 1
-        elif depth == 1 and token.group(1) in TOP_ARRAYS:
-            names.append(token.group(1))
-    return names
+def array_names(schema: str) -> set[str]:
+    """The names that hold an array anywhere in a schema such as OBJECT<a: ARRAY<OBJECT<b: STRING>>>."""
+    return {m[1] or m[2] for m in re.finditer(r"(?:`([^`]+)`|(\w+)): ARRAY<", schema)}
 
 
 def _present(v: str) -> Column:
     return F.col(v).isNotNull() & ~F.is_variant_null(F.col(v))
 
 
-def top_elements(cells: DataFrame, schemas: dict[str, str]) -> DataFrame:
-    """(key, section, ordinals, v): each non-null element of the arrays at the top of a cell."""
-    v = F.col("v")
-    found = {n for s in schemas.values() for n in top_names(s)}
-    whole = F.struct(F.lit(TOP_ARRAYS[0]).alias("name"), F.when(_array(v).isNotNull(), v).alias("a"))
-    parts = [F.struct(F.lit(n).alias("name"), F.try_variant_get(v, f"$.{n}", "variant").alias("a")) for n in TOP_ARRAYS if n in found]
-    arrays = cells.select("key", "column", F.explode(F.array(whole, *parts)).alias("s")).where(F.col("s.a").isNotNull())
-    arrays = arrays.select("key", F.concat_ws(".", "column", "s.name").alias("section"), _unwrap(F.col("s.a")).alias("u"))
-    rows = arrays.select("key", "section", F.posexplode(_items("u")).alias("i", "v"))
-    return rows.where(_present("v")).select("key", "section", F.array("i").alias("ordinals"), "v")
+def _elements(value: Column, holds_array: Column) -> Column:
+    """array of struct(i, v) of a member's value: the elements of an array, or of one object in its place, with their place.
 
-
-def _items(u: str) -> Column:
-    """The elements of an unwrapped array or object; null for anything else."""
-    return F.coalesce(_array(F.col(u)), F.when(_object(F.col(u)).isNotNull(), F.array(u)))
-
-
-def _level_below(nodes: DataFrame) -> DataFrame:
-    """The non-null elements of the arrays nested in nodes."""
-    held = nodes.select("key", "section", "ordinals", F.try_variant_get("v", f"$.{CHILD_ARRAY}", "variant").alias("c")).where(_present("c"))
-    held = held.select("key", "section", "ordinals", _unwrap(F.col("c")).alias("u"))
-    rows = held.select("key", "section", "ordinals", F.posexplode(_items("u")).alias("i", "v")).where(_present("v"))
-    return rows.select("key", "section", F.concat("ordinals", F.array("i")).alias("ordinals"), "v")
+    An object that stands for no array, but holds an array or object, comes with i null; anything else gives null.
+    """
+    items = F.coalesce(_array(value), F.when(holds_array & _object(value).isNotNull(), F.array(value)))
+    numbered = F.transform(items, lambda x, i: F.struct(i.alias("i"), x.alias("v")))
+    deeper = F.exists(F.map_values(_object(value)), lambda x: _array(x).isNotNull() | _object(x).isNotNull())
+    through = F.when(deeper, F.array(F.struct(F.lit(None).cast("int").alias("i"), value.alias("v"))))
+    return F.coalesce(numbered, through)
 
 
-def flatten_records(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(key, section, ordinals, v) of each non-null element at any depth, of all valid cells.
+def _level_below(nodes: DataFrame, arrays: set[str]) -> DataFrame:
+    """The non-null elements of all arrays that nodes (key, column, names, ordinals, through, v) hold, and objects passed through.
 
-    A record's null, blank or invalid cells give no rows, nor do empty arrays; null elements keep their position but give
-    no row; equal rows of df count once; columns not named are ignored.
+    through: the names of the objects passed since the last array, each with a dot behind it; '' for elements.
+    """
+    members = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "value")).where(_present("value"))
+    known = F.col("name").isin(*arrays) if arrays else F.lit(False)
+    value = F.when(known, _unwrap(F.col("value"))).otherwise(F.col("value"))
+    own = F.array(F.struct(F.col("pos").cast("int").alias("i"), F.col("value").alias("v")))
+    each = members.select("key", "column", "names", "ordinals", "name", F.concat("through", F.coalesce("name", F.lit("[]"))).alias("full"), "pos", "value", value.alias("held"))
+    items = F.when(F.col("name").isNull(), own).otherwise(_elements(F.col("held"), known))
+    each = each.select("key", "column", "names", "ordinals", "full", F.explode(items).alias("x")).select("key", "column", "names", "ordinals", "full", "x.*")
+    row = F.col("i").isNotNull()
+    grown = lambda c, more: F.when(row, F.concat(c, F.array(more))).otherwise(F.col(c))
+    through = F.when(row, F.lit("")).otherwise(F.concat("full", F.lit(".")))
+    return each.where(_present("v")).select("key", "column", grown("names", "full").alias("names"), grown("ordinals", "i").alias("ordinals"), through.alias("through"), "v")
+
+
+def flatten_records(df: DataFrame, key: str, columns: Sequence[str], arrays: Sequence[str] = TOP_ARRAYS) -> DataFrame:
+    """(key, column, names, ordinals, v) of each non-null element of every array, at any depth, of all valid cells.
+
+    names: of the arrays that lead to the element, with those of the objects between them as in 'level.options', and '[]' for
+    an array in an array; ordinals: its places in those arrays. For the names that hold arrays by the merged schema, and for those of ``arrays``, one object counts as an array of
+    one and a JSON text as what it contains; a cell that is an array counts as the first of ``arrays``. A record's null,
+    blank or invalid cells give no rows, nor do empty arrays; null elements keep their position but give no row; equal rows
+    of df count once; columns not named are ignored.
     """
     cells = materialize(parse_cells(df, key, columns), "cells")
-    level = materialize(top_elements(cells, merged_schema(cells)), "level")
+    known = set(arrays).union(*map(array_names, merged_schema(cells).values()))
+    none = F.array().cast("array<string>"), F.array().cast("array<int>")
+    bare = F.to_variant_object(F.named_struct(F.lit(arrays[0]), F.col("v"))) if arrays else F.col("v")
+    records = cells.select("key", "column", none[0].alias("names"), none[1].alias("ordinals"), F.lit("").alias("through"), F.when(_array(F.col("v")).isNotNull(), bare).otherwise(F.col("v")).alias("v"))
+    level = materialize(_level_below(records, known), "level")
     release(cells)
     nodes = level
     while not level.isEmpty():
-        level = materialize(_level_below(level), "level")
+        level = materialize(_level_below(level, known), "level")
         nodes = nodes.unionByName(level)
-    return nodes
+    return nodes.where(F.col("through") == "").drop("through")
+
+
+def nested_by(nodes: DataFrame, top: Sequence[str] = TOP_ARRAYS, child: str = CHILD_ARRAY) -> DataFrame:
+    """The elements of the arrays of one of the names ``top`` and of all arrays named ``child`` that nest in them."""
+    rest = F.slice("names", 2, F.size("names"))
+    return nodes.where(F.get("names", F.lit(0)).isin(*top) & F.forall(rest, lambda n: n == child))
+
+
+def child_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+    """One table (node_id, parent_id, ordinal, v) for each path 'column.name.name'; there are as many as the schema has arrays."""
+    named = nodes.withColumn("path", F.concat_ws(".", "column", F.array_join("names", "."))).withColumns(node_keys())
+    paths = sorted(r["path"] for r in named.select("path").distinct().collect())
+    return {p: named.where(F.col("path") == p).select("node_id", "parent_id", F.element_at("ordinals", -1).alias("ordinal"), "v") for p in paths}
+
+
+def node_keys() -> dict[str, Column]:
+    """Surrogate keys of a node and of the element, or for an outermost array the record, that holds it."""
+    spot = lambda drop: F.concat_ws("/", F.array_join(F.slice("names", 1, F.size("names") - drop), "."), F.array_join(F.slice("ordinals", 1, F.size("ordinals") - drop).cast("array<string>"), "."))
+    record = F.col("key").cast("string")
+    return {
+        "node_id": F.concat_ws("/", record, "column", spot(0)),
+        "parent_id": F.when(F.size("ordinals") > 1, F.concat_ws("/", record, "column", spot(1))).otherwise(record),
+    }
 
 
 def node_columns(nodes: DataFrame) -> DataFrame:
-    """Flat columns of each element: the node's own key, its parent's, its ordinal and its scalar parts."""
+    """Flat columns of each element of requirements (``nested_by``): its record, path and ordinal, its parent's path, its scalar parts."""
+    nodes = nested_by(nodes)
     path = F.array_join(F.col("ordinals").cast("array<string>"), ".")
     above = F.array_join(F.slice(F.col("ordinals"), 1, F.size("ordinals") - 1).cast("array<string>"), ".")
     part = lambda n: F.when(_object(F.col("v")).isNotNull(), _scalar(F.try_variant_get("v", f"$.{n}", "variant")))
     return nodes.select(
         "key",
-        "section",
+        F.concat_ws(".", "column", F.get("names", F.lit(0))).alias("section"),
         path.alias("node_path"),
         F.when(F.size("ordinals") > 1, above).alias("parent_path"),
         F.element_at("ordinals", -1).alias("ordinal"),

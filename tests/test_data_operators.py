@@ -125,6 +125,47 @@ def test_nested(spark):
     assert nested.flatten_records(df.where(F.lit(False)), "dep_id", NESTED).collect() == []
 
 
+def brute_elements(v, names=(), ordinals=(), through=""):
+    """(names, ordinals) of every non-null element of every array."""
+    if isinstance(v, dict):
+        for k, x in v.items():
+            if isinstance(x, list):
+                yield from brute_elements(x, (*names, through + k), ordinals)
+            elif isinstance(x, dict):
+                yield from brute_elements(x, names, ordinals, f"{through}{k}.")
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            if x is not None:
+                yield names, (*ordinals, i)
+                yield from brute_elements(x, (*names, "[]") if isinstance(x, list) else names, (*ordinals, i))
+
+
+def test_nested_arrays_of_any_name(spark):
+    """Every array of the records becomes a child table with keys that lead to its parent, whatever it is called."""
+    rng = random.Random(12)
+
+    def value(depth):
+        kind = rng.randrange(6) if depth < 4 else 5
+        if kind < 2:
+            return [value(depth + 1) for _ in range(rng.randrange(3))]
+        return {rng.choice("abcde"): value(depth + 1) for _ in range(3)} if kind < 4 else rng.choice([None, 1, "x", True])
+
+    records = [{"a": value(0), "notes": value(0), "c": {"d": value(1)}} for _ in range(60)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id bigint, doc string")
+    #: A name that never holds an array is an object to pass through; one that does makes an array of one of an object.
+    held = {k for r in records for k in re.findall(r'"(\w+)": \[', json.dumps(r))}
+    only = [r for r in records if not re.search(r'"(?:%s)": \{' % "|".join(held), json.dumps(r))]
+    flat = nested.flatten_records(df, "id", ("doc",), ())
+    got = {(r["key"], tuple(r["names"]), tuple(r["ordinals"])) for r in flat.collect()}
+    for i, r in enumerate(records):
+        if r in only:
+            assert {(n, o) for k, n, o in got if k == i} == set(brute_elements(r)), r
+    tables = nested.child_tables(flat)
+    keys = {r["node_id"] for t in tables.values() for r in t.collect()}
+    parents = {r["parent_id"] for t in tables.values() for r in t.collect()}
+    assert len(tables) > 5 and len(keys) == len(got) and parents <= keys | {str(i) for i in range(60)}
+
+
 @pytest.mark.parametrize(
     "text, items",
     [
