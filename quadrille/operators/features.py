@@ -23,28 +23,51 @@ def condensed(edges: DataFrame, cycles: DataFrame) -> DataFrame:
     return out.where(F.col("p") != F.col("c")).distinct()
 
 
-def longest_depth(edges: DataFrame) -> DataFrame:
-    """(node, depth): length of the longest chain of ancestors in an acyclic graph, by doubling in max-plus algebra."""
+def _deepest(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("u", "v").agg(F.max("d").alias("d"))
+
+
+def longest_depth(edges: DataFrame, one_in: int = hierarchy.SPLIT_ONE_IN) -> DataFrame:
+    """(node, depth): length of the longest chain of ancestors in an acyclic graph.
+
+    Longest walks between hash splitters are found by doubling, so only pairs without a splitter between them are formed; then
+    one depth for each splitter is raised along them until nothing changes, and handed down to the nodes below.
+    """
+    split = lambda node: hierarchy.is_splitter(node, one_in)
     step = edges.select(F.col("p").alias("u"), F.col("c").alias("v"), F.lit(1).alias("d"))
-    known, before = materialize_counted(step, "depth", *hierarchy.state_of_round())
+    local, before = materialize_counted(step, "depth", *hierarchy.state_of_round())
+    while True:
+        now, state = materialize_counted(_deepest(local, hierarchy._chain(local.where(~split("v")), local)), "depth", *hierarchy.state_of_round())
+        release(local)
+        local = now
+        if state == before:
+            break
+        before = state
+    base = local.groupBy(F.col("v").alias("node")).agg(F.max("d").alias("depth")).unionByName(edges.select(F.col("p").alias("node"), F.lit(0).alias("depth")))
+    base = base.groupBy("node").agg(F.max("depth").alias("depth"))
+    hops = materialize(local.where(split("u") & split("v")), "hops")
+    deep, before = materialize_counted(base.where(split("node")), "deep", F.sum("depth").alias("s"))
     while True:
-        r = known.select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("d").alias("e"))
-        longer = known.join(r, F.col("v") == F.col("m")).select("u", F.col("w").alias("v"), (F.col("d") + F.col("e")).alias("d"))
-        now, state = materialize_counted(known.unionByName(longer).groupBy("u", "v").agg(F.max("d").alias("d")), "depth", *hierarchy.state_of_round())
-        release(known)
-        known = now
+        raised = hops.join(deep, hops["u"] == deep["node"]).select(F.col("v").alias("node"), (F.col("depth") + F.col("d")).alias("depth"))
+        now, state = materialize_counted(deep.unionByName(raised).groupBy("node").agg(F.max("depth").alias("depth")), "deep", F.sum("depth").alias("s"))
+        release(deep)
+        deep = now
         if state == before:
             break
         before = state
-    roots = edges.select(F.col("p").alias("v"), F.lit(0).alias("d"))
-    return known.select("v", "d").unionByName(roots).groupBy(F.col("v").alias("node")).agg(F.max("d").alias("depth"))
+    below = local.join(deep, local["u"] == deep["node"]).select(F.col("v").alias("node"), (F.col("depth") + F.col("d")).alias("depth"))
+    out = materialize(base.unionByName(deep).unionByName(below).groupBy("node").agg(F.max("depth").alias("depth")), "depths")
+    release(local, hops, deep)
+    return out
 
 
 def depths(edges: DataFrame) -> DataFrame:
     """(code, depth) of every node of a graph that may have cycles; nodes of one cycle share the depth of the cycle."""
-    closure = materialize(hierarchy.ancestors(edges), "closure")
-    cyc = materialize(hierarchy.cycles(closure), "cycles")
-    deep = longest_depth(condensed(edges, cyc))
+    cyc = hierarchy.cycles_of(edges)
+    deep = longest_depth(materialize(condensed(edges, cyc), "condensed"))
     nodes = edges.select(F.col("p").alias("code")).union(edges.select("c")).distinct()
     named = nodes.join(cyc.withColumnRenamed("node", "code"), "code", "left").withColumn("node", F.coalesce("cycle", "code"))
     return named.join(deep, "node", "left").select("code", F.coalesce("depth", F.lit(0)).alias("depth"))

@@ -1,10 +1,10 @@
 """Parent-child links to full hierarchies: every ancestor with its distance, roots, paths and cycles.
 
-The method is a contraction. A deterministic hash of the node chooses splitters. Every node is walked to its next
-splitters (``local``), the much smaller graph between splitters is solved (``reduced``), and the exact distances are
-expanded from the two. Both walks double their reach each round, so a hierarchy of depth n takes about log2(n) rounds.
-A cycle without any splitter never leaves its local walk; there each pair is kept once with its least distance, so the
-walk ends when nothing changes, and the cycle comes out whole.
+The method is a contraction. A deterministic hash of the node chooses splitters. Every node is walked to its next splitters
+(``local``): a round joins only the ends reached in exactly 2^k steps with what is known so far, and gives all pairs of up to
+2^(k+1) steps, so a walk of n steps takes about log2(n) rounds and no pair is formed twice from different halves. The much
+smaller graph between splitters is solved (``reduced``), and the exact distances are expanded from the two. A cycle without any
+splitter never leaves its local walk, which closes it there and ends; the reduced graph holds none of its nodes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from quadrille.functions.codes import normalize_code
 from quadrille.runtime import materialize, materialize_counted, release
 
 #: One node in so many is a splitter.
-SPLIT_ONE_IN = 2
+SPLIT_ONE_IN = 8
 
 
 def clean_edges(links: DataFrame, parent: str, child: str) -> DataFrame:
@@ -60,12 +60,11 @@ def state_of_round():
     return F.count(F.lit(1)).alias("n"), F.sum("d").alias("d")
 
 
-def _close(step: DataFrame, through=None) -> DataFrame:
-    """Min-plus closure by doubling; only nodes that pass ``through`` may stand between two steps."""
+def _close(step: DataFrame) -> DataFrame:
+    """Min-plus closure of a small weighted graph by doubling."""
     known, before = materialize_counted(step, "close", *state_of_round())
     while True:
-        first = known if through is None else known.where(through(F.col("v")))
-        now, state = materialize_counted(_shortest(known, _chain(first, known)), "close", *state_of_round())
+        now, state = materialize_counted(_shortest(known, _chain(known, known)), "close", *state_of_round())
         release(known)
         known = now
         if state == before:
@@ -73,6 +72,24 @@ def _close(step: DataFrame, through=None) -> DataFrame:
         before = state
 
 
+def _walk(step: DataFrame, through) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs joined by a path whose inner nodes pass ``through``, with the least number of steps; and the tables that hold them.
+
+    A pair at a distance from 2^k + 1 to 2^(k+1) has a node at exactly 2^k on a shortest path, so joining the pairs at that
+    distance with all shorter ones finds each of them; what is known already is shorter and stays.
+    """
+    parts = [materialize(step, "walk")]
+    known, k = parts[0], 1
+    while True:
+        far = _chain(known.where((F.col("d") == k) & through(F.col("v"))), known).groupBy("u", "v").agg(F.min("d").alias("d"))
+        found, state = materialize_counted(far.join(known, ["u", "v"], "left_anti"), "walk", F.count(F.lit(1)).alias("n"))
+        if not state["n"]:
+            release(found)
+            return known, parts
+        parts.append(found)
+        known, k = known.unionByName(found), 2 * k
+
+
 def ancestors(edges: DataFrame, one_in: int = SPLIT_ONE_IN) -> DataFrame:
     """(ancestor, node, steps): each pair joined by a path of one edge or more, with the length of the shortest.
 
@@ -80,15 +97,41 @@ def ancestors(edges: DataFrame, one_in: int = SPLIT_ONE_IN) -> DataFrame:
     nothing; null ends must have been removed (``clean_edges`` does).
     """
     split = lambda node: is_splitter(node, one_in)
-    step = edges.select(F.col("p").alias("u"), F.col("c").alias("v"), F.lit(1).alias("d"))
-    local = _close(step, lambda v: ~split(v))
+    step = edges.select(F.col("p").alias("u"), F.col("c").alias("v"), F.lit(1).alias("d")).distinct()
+    local, parts = _walk(step, lambda v: ~split(v))
     into = local.where(split("v"))
     reduced = _close(into.where(split("u")))
     reach = materialize(_shortest(into, _chain(into, reduced)), "reach")
-    out = _shortest(local, reach, _chain(reach, local.where(~split("v"))))
+    out = materialize(_shortest(local.where(~split("v")), reach, _chain(reach, local.where(split("u") & ~split("v")))), "ancestors")
+    release(*parts, reduced, reach)
     return out.select(F.col("u").alias("ancestor"), F.col("v").alias("node"), F.col("d").alias("steps"))
 
 
+def trimmed(edges: DataFrame, least: float = 0.3) -> DataFrame:
+    """Edges that may lie on a cycle: those out of nodes without parents and into nodes without children are taken off.
+
+    The rounds end once one takes off less than the share ``least``; edges of cycles always stay.
+    """
+    core = materialize(edges, "core")
+    size = core.count()
+    while size:
+        starts, ends = core.select(F.col("c").alias("p")).distinct(), core.select(F.col("p").alias("c")).distinct()
+        now, state = materialize_counted(core.join(starts, "p", "left_semi").join(ends, "c", "left_semi"), "core", F.count(F.lit(1)).alias("n"))
+        release(core)
+        core, before, size = now, size, state["n"]
+        if size > (1 - least) * before:
+            break
+    return core
+
+
+def cycles_of(edges: DataFrame) -> DataFrame:
+    """(node, cycle) as ``cycles`` gives them, with the closure of the edges alone that may lie on a cycle."""
+    core = trimmed(edges)
+    out = materialize(cycles(ancestors(core)), "cycles")
+    release(core)
+    return out
+
+
 def cycles(closure: DataFrame) -> DataFrame:
     """(node, cycle): each node on a cycle and the least node of its strongly connected component."""
     own = closure.where(F.col("ancestor") == F.col("node")).select("node")

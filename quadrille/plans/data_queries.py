@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
-    closure = materialize(hierarchy.ancestors(edges), "closure")
+    closure = hierarchy.ancestors(edges)
     out = hierarchy.rooted_paths(edges, closure)
     below = closure.groupBy(F.col("ancestor").alias("n")).agg(F.count("*").alias("descendants"))
     return out.join(below, out["node"] == below["n"], "left").select(
@@ -36,8 +36,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_cycles(spark: SparkSession, d: str) -> DataFrame:
-    closure = materialize(hierarchy.ancestors(_edges(spark, d)), "closure")
-    return hierarchy.cycles(closure).select(F.col("node").alias("course_code"), F.col("cycle").alias("cycle_code"))
+    return hierarchy.cycles_of(_edges(spark, d)).select(F.col("node").alias("course_code"), F.col("cycle").alias("cycle_code"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
