@@ -141,12 +141,14 @@ def cycles(closure: DataFrame) -> DataFrame:
     return mutual.groupBy("node").agg(F.min("ancestor").alias("cycle"))
 
 
-def rooted_paths(edges: DataFrame, closure: DataFrame) -> DataFrame:
+def rooted_paths(edges: DataFrame, closure: DataFrame, one_in: int = SPLIT_ONE_IN) -> DataFrame:
     """(node, root, depth, path): each node below its nearest root, the least code of equals.
 
     A root has no parent. Of several shortest paths that with the least parent at every step is given. Nodes that no root
-    reaches, being on or below a rootless cycle, have root, depth and path null. The paths come from doubling along the
-    chosen parents: each round joins every pointer with the pointer it leads to.
+    reaches, being on or below a rootless cycle, have root, depth and path null. The chosen parents are pointers without
+    cycles: each is followed up to the next hash splitter, the pointers between splitters are followed to the roots, and the
+    paths of all other nodes are those of their splitter with their own steps behind. Each round joins pointers with those
+    they lead to.
     """
     nodes = edges.select(F.col("p").alias("node")).union(edges.select("c")).distinct()
     roots = materialize(nodes.join(edges.select(F.col("c").alias("node")), "node", "left_anti"), "roots")
@@ -168,16 +170,22 @@ def rooted_paths(edges: DataFrame, closure: DataFrame) -> DataFrame:
         ),
         "hop",
     )
-    while not hop.where(F.col("at").isNotNull()).isEmpty():
-        onto = hop.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("path").alias("above"))
-        joined = hop.join(onto, "at", "left").select(
-            "node",
-            "root",
-            "depth",
-            F.col("further").alias("at"),
-            F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"),
-        )
-        now = materialize(joined, "hop")
+    split = lambda node: F.col(node).isNull() | is_splitter(node, one_in)
+    while not hop.where(~split("at")).isEmpty():
+        now = materialize(_follow(hop.where(~split("at")), hop).unionByName(hop.where(split("at"))), "hop")
         release(hop)
         hop = now
-    return nodes.join(hop.drop("at"), "node", "left").select("node", "root", "depth", "path")
+    reduced = materialize(hop.where(split("node")), "reduced")
+    while not reduced.where(F.col("at").isNotNull()).isEmpty():
+        now = materialize(_follow(reduced, reduced), "reduced")
+        release(reduced)
+        reduced = now
+    whole = reduced.unionByName(_follow(hop.where(~split("node")), reduced))
+    return nodes.join(whole.drop("at"), "node", "left").select("node", "root", "depth", "path")
+
+
+def _follow(hops: DataFrame, onto: DataFrame) -> DataFrame:
+    """Each pointer (node, root, depth, at, path) joined to the pointer of the node it is at, with the two paths put together."""
+    above = onto.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("path").alias("above"))
+    path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path"))
+    return hops.join(above, "at", "left").select("node", "root", "depth", F.col("further").alias("at"), path.alias("path"))

@@ -102,6 +102,13 @@ orphan AS (
 
 ORACLE = {
     "p2_found": f"{_CLOSURE} SELECT u AS ancestor_code, v AS course_code, d AS steps FROM r",
+    "p2_paths": f"""{_CLOSURE},
+nodes AS (SELECT p AS n FROM e UNION SELECT c FROM e), roots AS (SELECT n FROM nodes WHERE n NOT IN (SELECT c FROM e)),
+placed AS (SELECT v AS node, arg_min(u, (d, u)) AS root, min(d) AS depth FROM r WHERE u IN (SELECT n FROM roots) GROUP BY v UNION ALL SELECT n, n, 0 FROM roots),
+up AS (SELECT c.node, min(e.p) AS parent FROM placed c JOIN e ON e.c = c.node JOIN placed p ON p.node = e.p AND p.root = c.root AND p.depth + 1 = c.depth GROUP BY 1),
+walk(node, path) AS (SELECT n, n FROM roots UNION ALL SELECT up.node, walk.path || '>' || up.node FROM walk JOIN up ON up.parent = walk.node)
+SELECT n AS course_code, root, depth::INTEGER AS depth, path, coalesce(descendants, 0) AS descendants FROM nodes LEFT JOIN placed ON placed.node = n
+LEFT JOIN walk ON walk.node = n LEFT JOIN (SELECT u, count(*) AS descendants FROM r GROUP BY u) ON u = n""",
     "p2_cycles": f"""{_CLOSURE},
 own AS (SELECT u AS n FROM r WHERE u = v)
 SELECT a.v AS course_code, min(a.u) AS cycle_code FROM r a JOIN r b ON a.u = b.v AND a.v = b.u

@@ -50,7 +50,10 @@ def test_cycles_paths_and_depths(spark):
     df = spark.createDataFrame(edges, "p string, c string")
     closure = hierarchy.ancestors(df)
     assert {tuple(r) for r in hierarchy.cycles(closure).collect()} == {("B", "B"), ("C", "B"), ("Q", "Q"), ("R", "Q")}
-    paths = {r["node"]: (r["root"], r["depth"], r["path"] and list(r["path"])) for r in hierarchy.rooted_paths(df, closure).collect()}
+    assert {tuple(r) for r in hierarchy.cycles_of(df).collect()} == {tuple(r) for r in hierarchy.cycles(closure).collect()}
+    ways = [{r["node"]: (r["root"], r["depth"], r["path"] and list(r["path"])) for r in hierarchy.rooted_paths(df, closure, n).collect()} for n in (1, 2, 8)]
+    assert ways[0] == ways[1] == ways[2]
+    paths = ways[0]
     assert paths["E"] == ("Z", 1, ["Z", "E"]) and paths["C"] == ("A", 2, ["A", "B", "C"]) and paths["A"] == ("A", 0, ["A"])
     assert paths["S"] == (None, None, None)
     depth = {r["code"]: r["depth"] for r in features.depths(df).collect()}
