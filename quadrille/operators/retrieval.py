@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import text as T
-from quadrille.runtime import balanced, broadcast_if_small, materialize
+from quadrille.runtime import balanced, broadcast_if_small, materialize, release
 
 #: BM25 parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -57,6 +57,69 @@ def bm25(queries: DataFrame, tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     return tf.join(broadcast_if_small(asked, 64), "tok").join(stats).groupBy("q", "doc").agg(F.sum(part).alias("bm25"))
 
 
+class LexicalIndex:
+    """Postings of a corpus, written once and asked by many searches: what BM25 needs of the documents, and nothing of a query.
+
+    postings: (doc, len, tok, tf); terms: (tok, idf) with negative idf replaced by EPSILON times the mean; two counts stay in
+    the driver.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        self.postings = materialize(term_frequencies(docs, key, text), "postings")
+        self.documents = docs.count()
+        self.tokens = self.postings.agg(F.sum("tf")).first()[0] or 0
+        df = self.postings.groupBy("tok").agg(F.count("*").alias("df"))
+        raw = materialize(df.select("tok", (F.log(F.lit(self.documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "terms")
+        mean = raw.agg(F.avg("idf")).first()[0] or 0.0
+        self.terms = raw.select("tok", F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf")).alias("idf"))
+
+    def search(self, terms: DataFrame) -> DataFrame:
+        """(q, doc, bm25) of the documents that hold a token of the query terms (q, tok, qf)."""
+        asked = self.terms.join(broadcast_if_small(terms, 64), "tok")
+        norm = K1 * (1 - B + B * F.col("len") / F.lit(max(self.tokens, 1) / max(self.documents, 1)))
+        part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+        return self.postings.join(broadcast_if_small(asked, 64), "tok").groupBy("q", "doc").agg(F.sum(part).alias("bm25"))
+
+
+def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(q, doc, sim): the cosine of every query (id, v) to every row of vectors (id, v), by blocks of queries sent to the rows."""
+    rows = queries.select("id", "v").toLocalIterator()
+    spark, out = vectors.sparkSession, None
+    while block := list(itertools.islice(rows, BLOCK_QUERIES)):
+        q = _unit(np.array([r["v"] for r in block], dtype=np.float64))
+        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in block]), q))
+        part = vectors.select("id", "v").mapInPandas(_cosines(sent), "q bigint, doc bigint, sim double")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "q bigint, doc bigint, sim double") if out is None else out
+
+
+def _cosines(sent):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        for batch in batches:
+            if not batch.empty:
+                s = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in batch["v"]])) @ q.T
+                yield pd.DataFrame({"q": np.tile(ids, len(batch)), "doc": np.repeat(batch["id"].to_numpy(), len(ids)), "sim": s.ravel()})
+
+    return run
+
+
+def hybrid_pool(lexical: DataFrame, dense: DataFrame, least: float, k: int, rrf_k: float = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(q, doc, bm25, sim, rrf, rank): the k best of the fusion of both ranks, which are over all documents.
+
+    lexical: (q, doc, bm25) of documents with a token of the query, all others scoring 0; dense: (q, doc, sim) of every document.
+    Documents with sim below least are left out after the ranks, as are all behind the k best of what is left. Ties go by doc.
+    """
+    both = dense.join(lexical, ["q", "doc"], "left").select("q", "doc", "sim", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    both = materialize(both, "scored")
+    ranked = corpus_rank(corpus_rank(both, "bm25").withColumnRenamed("rank", "lexical"), "sim")
+    fusion = F.lit(weights[0]) / (rrf_k + F.col("lexical")) + F.lit(weights[1]) / (rrf_k + F.col("rank"))
+    kept = ranked.where(F.col("sim") >= least).select("q", "doc", "bm25", "sim", fusion.alias("rrf"))
+    out = materialize(top(kept.withColumn("r", F.round("rrf", 9)), "r", k).drop("r"), "pool")
+    release(both)
+    return out
+
+
 def corpus_size(docs: DataFrame, tf: DataFrame) -> DataFrame:
     """(n, total): the number of documents, those without tokens included, and of tokens."""
     return docs.agg(F.count("*").alias("n")).join(tf.agg(F.sum("tf").alias("total")))
@@ -152,6 +215,15 @@ def rrf(ranked: list[tuple[DataFrame, float]], k: float = RRF_K) -> DataFrame:
     return out.groupBy("q", "doc").agg(F.sum("s").alias("rrf"))
 
 
+def ensemble(parts: list[tuple[DataFrame, float]]) -> DataFrame:
+    """(q, doc, score): the weighted sum of the raw scores (q, doc, s) of several methods; a document a method doesn't score has 0 there."""
+    out = None
+    for df, w in parts:
+        one = df.select("q", "doc", (F.col("s") * w).alias("s"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("q", "doc").agg(F.sum("s").alias("score"))
+
+
 def fused(pool: DataFrame, weights: tuple[float, float, float] = (W_CE, W_RRF, W_RETRIEVAL)) -> DataFrame:
     """pool (q, doc, ce, rrf, retrieval) with score, the weighted sum of the three scaled to 0..1 within the query's pool."""
     w = Window.partitionBy("q")

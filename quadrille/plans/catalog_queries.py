@@ -145,9 +145,13 @@ def bucket_zscore(spark, d):
     return _features(spark, d).select("code", z("outdegree").alias("oz"), z("depth").alias("dz"), z("minors").alias("mz"))
 
 
+def global_weights(spark, d):
+    return features.global_weight(_features(spark, d)).select("code", "global_weight")
+
+
 @R.query(f"{_FEATURES} SELECT code, round(oz + 0.3 * dz + 0.5 * mz, 5) AS weight FROM z")
 def global_weight(spark, d):
-    return features.global_weight(_features(spark, d)).select("code", F.round("global_weight", 5).alias("weight"))
+    return global_weights(spark, d).select("code", F.round("global_weight", 5).alias("weight"))
 
 
 @R.query(f"{_FEATURES} SELECT code, round(oz + 0.3 * dz + 0.5 * mz, 5) AS weight FROM z ORDER BY round(oz + 0.3 * dz + 0.5 * mz, 5) DESC, code LIMIT 30")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.functions import codes as C
 from quadrille.functions import text as T
 from quadrille.functions.words import KEYWORD_STOP, LSA_STOP, TITLE_STOP
 from quadrille.operators import evaluation as E
 from quadrille.operators import retrieval as V
+from quadrille.plans import catalog_queries
 from quadrille.plans.registry import Registry, sql_list
 from quadrille.runtime import balanced, broadcast_if_small, materialize, spread, table
 
@@ -41,10 +43,43 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").where(F.col("item_id") % 100 == 0)
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _kept(spark: SparkSession, d: str, name: str, make):
+    """What is built once over the tables of a folder and asked by many searches, such as an index; the last few are kept."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        while len(_KEPT) >= 8:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _index(spark, d) -> V.LexicalIndex:
+    return _kept(spark, d, "index", lambda: V.LexicalIndex(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def _weights(spark, d) -> DataFrame:
+    return _kept(spark, d, "weights", lambda: materialize(catalog_queries.global_weights(spark, d), "weights"))
+
+
+def build_indexes(spark: SparkSession, d: str) -> None:
+    """Builds what searches over the tables of a folder share; they build it themselves where it is missing."""
+    _index(spark, d)
+    _weights(spark, d)
+
+
 def _bm25(spark, d):
-    docs = table(spark, d, "documents")
-    tf = materialize(V.term_frequencies(docs, "doc_id", "text"), "postings")
-    return V.bm25(V.query_terms(_queries(spark, d), "item_id", "text"), tf, V.corpus_size(docs, tf))
+    return _index(spark, d).search(V.query_terms(_queries(spark, d), "item_id", "text"))
+
+
+def _dense(spark, d):
+    """(q, doc, sim) of every document. The rows of embeddings stand in for an encoder: a text's vector is the one numbered by its id modulo their number."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").alias("v"))
+    n = _kept(spark, d, "vectors", v.count)
+    of = lambda df, key: df.select(F.col(key).alias("id"), (F.col(key) % n).alias("at")).join(v, "at").select("id", "v")
+    return V.vector_scores(of(_queries(spark, d), "item_id"), of(table(spark, d, "documents").select("doc_id"), "doc_id"))
 
 
 def _ranked(df: DataFrame, score: str, k: int | None = K) -> DataFrame:
@@ -81,28 +116,39 @@ def keyword_overlap(spark, d):
     return _ranked(_overlap(spark, d), "ko").select("q", "doc", "rank", F.round("ko", 5).alias("ko"))
 
 
-@R.query(f"""WITH {_BM25}, {_SETS}, f AS (SELECT q, doc, sum(s) AS rrf FROM (SELECT q, doc, 1.0 / (60 + rank) AS s FROM bmr UNION ALL SELECT q, doc, 1.0 / (60 + rank) FROM ksr) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, doc) AS rank FROM f) SELECT q, doc, rank::INTEGER AS rank, round(rrf, 8) AS rrf FROM r WHERE rank <= {K}""")
+#: The least similarity of a candidate, candidates of the fusion, of the reranker and of its graph form.
+LEAST_SIMILAR, RETRIEVED, RERANKED, GRAPH = 0.25, 220, 96, 72
+
+_RANKS = f"""{_BM25}, nv AS (SELECT count(*) AS n FROM embeddings), ve AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+qv AS (SELECT q, v FROM qs, nv JOIN ve ON vec_id = q % n), dv AS (SELECT doc_id AS doc, v FROM documents, nv JOIN ve ON vec_id = doc_id % n),
+de AS (SELECT q, doc, list_cosine_similarity(qv.v, dv.v) AS sim, coalesce(bm25, 0) AS bm25 FROM qv CROSS JOIN dv LEFT JOIN bm USING (q, doc)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 9) DESC, doc) AS lr, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, doc) AS dr FROM de),
+fr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, doc) AS rank FROM (SELECT q, doc, bm25, sim, 1.0 / (60 + lr) + 1.0 / (60 + dr) AS rrf FROM rk) WHERE sim >= {LEAST_SIMILAR})"""
+
+
+def _hybrid(spark, d, k):
+    return V.hybrid_pool(_bm25(spark, d), _dense(spark, d), LEAST_SIMILAR, k)
+
+
+@R.query(f"WITH {_RANKS} SELECT q, doc, rank::INTEGER AS rank, round(rrf, 8) AS rrf FROM fr WHERE rank <= {K}")
 def rrf(spark, d):
-    lists = [(_ranked(_bm25(spark, d), "bm25", None), 1.0), (_ranked(_overlap(spark, d), "ko", None), 1.0)]
-    return _ranked(V.rrf(lists), "rrf").select("q", "doc", "rank", F.round("rrf", 8).alias("rrf"))
+    """Fusion of the ranks of BM25 and of the vectors, both over all documents."""
+    return _hybrid(spark, d, K).select("q", "doc", "rank", F.round("rrf", 8).alias("rrf"))
 
 
 def _pool(spark, d):
-    """The first 220 by rank fusion, then the first 96 with the scores that reranking needs."""
-    b, o = _bm25(spark, d), _overlap(spark, d)
-    fusion = _ranked(V.rrf([(_ranked(b, "bm25", None), 1.0), (_ranked(o, "ko", None), 1.0)]), "rrf", 220).where(F.col("rank") <= 96)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_distinct(T.tokenize("text")).alias("dw"))
+    """The first RERANKED of the RETRIEVED by rank fusion, with the scores that reranking needs."""
+    fusion = _hybrid(spark, d, RETRIEVED).where(F.col("rank") <= RERANKED)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text").join(broadcast_if_small(fusion.select("doc").distinct(), 16), "doc", "left_semi")
+    docs = docs.select("doc", F.array_distinct(T.tokenize("text")).alias("dw"))
     q = _queries(spark, d).select(F.col("item_id").alias("q"), F.array_distinct(T.tokenize("text")).alias("qw"))
-    p = fusion.select("q", "doc", "rrf").join(o, ["q", "doc"], "left").join(docs, "doc").join(broadcast_if_small(q, 4096), "q")
-    ce = F.size(F.array_intersect("qw", "dw")) / F.sqrt(F.size("qw") * F.size("dw").cast("double"))
-    return p.select("q", "doc", "rrf", F.coalesce("ko", F.lit(0.0)).alias("retrieval"), ce.alias("ce"))
+    p = fusion.select("q", "doc", "rrf", F.col("sim").alias("retrieval")).join(docs, "doc").join(broadcast_if_small(q, 4096), "q")
+    ce = F.coalesce(F.try_divide(F.size(F.array_intersect("qw", "dw")), F.sqrt(F.size("qw") * F.size("dw").cast("double"))), F.lit(0.0))
+    return p.select("q", "doc", "rrf", "retrieval", ce.alias("ce"))
 
 
-_POOL = f"""{_BM25}, {_SETS}, f AS (SELECT q, doc, sum(s) AS rrf FROM (SELECT q, doc, 1.0 / (60 + rank) AS s FROM bmr UNION ALL SELECT q, doc, 1.0 / (60 + rank) FROM ksr) GROUP BY 1, 2),
-fr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, doc) AS rank FROM f),
-dw AS (SELECT doc_id AS doc, list_distinct({_TOK.format('text')}) AS dw FROM documents), qw AS (SELECT q, list_distinct({_TOK.format('text')}) AS qw FROM qs),
-pool AS (SELECT q, doc, rrf, coalesce(ko, 0) AS retrieval, len(list_intersect(qw, dw)) / sqrt(len(qw) * len(dw)::DOUBLE) AS ce FROM fr LEFT JOIN ks USING (q, doc) JOIN dw USING (doc) JOIN qw USING (q) WHERE rank <= 96)"""
+_POOL = f"""{_RANKS}, dw AS (SELECT doc_id AS doc, list_distinct({_TOK.format('text')}) AS dw FROM documents), qw AS (SELECT q, list_distinct({_TOK.format('text')}) AS qw FROM qs),
+pool AS (SELECT q, doc, rrf, sim AS retrieval, CASE WHEN len(qw) * len(dw) > 0 THEN len(list_intersect(qw, dw)) / sqrt(len(qw) * len(dw)::DOUBLE) ELSE 0 END AS ce FROM fr JOIN dw USING (doc) JOIN qw USING (q) WHERE rank <= {RERANKED})"""
 _MM = "CASE WHEN max({0}) OVER w - min({0}) OVER w < 1e-12 THEN 1 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
 
 
@@ -118,16 +164,22 @@ def cross_encoder_rerank(spark, d):
     return _ranked(_pool(spark, d), "ce", 30).select("q", "doc", "rank", F.round("ce", 6).alias("ce"))
 
 
-@R.query(f"""WITH {_POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ce, 9) DESC, doc) AS rank FROM pool),
-m AS (SELECT q, doc, ce * (1 + 0.4 * (doc % 7) / 7.0) * (CASE WHEN course_code = 'TIDE100' THEN 1.6 ELSE 1 END) AS score FROM r JOIN documents ON doc_id = doc WHERE rank <= 72),
-z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM m) SELECT q, doc, rank::INTEGER AS rank, round(score, 6) AS score FROM z WHERE rank <= 30""")
+_WITH = "WITH RECURSIVE " + catalog_queries._FEATURES.removeprefix("WITH RECURSIVE ")
+
+
+@R.query(f"""{_WITH}, {_POOL}, gr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ce, 9) DESC, doc) AS gr FROM pool),
+m AS (SELECT q, doc, ce * (1 + 0.4 * coalesce(oz + 0.3 * dz + 0.5 * mz, 0)) * (CASE WHEN regexp_extract({catalog_queries._NORM.format('course_code')}, '^([A-Z]+)', 1) = 'TIDE' THEN 1.6 ELSE 1 END) AS score
+  FROM gr JOIN documents ON doc_id = doc LEFT JOIN z ON z.code = {catalog_queries._NORM.format('course_code')} WHERE gr <= {GRAPH}),
+zr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM m) SELECT q, doc, rank::INTEGER AS rank, round(score, 5) AS score FROM zr WHERE rank <= 30""")
 def rerank_graph(spark, d):
-    """Reranked pool times a global and a department multiplier."""
-    best = _ranked(_pool(spark, d), "ce", 72).select("q", "doc", "ce")
-    about = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "course_code")
-    mult = (1 + 0.4 * (F.col("doc") % 7) / 7.0) * F.when(F.col("course_code") == "TIDE100", 1.6).otherwise(1.0)
-    out = best.join(about, "doc").withColumn("score", F.col("ce") * mult)
-    return _ranked(out, "score", 30).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    """Reranked pool times the global weight of the course a document is about and the multiplier of its department."""
+    best = _ranked(_pool(spark, d), "ce", GRAPH).select("q", "doc", "ce")
+    about = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), C.normalize_code("course_code").alias("code"))
+    about = about.join(broadcast_if_small(best.select("doc").distinct(), 16), "doc", "left_semi")
+    weights = _weights(spark, d)
+    mult = (1 + 0.4 * F.coalesce("global_weight", F.lit(0.0))) * F.when(C.dept_prefix("code") == "TIDE", 1.6).otherwise(1.0)
+    out = best.join(about.join(weights, "code", "left"), "doc").withColumn("score", F.col("ce") * mult)
+    return _ranked(out, "score", 30).select("q", "doc", "rank", F.round("score", 5).alias("score"))
 
 
 @R.query(f"""WITH qs AS (SELECT item_id AS q, text FROM benchmark WHERE item_id % 100 = 0),
@@ -205,15 +257,13 @@ def fuzzy(spark, d):
     return best.select("q", F.col("doc").alias("row_id"), "rank", F.round("score", 6).alias("score"))
 
 
-@R.query(f"""WITH {_BM25}, {_SETS}, a AS (SELECT q, doc, bm25 / max(bm25) OVER (PARTITION BY q) AS b FROM bm), k AS (SELECT q, doc, ko / max(ko) OVER (PARTITION BY q) AS o FROM ks),
-e AS (SELECT q, doc, 0.2 * coalesce(b, 0) + 0.2 * coalesce(o, 0) AS score FROM a FULL JOIN k USING (q, doc)),
+@R.query(f"""WITH {_RANKS}, {_SETS}, e AS (SELECT q, doc, 0.4 * sim + 0.2 * coalesce(ko, 0) AS score FROM de LEFT JOIN ks USING (q, doc)),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM e) SELECT q, doc, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= {K}""")
 def ensemble(spark, d):
-    w = Window.partitionBy("q")
-    b = _bm25(spark, d).select("q", "doc", (F.col("bm25") / F.max("bm25").over(w)).alias("b"))
-    o = _overlap(spark, d).select("q", "doc", (F.col("ko") / F.max("ko").over(w)).alias("o"))
-    both = b.join(o, ["q", "doc"], "full").withColumn("score", 0.2 * F.coalesce("b", F.lit(0.0)) + 0.2 * F.coalesce("o", F.lit(0.0)))
-    return _ranked(both, "score").select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    """The parts that SQL can state, raw and at 0.2 each: cosine, inner product of unit vectors (the same) and keyword overlap."""
+    sim = _dense(spark, d)
+    parts = [(sim.withColumnRenamed("sim", "s"), 0.2), (sim.withColumnRenamed("sim", "s"), 0.2), (_overlap(spark, d).withColumnRenamed("ko", "s"), 0.2)]
+    return _ranked(V.ensemble(parts), "score").select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @R.query()
