@@ -156,6 +156,11 @@ def json_block(reply: Column | str) -> Column:
     return F.when(F.try_parse_json(pick).isNotNull(), pick)
 
 
+def first_score(*scores: Column | str) -> Column:
+    """The first score that is not null, 0 if none is."""
+    return F.coalesce(*[as_col(s).cast("double") for s in scores], F.lit(0.0))
+
+
 def match_percent(score: Column | str) -> Column:
     """min(99, round half up of 100 * score)."""
     return F.least(F.lit(99), F.floor(as_col(score) * 100 + 0.5)).cast("int")

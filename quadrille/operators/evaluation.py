@@ -48,7 +48,7 @@ def scores(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def overlap(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(q, inter, jaccard, left_recall, right_recall, mror): two lists (q, doc, rank) cut at k; 0 where nothing is shared."""
+    """(q, inter, jaccard, left_recall, right_recall, mror, right_mror): two lists (q, doc, rank) cut at k; 0 where nothing is shared."""
     a = left.where(F.col("rank") <= k).groupBy("q", "doc").agg(F.min("rank").alias("ra"))
     b = right.where(F.col("rank") <= k).groupBy("q", "doc").agg(F.min("rank").alias("rb"))
     both = F.col("ra").isNotNull() & F.col("rb").isNotNull()
@@ -58,9 +58,40 @@ def overlap(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
         F.count("ra").alias("na"),
         F.count("rb").alias("nb"),
         F.avg(F.when(both, 1.0 / F.col("ra"))).alias("mror"),
+        F.avg(F.when(both, 1.0 / F.col("rb"))).alias("right_mror"),
     )
     part = lambda n: F.coalesce(F.try_divide("inter", n), F.lit(0.0))
-    return t.select("q", "inter", part("union").alias("jaccard"), part("na").alias("left_recall"), part("nb").alias("right_recall"), F.coalesce("mror", F.lit(0.0)).alias("mror"))
+    return t.select("q", "inter", part("union").alias("jaccard"), part("na").alias("left_recall"), part("nb").alias("right_recall"), F.coalesce("mror", F.lit(0.0)).alias("mror"), F.coalesce("right_mror", F.lit(0.0)).alias("right_mror"))
+
+
+def graded_cases(cases: DataFrame, qrels: DataFrame) -> DataFrame:
+    """The cases (q, ...) that have any document of a positive grade."""
+    return cases.join(qrels.where(F.col("grade") > 0).select("q").distinct(), "q", "left_semi")
+
+
+def run_summary(rows: DataFrame) -> DataFrame:
+    """(method, ok, fail, queries) of runs (method, q, code, rank, error) over all queries of any method.
+
+    A run is ok if none of its rows has an error and one has a code and a rank; a method that lacks a query fails it.
+    """
+    filled = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    runs = rows.groupBy("method", "q").agg((~F.bool_or(filled("error")) & F.bool_or(filled("code") & F.col("rank").isNotNull())).alias("ok"))
+    queries = F.broadcast(rows.agg(F.count_distinct("q").alias("queries")))
+    sums = runs.groupBy("method").agg(F.count_if("ok").alias("ok")).crossJoin(queries)
+    return sums.select("method", "ok", (F.col("queries") - F.col("ok")).alias("fail"), "queries")
+
+
+def composite(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """scores with composite, the weighted mean of the named metrics; a null metric counts as 0."""
+    total = sum(weights.values())
+    return scores.withColumn("composite", sum((F.coalesce(F.col(c), F.lit(0.0)) * (w / total) for c, w in weights.items()), F.lit(0.0)))
+
+
+def threshold_gates(leaderboard: DataFrame, least: dict[str, float]) -> DataFrame:
+    """leaderboard with passes, whether every named metric reaches its absolute threshold, and failed, the names of those that don't."""
+    lost = [F.when(F.coalesce(F.col(c), F.lit(0.0)) < v, F.lit(c)) for c, v in least.items()]
+    out = leaderboard.withColumn("failed", F.array_compact(F.array(*lost)))
+    return out.withColumn("passes", F.size("failed") == 0)
 
 
 def outcomes(composite: DataFrame, epsilon: float = 1e-9) -> DataFrame:

@@ -12,8 +12,8 @@ def eligibility(nodes: DataFrame, completed: DataFrame, roots: DataFrame) -> Dat
     """(key, eligible): whether the completed codes meet each record's tree.
 
     nodes: (key, node_path, parent_path, kind, operator, quantity, code) of one section; completed: distinct (code);
-    roots: (key, operator) of all records. A group is met if all (AND) or at least quantity (OR, 1 if null) of its children
-    are; an empty AND is met, an empty OR is not. A node that is neither a course nor a group is never met but counts. A
+    roots: (key, operator) of all records. An OR group is met if at least quantity (1 if null) of its children are; a
+    group with any other operator or none needs all of them; an empty OR is not met, any other empty group is. A node that is neither a course nor a group is never met but counts. A
     record without nodes is eligible. Levels are closed from the deepest up, one aggregation each.
     """
     done = completed.select("code").distinct().withColumn("done", F.lit(True))
@@ -33,7 +33,7 @@ def eligibility(nodes: DataFrame, completed: DataFrame, roots: DataFrame) -> Dat
         else:
             here = here.withColumn("n", F.lit(None).cast("bigint")).withColumn("met", F.lit(None).cast("bigint"))
         n, met = F.coalesce("n", F.lit(0)), F.coalesce("met", F.lit(0))
-        group = F.when(F.coalesce("operator", F.lit("OR")) == "AND", met == n).otherwise(met >= F.coalesce("quantity", F.lit(1)))
+        group = F.when(F.coalesce("operator", F.lit("AND")) == "OR", met >= F.coalesce("quantity", F.lit(1))).otherwise(met == n)
         ok = F.when(F.col("kind") == "group", group).when(F.col("kind") == "course", F.col("done")).otherwise(F.lit(False))
         sums = here.withColumn("ok", ok).groupBy("key", F.coalesce("parent_path", F.lit("")).alias("up")).agg(F.count("*").alias("n"), F.count_if("ok").alias("met"))
     if sums is None:

@@ -9,9 +9,14 @@ from quadrille.functions import as_col
 from quadrille.functions import codes as C
 from quadrille.functions import text as T
 
+#: Lines of a transcript, such as 'Fall 2021' and 'CS 135  Designing Programs', and its labels.
 _TERM = r"^\s*(Fall|Winter|Spring)\s+(\d{4})\s*$"
 _COURSE = r"^([A-Z]{2,})\s+(\d{3}[A-Z]?)\s+[A-Z][A-Za-z0-9\s,:\-&/]+"
 
+_LEVEL, _STUDENT = r"Level:\s+(\w{2,})", r"Student ID:\s+(\d+)"
+#: Fixed value: how a section of courses begins, as in 'Complete 2 of the following:'.
+_SECTION = r"(?i)Complete\s+(?:all\s+(?:of\s+)?the|\d+\s+of\s+the)\s+following\s*:?\s*"
+
 
 def last_before(points: DataFrame, group: str, order: str, header: Column, value: Column) -> DataFrame:
     """points with ``assigned``: the value of the last header at or before each row of its group, the first header's before that.
@@ -43,7 +48,7 @@ def parse_transcripts(docs: DataFrame, key: str, text: str) -> DataFrame:
     terms = marked.where(F.col("term_id").isNotNull())
     nth = Window.partitionBy("key").orderBy("pos")
     numbered = terms.select("key", "pos", "term_id", F.row_number().over(nth).alias("n"))
-    level = F.regexp_extract("line", r"Level:\s+(\w{2,})", 1)
+    level = F.regexp_extract("line", _LEVEL, 1)
     levels = lines.where(level != "").select("key", level.alias("level"), F.row_number().over(nth).alias("n"))
     paired = numbered.join(levels, ["key", "n"], "full").groupBy("key").agg(
         F.bool_and(F.col("term_id").isNotNull() & F.col("level").isNotNull()).alias("ok"),
@@ -57,7 +62,7 @@ def parse_transcripts(docs: DataFrame, key: str, text: str) -> DataFrame:
     named = numbered.join(per_term.withColumnRenamed("at", "pos"), ["key", "pos"], "left").groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("n", F.coalesce(F.col("c.code"), F.array().cast("array<string>")).alias("courses")))).alias("c")
     )
-    student = F.regexp_extract(as_col(text), r"Student ID:\s+(\d+)", 1).try_cast("bigint")
+    student = F.regexp_extract(as_col(text), _STUDENT, 1).try_cast("bigint")
     head = docs.select(F.col(key).alias("key"), student.alias("student"), T.program_name(text).alias("program"))
     out = head.join(paired, "key", "left").join(named, "key", "left")
     rows = F.zip_with("heads", "c", lambda h, c: F.struct(h["term_id"].alias("term_id"), h["level"].alias("level"), c["courses"].alias("courses")))
@@ -84,7 +89,7 @@ def course_lists(text: Column | str) -> Column:
 
     Sections without codes are left out; all codes are required where the section says all.
     """
-    start = r"(?i)Complete\s+(?:all\s+(?:of\s+)?the|\d+\s+of\s+the)\s+following\s*:?\s*"
+    start = _SECTION
     heads = F.regexp_extract_all(as_col(text), F.lit(f"({start})"), F.lit(1))
     bodies = F.slice(F.split(as_col(text), start), 2, F.greatest(F.size(heads), F.lit(1)))
 

@@ -9,7 +9,7 @@ from quadrille.functions import codes as C
 from quadrille.functions.words import ENGINEERING
 from quadrille.operators import catalog as K
 from quadrille.operators import features, hierarchy, nested, requirements
-from quadrille.plans.data_queries import _CLOSURE, _EDGES, _NORM
+from quadrille.plans.data_queries import _CLOSURE, _EDGES, _NODES, _NORM
 from quadrille.plans.registry import Registry, sql_list
 from quadrille.runtime import materialize, table
 
@@ -257,7 +257,7 @@ def _tree(spark, d):
 
 @R.query()
 def prereq_eligibility(spark, d):
-    """SQL cannot state trees of any depth; the tests hold it against a recursive evaluation."""
+    """Trees of any depth from the leaves up, which a recursive query cannot aggregate; the tests hold it against a recursive evaluation."""
     nodes, roots = _tree(spark, d)
     return requirements.eligibility(nodes, _done(spark, d), roots).withColumnRenamed("key", "dep_id")
 
@@ -269,7 +269,7 @@ def requirement_text(spark, d):
     top = nodes.where(F.col("parent_path").isNull())
     below = nodes.where((F.size(F.split("node_path", r"\.")) == 2) & (F.col("code") != ""))
     kids = below.groupBy("key", F.col("parent_path").alias("node_path")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "code"))).alias("k"))
-    joiner = F.when(F.coalesce("operator", F.lit("OR")) == "OR", " or ").otherwise(" and ")
+    joiner = F.when(F.coalesce("operator", F.lit("AND")) == "OR", " or ").otherwise(" and ")
     part = F.when(F.col("code") != "", F.col("code")).otherwise(F.expr("array_join(k.code, '|')"))
     part = F.replace(part, F.lit("|"), joiner)
     parts = top.join(kids, ["key", "node_path"], "left").select("key", "ordinal", part.alias("part")).where(F.col("part") != "")
@@ -281,7 +281,7 @@ def requirement_text(spark, d):
 def legacy_eligibility(spark, d):
     """The older rule over flattened rows: all AND rows of a record, and one of all its OR rows taken as a single group."""
     nodes, roots = _tree(spark, d)
-    op = nodes.where(F.col("kind") == "prerequisite_group").select("key", F.col("node_path").alias("up"), F.coalesce("operator", F.lit("OR")).alias("up_op"))
+    op = nodes.where(F.col("kind") == "prerequisite_group").select("key", F.col("node_path").alias("up"), F.coalesce("operator", F.lit("AND")).alias("up_op"))
     leaf = nodes.where(F.col("code") != "").select("key", "code", F.coalesce("parent_path", F.lit("")).alias("up"))
     named = leaf.join(op, ["key", "up"], "left").join(roots, "key").select("key", "code", F.coalesce("up_op", "operator", F.lit("AND")).alias("op"))
     done = _done(spark, d).withColumn("done", F.lit(1))
@@ -294,7 +294,19 @@ def legacy_eligibility(spark, d):
     return roots.join(sums, "key", "left").select(F.col("key").alias("dep_id"), F.coalesce(ok, F.lit(True)).alias("eligible"))
 
 
-@R.query()
+@R.query(f"""WITH RECURSIVE {_NODES}, own AS (SELECT DISTINCT dep_id, {_NORM.format('course_code')} AS own FROM course_dependencies)
+SELECT dep_id, array_to_string(list_sort(list_distinct(list(code))), ' ') AS snippet FROM coded JOIN own USING (dep_id) WHERE section = 'prerequisites.groups' AND code <> '' AND code <> coalesce(own, '') GROUP BY dep_id""")
+def prereq_snippet(spark, d):
+    """The codes that the groups of each record hold at any depth, without its own, in order: what the lexical index adds to a course."""
+    own = table(spark, d, "course_dependencies").select(F.col("dep_id").alias("key"), C.normalize_code("course_code").alias("own")).distinct()
+    codes = _tree(spark, d)[0].join(own, "key").where((F.col("code") != "") & (F.col("code") != F.col("own")))
+    return codes.groupBy(F.col("key").alias("dep_id")).agg(F.array_join(F.array_sort(F.collect_set("code")), " ").alias("snippet"))
+
+
+@R.query(f"""WITH RECURSIVE {_NODES}, a AS (SELECT n.dep_id, n.path::INTEGER AS i, n.section, code, CASE WHEN json_type(x) = 'OBJECT' AND json_type(x, '$.program_name') NOT IN ('OBJECT', 'ARRAY') THEN x->>'$.program_name' END AS p
+  FROM nodes n JOIN coded USING (dep_id, section, path) WHERE starts_with(n.section, 'antirequisites') AND NOT contains(n.path, '.'))
+SELECT dep_id, string_agg(code, ', ' ORDER BY i, code) FILTER (section = 'antirequisites.courses' AND code <> '') AS courses,
+  'Not open to ' || string_agg(p, ', ' ORDER BY i, p) FILTER (section = 'antirequisites.program_restrictions' AND p IS NOT NULL) || ' students' AS programs FROM a GROUP BY dep_id""")
 def restriction_text(spark, d):
     """Per record the antirequisite codes as 'A, B' and the closed programs as 'Not open to X, Y students'."""
     nodes = nested.node_columns(nested.flatten_records(table(spark, d, "course_dependencies"), "dep_id", ("antirequisites",)))

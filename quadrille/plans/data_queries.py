@@ -86,6 +86,22 @@ r(u, v, d) USING KEY (u, v) AS (
   WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS x WHERE x.u = r.u AND x.v = e.c)
   GROUP BY r.u, e.c)"""
 
+#: A JSON text in the place of a value counts as what it contains; an array's elements, or one object in its place.
+_UNWRAP = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0}->>'$') THEN ({0}->>'$')::JSON ELSE {0} END"
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'OBJECT' THEN [{0}] ELSE [] END"
+_NODES = f"""
+cells AS (SELECT DISTINCT dep_id, section, j FROM (SELECT dep_id, 'prerequisites' AS section, prerequisites AS j FROM course_dependencies
+  UNION ALL SELECT dep_id, 'corequisites', corequisites FROM course_dependencies UNION ALL SELECT dep_id, 'antirequisites', antirequisites FROM course_dependencies) WHERE json_valid(j)),
+whole AS (SELECT dep_id, section, {_UNWRAP.format('j::JSON')} AS j FROM cells),
+tops AS (SELECT dep_id, section || '.groups' AS section, j AS a FROM whole WHERE json_type(j) = 'ARRAY'
+  UNION ALL SELECT dep_id, section || '.' || name, {_UNWRAP.format("json_extract(j, '$.' || name)")} FROM whole, (VALUES ('groups'), ('courses'), ('program_requirements'), ('program_restrictions')) n(name) WHERE json_type(j) = 'OBJECT'),
+nodes(dep_id, section, path, x) AS (
+  SELECT dep_id, section, (i - 1)::VARCHAR, xs[i] FROM (SELECT dep_id, section, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT dep_id, section, {_LIST.format('a')} AS xs FROM tops)) WHERE json_type(xs[i]) <> 'NULL'
+  UNION ALL
+  SELECT dep_id, section, path || '.' || (i - 1)::VARCHAR, xs[i] FROM (SELECT dep_id, section, path, xs, unnest(range(1, len(xs) + 1)) AS i FROM
+    (SELECT dep_id, section, path, {_LIST.format('a')} AS xs FROM (SELECT dep_id, section, path, {_UNWRAP.format("json_extract(x, '$.courses')")} AS a FROM nodes WHERE json_type(x) = 'OBJECT'))) WHERE json_type(xs[i]) <> 'NULL'),
+coded AS (SELECT dep_id, section, path, {_NORM.format("coalesce(CASE json_type(x) WHEN 'OBJECT' THEN CASE WHEN json_type(x, '$.code') NOT IN ('OBJECT', 'ARRAY') THEN x->>'$.code' END WHEN 'VARCHAR' THEN x->>'$' END, '')")} AS code FROM nodes)"""
+
 _REFS = f"""
 refs AS (
   SELECT DISTINCT ref_table, ref_id, code, t FROM (
@@ -113,6 +129,7 @@ LEFT JOIN walk ON walk.node = n LEFT JOIN (SELECT u, count(*) AS descendants FRO
 own AS (SELECT u AS n FROM r WHERE u = v)
 SELECT a.v AS course_code, min(a.u) AS cycle_code FROM r a JOIN r b ON a.u = b.v AND a.v = b.u
 WHERE a.u IN (SELECT n FROM own) AND a.v IN (SELECT n FROM own) GROUP BY a.v""",
+    "p3_found": f"WITH RECURSIVE {_NODES} SELECT DISTINCT dep_id, section, path AS node_path, code FROM coded",
     "p5_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_id, code AS ref_code FROM orphan",
     "p5_counts": f"""WITH {_REFS}
 SELECT ref_table, CAST((year(t) - 1900) * 10 + ((month(t) - 1) // 4) * 4 + 1 AS INTEGER) AS term_id,

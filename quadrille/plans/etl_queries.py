@@ -64,6 +64,19 @@ def link_harvest(spark, d):
     return readers.links(t.select("doc_id", html.alias("html")), "doc_id", "html").select(F.col("key").alias("doc_id"), "pos", "href")
 
 
+@R.query("""SELECT row_id, title, '/c/' || course_code AS url FROM courses WHERE contains(lower(coalesce(title, 'unknown')), 'wave') OR contains(lower(coalesce('/c/' || course_code, 'unknown')), 'tide') ORDER BY row_id, url, title LIMIT 40""")
+def link_filter(spark, d):
+    t = table(spark, d, "courses").select("row_id", "title", F.concat(F.lit("/c/"), "course_code").alias("url"))
+    return readers.filter_links(t, "title", "url", ["Wave", "tide"], ["row_id", "url", "title"], 40)
+
+
+@R.query("""SELECT DISTINCT request_id, program_id FROM (SELECT request_id, trim(unnest(string_split(array_to_string(option_names, ' , ,'), ','))) AS program_name FROM recommend_filters) JOIN programs USING (program_name)""")
+def csv_ids_join(spark, d):
+    """Nodes joined to what names them in one column of ids separated by commas."""
+    t = table(spark, d, "recommend_filters").select("request_id", F.array_join("option_names", " , ,").alias("ids"))
+    return readers.csv_ids(t, "ids", "program_name").join(table(spark, d, "programs"), "program_name").select("request_id", "program_id").distinct()
+
+
 @R.query("""SELECT source AS name, count(*) AS n, NULL::DOUBLE AS mean FROM documents GROUP BY 1 UNION ALL SELECT event_type, NULL, round(avg(value), 6) FROM events GROUP BY 1""")
 def union_ragged(spark, d):
     a = table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))

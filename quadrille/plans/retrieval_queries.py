@@ -324,15 +324,15 @@ def segment_grouping_sets(spark, d):
     return _round(E.by_segment(_scores(spark, d), ["ndcg", "recall", "mrr"]), "ndcg", "recall", "mrr")
 
 
-_OV = f"""{_EVAL}, ov AS (SELECT q, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS inter, count(*) AS un, count(ra) AS na, count(rb) AS nb, avg(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 1.0 / ra END) AS mror
+_OV = f"""{_EVAL}, ov AS (SELECT q, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS inter, count(*) AS un, count(ra) AS na, count(rb) AS nb, avg(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 1.0 / ra END) AS mror, avg(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 1.0 / rb END) AS right_mror
 FROM (SELECT q, doc, rank AS ra FROM lists WHERE method = 'cosine') FULL JOIN (SELECT q, doc, rank AS rb FROM lists WHERE method = 'first') USING (q, doc) GROUP BY q)"""
 
 
-@R.query(f"WITH {_OV} SELECT q, inter, round(inter / un, 6) AS jaccard, round(inter / na, 6) AS left_recall, round(inter / nb, 6) AS right_recall, round(coalesce(mror, 0), 6) AS mror FROM ov")
+@R.query(f"WITH {_OV} SELECT q, inter, round(inter / un, 6) AS jaccard, round(inter / na, 6) AS left_recall, round(inter / nb, 6) AS right_recall, round(coalesce(mror, 0), 6) AS mror, round(coalesce(right_mror, 0), 6) AS right_mror FROM ov")
 def jaccard_mror(spark, d):
     lists = _lists(spark, d)
     of = lambda m: lists.where(F.col("method") == m)
-    return _round(E.overlap(of("cosine"), of("first"), 15), "jaccard", "left_recall", "right_recall", "mror")
+    return _round(E.overlap(of("cosine"), of("first"), 15), "jaccard", "left_recall", "right_recall", "mror", "right_mror")
 
 
 @R.query(f"""WITH {_EVAL}, p AS (SELECT q, segment, max(CASE WHEN method = 'cosine' THEN ndcg END) AS a, max(CASE WHEN method = 'first' THEN ndcg END) AS b FROM sc GROUP BY 1, 2)
@@ -352,11 +352,63 @@ def _gated(spark, d):
     return E.gates(board, "cosine")
 
 
+@R.query(f"WITH {_EVAL} SELECT DISTINCT q FROM sim WHERE q IN (SELECT q FROM rel WHERE grade > 0)")
+def graded_cases(spark, d):
+    cases = table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q"))
+    return E.graded_cases(cases, _qrels(spark, d))
+
+
+@R.query(f"""WITH {_EVAL}, c AS (SELECT method, avg(0.5 * ndcg + 0.3 * recall + 0.2 * mrr) AS composite, avg(ndcg) AS ndcg, avg(mrr) AS mrr FROM sc GROUP BY method)
+SELECT method, round(composite, 6) AS composite, list_filter([CASE WHEN composite < 0.1 THEN 'composite' END, CASE WHEN ndcg < 0.2 THEN 'ndcg' END, CASE WHEN mrr < 0.05 THEN 'mrr' END], lambda x: x IS NOT NULL) AS failed,
+  composite >= 0.1 AND ndcg >= 0.2 AND mrr >= 0.05 AS passes FROM c""")
+def threshold_gates(spark, d):
+    """The weighted composite of each method and the absolute thresholds it fails."""
+    s = E.composite(_scores(spark, d), {"ndcg": 0.5, "recall": 0.3, "mrr": 0.2})
+    board = s.groupBy("method").agg(F.avg("composite").alias("composite"), F.avg("ndcg").alias("ndcg"), F.avg("mrr").alias("mrr"))
+    return _round(E.threshold_gates(board, {"composite": 0.1, "ndcg": 0.2, "mrr": 0.05}), "composite").select("method", "composite", "failed", "passes")
+
+
+@R.query("""WITH r AS (SELECT event_type AS method, user_id % 40 AS q, CASE WHEN value > 30 THEN event_type END AS code, CASE WHEN event_id % 3 = 0 THEN event_id END AS rank, CASE WHEN event_id % 97 = 0 THEN 'late' ELSE ' ' END AS error FROM events),
+p AS (SELECT method, q, NOT bool_or(trim(error) <> '') AND bool_or(code IS NOT NULL AND rank IS NOT NULL) AS ok FROM r GROUP BY 1, 2)
+SELECT method, count(*) FILTER (ok) AS ok, (SELECT count(DISTINCT q) FROM r) - count(*) FILTER (ok) AS fail, (SELECT count(DISTINCT q) FROM r) AS queries FROM p GROUP BY method""")
+def run_summary(spark, d):
+    when = lambda c, v: F.when(c, v)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 40).alias("q"), when(F.col("value") > 30, F.col("event_type")).alias("code"),
+        when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("rank"), when(F.col("event_id") % 97 == 0, F.lit("late")).otherwise(" ").alias("error"))
+    return E.run_summary(rows)
+
+
 @R.query(f"WITH {_BOARD} SELECT method, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS mrr, passes FROM g")
 def gates(spark, d):
     return _round(_gated(spark, d), "ndcg", "recall", "mrr")
 
 
+@R.query(f"WITH {_EVAL} SELECT DISTINCT q FROM sim WHERE q IN (SELECT q FROM rel WHERE grade > 0)")
+def graded_cases(spark, d):
+    cases = table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q"))
+    return E.graded_cases(cases, _qrels(spark, d))
+
+
+@R.query(f"""WITH {_EVAL}, c AS (SELECT method, avg(0.5 * ndcg + 0.3 * recall + 0.2 * mrr) AS composite, avg(ndcg) AS ndcg, avg(mrr) AS mrr FROM sc GROUP BY method)
+SELECT method, round(composite, 6) AS composite, list_filter([CASE WHEN composite < 0.1 THEN 'composite' END, CASE WHEN ndcg < 0.2 THEN 'ndcg' END, CASE WHEN mrr < 0.05 THEN 'mrr' END], lambda x: x IS NOT NULL) AS failed,
+  composite >= 0.1 AND ndcg >= 0.2 AND mrr >= 0.05 AS passes FROM c""")
+def threshold_gates(spark, d):
+    """The weighted composite of each method and the absolute thresholds it fails."""
+    s = E.composite(_scores(spark, d), {"ndcg": 0.5, "recall": 0.3, "mrr": 0.2})
+    board = s.groupBy("method").agg(F.avg("composite").alias("composite"), F.avg("ndcg").alias("ndcg"), F.avg("mrr").alias("mrr"))
+    return _round(E.threshold_gates(board, {"composite": 0.1, "ndcg": 0.2, "mrr": 0.05}), "composite").select("method", "composite", "failed", "passes")
+
+
+@R.query("""WITH r AS (SELECT event_type AS method, user_id % 40 AS q, CASE WHEN value > 30 THEN event_type END AS code, CASE WHEN event_id % 3 = 0 THEN event_id END AS rank, CASE WHEN event_id % 97 = 0 THEN 'late' ELSE ' ' END AS error FROM events),
+p AS (SELECT method, q, NOT bool_or(trim(error) <> '') AND bool_or(code IS NOT NULL AND rank IS NOT NULL) AS ok FROM r GROUP BY 1, 2)
+SELECT method, count(*) FILTER (ok) AS ok, (SELECT count(DISTINCT q) FROM r) - count(*) FILTER (ok) AS fail, (SELECT count(DISTINCT q) FROM r) AS queries FROM p GROUP BY method""")
+def run_summary(spark, d):
+    when = lambda c, v: F.when(c, v)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 40).alias("q"), when(F.col("value") > 30, F.col("event_type")).alias("code"),
+        when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("rank"), when(F.col("event_id") % 97 == 0, F.lit("late")).otherwise(" ").alias("error"))
+    return E.run_summary(rows)
+
+
 @R.query(f"WITH {_BOARD} SELECT method, round(ndcg, 6) AS ndcg, passes FROM g ORDER BY passes DESC, ndcg DESC, method LIMIT 1")
 def winner(spark, d):
     return E.winner(_round(_gated(spark, d), "ndcg")).select("method", "ndcg", "passes")

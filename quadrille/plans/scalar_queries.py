@@ -192,6 +192,12 @@ def program_name_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "program_requirements").select("req_id", F.explode(T.program_names("program_name")).alias("name")).distinct()
 
 
+@R.query("""SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN value END, CASE WHEN user_id % 2 = 0 THEN value / 2 END, 0) AS score FROM events""")
+def score_pick(spark: SparkSession, d: str) -> DataFrame:
+    similarity, fuzzy = F.when(F.col("event_type") == "click", F.col("value")), F.when(F.col("user_id") % 2 == 0, F.col("value") / 2)
+    return table(spark, d, "events").select("event_id", T.first_score(similarity, fuzzy).alias("score"))
+
+
 @R.query("""SELECT vec_id, least(99, floor(embedding[1]::DOUBLE * 100 + 0.5))::INTEGER AS pct,
   CASE WHEN least(99, floor(embedding[1]::DOUBLE * 100 + 0.5)) >= 80 THEN 'excellent' WHEN least(99, floor(embedding[1]::DOUBLE * 100 + 0.5)) >= 60 THEN 'good'
   WHEN least(99, floor(embedding[1]::DOUBLE * 100 + 0.5)) >= 40 THEN 'fair' ELSE 'low' END AS label FROM embeddings""")

@@ -1,7 +1,11 @@
-"""A data source over a paged search service: one partition per query, pages until a short one, ranks running on."""
+"""A data source over a paged search service: one partition per query, pages until a short one, ranks running on.
+
+All rows are read unless the option ``most`` bounds them; a cut is reported on standard error.
+"""
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 
@@ -19,7 +23,7 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch):
         self.queries = [q for q in options.get("queries", "").split("\n") if q.strip()]
         self.limit = int(options.get("limit", 25))
-        self.most = int(options.get("most", 1000))
+        self.most = int(options["most"]) if "most" in options else None
         self.retries = int(options.get("retries", 3))
         self.wait = float(options.get("wait", 60))
         self.fetch = fetch
@@ -41,11 +45,14 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[tuple]:
         rank = skip = 0
-        while rank < self.most:
+        while self.most is None or rank < self.most:
             rows = self.page(partition.query, skip)
             for r in rows:
-                if r.get("type", "courses") != "courses" or rank >= self.most:
+                if r.get("type", "courses") != "courses":
                     continue
+                if rank == self.most:
+                    print(f"{partition.query!r}: cut after the {rank} rows that the option most allows", file=sys.stderr)
+                    return
                 rank += 1
                 code = r.get("code") or f"{r.get('subject', '')}{r.get('number', '')}"
                 yield partition.query, rank, code, r.get("title"), r.get("href")

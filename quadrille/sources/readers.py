@@ -83,6 +83,22 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.groupBy("key", "href").agg(F.min("pos").alias("pos"))
 
 
+def filter_links(found: DataFrame, name: str, url: str, parts: list[str], order: list[str], limit: int | None = None) -> DataFrame:
+    """Links whose name or address holds one of the parts, in any case; all if there are none; then the first in order."""
+    low = [F.lower(F.coalesce(F.col(c), F.lit("unknown"))) for c in (name, url)]
+    hit = F.lit(not parts)
+    for p in parts:
+        hit = hit | low[0].contains(p.lower()) | low[1].contains(p.lower())
+    kept = found.where(hit)
+    return kept if limit is None else kept.orderBy(*order).limit(limit)
+
+
+def csv_ids(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with one row for each id in a column of ids separated by commas; blank ids are dropped."""
+    each = rows.withColumn(name, F.explode(F.split(column, ",")))
+    return each.withColumn(name, F.trim(name)).where(F.col(name) != "")
+
+
 def last_write(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row written last of each key."""
     rest = [c for c in rows.columns if c not in keys]

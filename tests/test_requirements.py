@@ -11,7 +11,7 @@ from quadrille.operators import nested, requirements
 def tree(rng, depth=0):
     if depth > 2 or rng.random() < 0.5:
         return {"type": "course", "code": f"CS{rng.randrange(100, 112)}"} if rng.random() < 0.9 else {"type": "odd", "code": "CS100"}
-    return {"type": "prerequisite_group", "operator": rng.choice(["AND", "OR"]), "quantity": rng.choice([None, 1, 2]), "courses": [tree(rng, depth + 1) for _ in range(rng.randrange(0, 4))]}
+    return {"type": "prerequisite_group", "operator": rng.choice(["AND", "OR", None, "XOR"]), "quantity": rng.choice([None, 1, 2]), "courses": [tree(rng, depth + 1) for _ in range(rng.randrange(0, 4))]}
 
 
 def met(node, done):
@@ -20,7 +20,7 @@ def met(node, done):
     if node["type"] != "prerequisite_group":
         return False
     each = [met(c, done) for c in node["courses"]]
-    return all(each) if node["operator"] == "AND" else sum(each) >= (node["quantity"] or 1)
+    return sum(each) >= (node["quantity"] or 1) if node["operator"] == "OR" else all(each)
 
 
 def test_eligibility_of_random_trees(spark):
