@@ -1,14 +1,14 @@
 """References to records that do not exist, at the time they were made.
 
 Distinct foreign keys (code, time) are joined left-anti against the parent keys that are alive then, and the orphan keys
-are joined back to the references. Whether a code is alive at a time is a running sum of births and deaths, taken in two
-levels: within a code and day, and over the days of a code. So a code that holds a third of all rows is spread over its
-days, no task gets all of it, and no interval join multiplies rows.
+are joined back to the references. Whether a code is alive at a time is a running sum of births and deaths, taken in three
+levels: within a code and minute, over the minutes of a day, and over the days of a code. So a code that holds a third of all
+rows is spread over its minutes, no task gets all of it or a whole day of it, and no interval join multiplies rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.codes import normalize_code
@@ -30,36 +30,24 @@ def references(prereqs: DataFrame, antireqs: DataFrame, filters: DataFrame) -> D
     return all_.where(F.col("code") != "").distinct()
 
 
-def _day(t: Column | str) -> Column:
-    return F.date_trunc("day", F.col(t) if isinstance(t, str) else t)
-
-
 def alive_keys(keys: DataFrame, lives: DataFrame) -> DataFrame:
     """The rows of keys (code, t), t not null, for which some life (code, born, died) has born <= t < died or died null."""
     lives = lives.where(F.col("born").isNotNull() & (F.col("died").isNull() | (F.col("born") < F.col("died"))))
     births = lives.select("code", F.col("born").alias("t"), F.lit(1).alias("delta"), F.lit(0).alias("asked"))
     deaths = lives.where(F.col("died").isNotNull()).select("code", F.col("died").alias("t"), F.lit(-1).alias("delta"), F.lit(0).alias("asked"))
     asks = keys.select("code", "t", F.lit(0).alias("delta"), F.lit(1).alias("asked"))
-    points = (
-        births.unionByName(deaths)
-        .unionByName(asks)
-        .groupBy("code", _day("t").alias("day"), "t")
-        .agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked"))
-    )
-    within = Window.partitionBy("code", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    days = lives.select("code", _day("born").alias("day"), F.lit(1).alias("x")).unionByName(
-        lives.where(F.col("died").isNotNull()).select("code", _day("died").alias("day"), F.lit(-1).alias("x"))
-    )
-    asked_days = asks.select("code", _day("t").alias("day"), F.lit(0).alias("x"))
-    before = Window.partitionBy("code").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        days.unionByName(asked_days)
-        .groupBy("code", "day")
-        .agg(F.sum("x").alias("x"))
-        .select("code", "day", F.coalesce(F.sum("x").over(before), F.lit(0)).alias("carry"))
-    )
+    every = births.unionByName(deaths).unionByName(asks)
+    minute, day = F.date_trunc("minute", "t"), F.date_trunc("day", "minute")
+    points = every.groupBy("code", minute.alias("minute"), "t").agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked"))
+    minutes = every.groupBy("code", minute.alias("minute")).agg(F.sum("delta").alias("x")).withColumn("day", day)
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda *keys: F.coalesce(F.sum("x").over(earlier(*keys)), F.lit(0))
+    days = minutes.groupBy("code", "day").agg(F.sum("x").alias("x")).select("code", "day", before("code", "day").alias("days"))
+    carry = minutes.select("code", "day", "minute", before("code", "day", "minute").alias("minutes")).join(days, ["code", "day"])
+    within = Window.partitionBy("code", "minute").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     run = points.withColumn("run", F.sum("delta").over(within)).where(F.col("asked") == 1)
-    return run.join(carry, ["code", "day"]).where(F.col("run") + F.col("carry") > 0).select("code", "t")
+    alive = F.col("run") + F.col("minutes") + F.col("days") > 0
+    return run.join(carry.select("code", "minute", "minutes", "days"), ["code", "minute"]).where(alive).select("code", "t")
 
 
 def orphan_references(prereqs: DataFrame, antireqs: DataFrame, filters: DataFrame, courses: DataFrame, core: DataFrame) -> DataFrame:
