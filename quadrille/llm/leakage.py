@@ -241,8 +241,8 @@ def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     own = told.select("doc", "row", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).join(broadcast_if_small(vocabulary, 64), "w")
     own = own.groupBy("doc", "row").agg(F.array_join(F.collect_list("w"), " ").alias("vocabulary"))
     right = known.select("item", "own", F.col("words").alias("item_words"))
-    rows = pairs.join(broadcast_if_small(right, 8192), "own").join(told, ["doc", "row"]).join(own, ["doc", "row"])
-    rows = spread(rows.select("doc", "item", "item_words", "words", "vocabulary", "seeds"))
+    held = pairs.join(broadcast_if_small(right, 8192), "own").groupBy("doc", "row").agg(F.collect_list(F.struct("item", "item_words", "seeds")).alias("pairs"))
+    rows = spread(told.join(own, ["doc", "row"]).join(held, ["doc", "row"]).select("doc", "words", "vocabulary", "pairs"))
     out = materialize(rows.mapInPandas(_align_pairs, "doc bigint, item bigint, words int, edits int"), "leaks")
     release(known, seeds, pairs, told)
     return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "words", "edits").distinct()
@@ -291,9 +291,12 @@ def _fold_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _align_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per text, its best passage of each item it shares seeds with; there are as many items as its n-grams are seeds of."""
     for batch in batches:
         rows = []
-        for doc, item, own, words, known, seeds in batch.itertuples(index=False, name=None):
-            if found := best_passage(own.split(" "), words.split(" "), [(s["diagonal"], s["place"]) for s in seeds], set(known.split(" "))):
-                rows.append((doc, item, *found))
+        for doc, words, known, pairs in batch.itertuples(index=False, name=None):
+            text, vocabulary = words.split(" "), set(known.split(" "))
+            for p in pairs:
+                if found := best_passage(p["item_words"].split(" "), text, [(s["diagonal"], s["place"]) for s in p["seeds"]], vocabulary):
+                    rows.append((doc, p["item"], *found))
         yield pd.DataFrame(rows, columns=["doc", "item", "words", "edits"])
