@@ -202,10 +202,13 @@ def _read_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text with its end and signatures, and rows with counts of beginnings and words for what was read since the last ones."""
     counts = [Counter() for _ in range(4)]
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
-            rows.append({"doc": doc, "kind": DOCUMENT} | _end_of(text) | _count_units(text, *counts))
-        yield pa.RecordBatch.from_pylist(rows, schema=_COUNTED)
+        seen: tuple[list[str], ...] = ([], [], [], [], [])
+        rows = [_end_of(text) | _count_units(text, *seen) for text in batch["text"].to_pylist()]
+        for counter, names in zip(counts, seen):
+            counter.update(names)
+        counts[2].subtract(seen[4])
+        columns = {f.name: [r.get(f.name) for r in rows] for f in _COUNTED} | {"doc": batch["doc"], "kind": [DOCUMENT] * len(rows)}
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _COUNTED], schema=_COUNTED)
         if sum(map(len, counts)) > FLUSH:
             yield _counted(*counts)
             counts = [Counter() for _ in range(4)]
@@ -221,24 +224,31 @@ def _end_of(text: str) -> dict:
     return {"marked": marked, "begins": begins, "whole": len(like.split()) == len(begins), "before": xxhash.xxh3_64_intdigest(before) - (1 << 63), "closing": closing_word(like)}
 
 
-def _count_units(text: str, stopped: Counter, opened: Counter, inner: Counter, final: Counter) -> dict:
-    """Counts the units of a text; its end and signatures for the comparison of copies.
+def last_words(unit: str) -> list[str]:
+    """The last word of a unit as ``unit_words`` gives it, in a list that is empty if it has none."""
+    return unit_words(unit.rsplit(None, 1)[-1])[-1:] or unit_words(unit)[-1:]
+
+
+def _count_units(text: str, stopped: list[str], opened: list[str], words: list[str], final: list[str], last: list[str]) -> dict:
+    """Adds what the units of a text count for; gives its end and signatures for the comparison of copies.
 
-    Units with a full stop and open units count by their beginnings; the last unit of a text counts if it stops. Words count
-    as inner where their unit goes on behind them and as final where it ends with them.
+    Units with a full stop and open units count by their beginnings; the last unit of a text counts if it stops. words: all
+    words; last: those that end a unit, behind which it doesn't go on; final: those of them that count as its end.
     """
     whole = plain(without_remnant(text)[0])
-    parts = units(trimmed(alike(whole)))
+    body = trimmed(alike(whole))
+    words += unit_words(body)
+    parts = units(body)
     for n, u in enumerate(parts, 1):
         stop = stops(u) or stops(trimmed(u))
-        words = unit_words(u)
-        inner.update(words[:-1])
+        ending = last_words(u)
+        last += ending
         if n < len(parts) or stop:
-            final.update(words[-1:])
+            final += ending
         if stop:
-            stopped.update(beginnings(u))
+            stopped += beginnings(u)
         elif n < len(parts):
-            opened.update(beginnings(u))
+            opened += beginnings(u)
     return signature(_WORDS.findall(fold(whole).lower()), not ends_well(trimmed(whole)))
 
 
@@ -370,8 +380,12 @@ def signature(words: list[str], open_: bool) -> dict:
     mixed ^= mixed >> np.uint64(31)
     cuts = [0, *(n - SHINGLE + 1 for n in lengths[:-1])]
     least = np.minimum.accumulate(np.minimum.reduceat(mixed, cuts, axis=0), axis=0)
-    for n, row in zip(lengths, least):
-        out["bands"] += [xxhash.xxh3_64_intdigest(row[i * ROWS : (i + 1) * ROWS].tobytes(), seed=n * BANDS + i) - (1 << 63) for i in range(BANDS)]
+    rows = least.reshape(len(lengths), BANDS, ROWS)
+    mixed = np.array(lengths, dtype=np.uint64)[:, None] * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(ROWS):
+            mixed = (mixed ^ (mixed >> np.uint64(29)) ^ rows[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+    out["bands"] = (mixed ^ (mixed >> np.uint64(32))).view(np.int64).ravel()
     out["keys"] = out["bands"][-KEYED * BANDS :]
     if open_:
         out["ends"] = [context(words[-CONTEXT:]), context(words[-CONTEXT - 1 : -1])]
