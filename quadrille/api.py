@@ -102,15 +102,27 @@ def lexical_scorer(query_words: Column, doc_words: Column) -> Column:
 
 
 class Engine:
-    """catalog: (code, title, description, dept, number); weights: (code, global_weight) or none; scorer: reranker of word arrays."""
-
-    def __init__(self, catalog: DataFrame, weights: DataFrame | None = None, scorer: Callable[[Column, Column], Column] = lexical_scorer):
+    """catalog: (code, title, description, dept, number); weights: (code, global_weight) or none; scorer: reranker of word arrays.
+
+    vectors: (code, v) and encode, which gives the vector of a query by the same model, or none; without them the methods
+    over vectors are unknown, and the second list of the hybrid methods is keyword overlap. A code without a vector has
+    similarity 0.
+    """
+
+    def __init__(
+        self,
+        catalog: DataFrame,
+        weights: DataFrame | None = None,
+        scorer: Callable[[Column, Column], Column] = lexical_scorer,
+        vectors: DataFrame | None = None,
+        encode: Callable[[str], list[float]] | None = None,
+    ):
         self.spark = catalog.sparkSession
         base = catalog.join(weights, "code", "left") if weights is not None else catalog.withColumn("global_weight", F.lit(0.0))
         full = base.withColumn("global_weight", F.coalesce("global_weight", F.lit(0.0))).withColumn("body", T.multifield("code", "title", "description"))
         self.catalog = materialize(full, "catalog")
         self.scorer = scorer
-        self._postings: DataFrame | None = None
+        self._index: V.LexicalIndex | None = None
         self.methods: dict[str, Callable[[str, dict, Filters, int], DataFrame]] = {
             "bm25": lambda q, w, f, k: self._top(self._bm25(q).withColumnRenamed("bm25", "base"), w, f, k),
             "keyword_overlap": lambda q, w, f, k: self._top(self._overlap(q).withColumnRenamed("ko", "base"), w, f, k, plain=True),
@@ -118,8 +130,20 @@ class Engine:
             "cross_encoder_rerank": lambda q, w, f, k: self._top(self._reranked(q, w, f, "cross_encoder_pool").withColumnRenamed("ce", "base"), w, f, k, plain=True),
             "hybrid_rerank_graph": lambda q, w, f, k: self._top(self._reranked(q, w, f, "graph_rerank_pool").withColumnRenamed("ce", "base"), w, f, k),
             "hybrid_ce_rrf_fused": self._fused,
+            "fuzzy_multi": self._fuzzy,
             "filter_only": lambda q, w, f, k: self._filter_only(f, k),
         }
+        self.vectors, self.encode = None, encode
+        if vectors is not None and encode is not None:
+            unit = vectors.select("code", T.l2_normalize("v").alias("v"))
+            self.vectors = materialize(self.catalog.select("code").join(unit, "code", "left"), "vectors")
+            self.methods |= {
+                "cosine": self._boosted,
+                "dense": self._boosted,
+                "faiss": lambda q, w, f, k: self._top(self._similar(q).withColumnRenamed("sim", "base"), w, f, k, plain=True),
+                "mmr": self._mmr,
+                "graph": self._graph,
+            }
 
     def register(self, name: str, run: Callable[[str, dict, Filters, int], DataFrame]) -> None:
         self.methods[name] = run
@@ -155,12 +179,12 @@ class Engine:
         score = lexical_scorer(F.col("own"), words)
         return self._placed(rows.withColumn("score", score).where(F.col("score") > 0), k)
 
-    def explore(self, filters: Filters, core: DataFrame, depths: DataFrame, k: int = 10, temperature: float | None = None, seed: int = 7) -> DataFrame:
+    def explore(self, filters: Filters, core: DataFrame, depths: DataFrame, k: int = 10, temperature: float | None = None, seed: int = 7, weights: dict | None = None) -> DataFrame:
         """High global weight less a penalty for depth, without program core; sampled if a temperature is given."""
         depts = filters.departments or list(ENGINEERING)
         rows = self.catalog.where((F.col("dept").isin(*depts) | F.col("code").rlike("^(" + "|".join(map(re.escape, depts)) + ")")) & (F.col("number") < 600))
         rows = rows.join(core, "code", "left_anti").join(depths, "code", "left")
-        scored = rows.withColumn("score", F.col("global_weight") - WEIGHTS["explore"]["depth_penalty"] * F.coalesce("depth", F.lit(0)))
+        scored = rows.withColumn("score", F.col("global_weight") - merge_weights(weights)["explore"]["depth_penalty"] * F.coalesce("depth", F.lit(0)))
         if not temperature:
             return self._placed(scored, k)
         pool = scored.orderBy(F.desc("score"), "code").limit(3 * k)
@@ -188,25 +212,63 @@ class Engine:
         return self.spark.range(1).select(F.lit(q).alias("text"), F.lit(0).alias("q"))
 
     def _bm25(self, q: str) -> DataFrame:
-        if self._postings is None:
-            self._postings = materialize(V.term_frequencies(self.catalog, "code", "body"), "postings")
-        tf = self._postings
-        return V.bm25(V.query_terms(self._query(q), "q", "text"), tf, V.corpus_size(self.catalog, tf))
+        if self._index is None:
+            self._index = V.LexicalIndex(self.catalog, "code", "body")
+        return self._index.search(V.query_terms(self._query(q), "q", "text"))
 
     def _overlap(self, q: str) -> DataFrame:
         kw = F.array_distinct(T.keywords(F.lit(q)))
         kt, kb = F.array_distinct(T.keywords("title")), F.array_distinct(T.keywords("description"))
         total = F.size(F.array_union(kt, kb))
         score = (2 * F.size(F.array_intersect(kw, kt)) + F.size(F.array_intersect(kw, kb))) / F.sqrt(F.greatest(total, F.lit(1)))
-        return self.catalog.select(F.lit(0).alias("q"), F.col("code").alias("doc"), (score + V.title_boost(F.lit(q), F.col("title"))).alias("ko"))
+        return self.catalog.select(F.lit(0).alias("q"), F.col("code").alias("doc"), score.alias("ko"))
+
+    def _similar(self, q: str) -> DataFrame:
+        """(q, doc, sim): inner product of unit vectors, 0 for a code without one."""
+        own = F.array(*[F.lit(float(x)) for x in self.encode(q)])
+        return self.vectors.select(F.lit(0).alias("q"), F.col("code").alias("doc"), T.finite(T.dot("v", T.l2_normalize(own))).alias("sim"))
+
+    def _with_titles(self, scored: DataFrame, score: str, q: str, w: dict) -> DataFrame:
+        """scored with the boost of the title added."""
+        r = w["ranking"]
+        boost = V.title_boost(F.lit(q), F.col("title"), r["full_query_title_boost"], r["phrase_title_boost"], r["title_word_boost_per_overlap"], r["title_word_boost_cap"])
+        titles = self.catalog.select(F.col("code").alias("doc"), boost.alias("boost"))
+        return scored.join(titles, "doc").withColumn(score, F.col(score) + F.col("boost")).drop("boost")
+
+    def _boosted(self, q: str, w: dict, f: Filters, k: int) -> DataFrame:
+        """The five times k nearest by similarity and title, those below the cutoff left out, then the multipliers."""
+        near = self._with_titles(self._similar(q), "sim", q, w).join(self._eligible(f).withColumnRenamed("code", "doc"), "doc", "left_semi")
+        near = V.top(near.withColumn("r", F.round("sim", 9)), "r", 5 * k).drop("r", "rank").where(F.col("sim") >= w["ranking"]["min_similarity_cutoff"])
+        return self._top(near.withColumnRenamed("sim", "base"), w, f, k)
+
+    def _near(self, q: str, f: Filters, k: int) -> DataFrame:
+        near = self._similar(q).join(self._eligible(f).withColumnRenamed("code", "doc"), "doc", "left_semi")
+        return V.top(near.withColumn("r", F.round("sim", 9)), "r", k).drop("r", "rank")
+
+    def _mmr(self, q: str, w: dict, f: Filters, k: int) -> DataFrame:
+        picks = V.mmr(self._near(q, f, 5 * k), self.vectors.where(F.col("v").isNotNull()).withColumnRenamed("code", "id"), k)
+        rows = picks.select(F.col("doc").alias("code"), (F.lit(1.0) / F.col("pick")).alias("score")).join(self.catalog, "code")
+        return self._placed(rows, k)
+
+    def _graph(self, q: str, w: dict, f: Filters, k: int) -> DataFrame:
+        return self._top(V.star_pagerank(self._near(q, f, 100)).withColumnRenamed("mass", "base"), w, f, k, plain=True)
+
+    def _fuzzy(self, q: str, w: dict, f: Filters, k: int) -> DataFrame:
+        items = self.catalog.join(self._eligible(f), "code", "left_semi").select(F.col("code").alias("doc"), "title", "description", F.col("code"))
+        best = V.fuzzy_top(self._query(q).select(F.col("q").cast("bigint").alias("q"), "text"), items, ("title", "description", "code"), k)
+        return self._top(best.withColumnRenamed("score", "base").drop("rank"), w, f, k, plain=True)
 
     def _pool(self, q: str, w: dict, f: Filters) -> DataFrame:
-        """Ranks are over the whole catalog; the filters cut only afterwards."""
+        """Ranks are over the whole catalog; the filters and the cutoff, on similarity with the title, cut only afterwards."""
         h = w["hybrid"]
-        o = self._overlap(q)
-        lists = [(V.corpus_rank(self._bm25(q), "bm25"), h["rrf_weight_lexical"]), (V.corpus_rank(o, "ko"), h["rrf_weight_dense"])]
-        fusion = V.rrf(lists, h["rrf_k"]).join(self._eligible(f).withColumnRenamed("code", "doc"), "doc", "left_semi")
-        kept = fusion.join(o, ["q", "doc"], "left").withColumn("retrieval", F.coalesce("ko", F.lit(0.0))).drop("ko")
+        second = self._similar(q) if self.vectors is not None else self._overlap(q).withColumnRenamed("ko", "sim")
+        both = materialize(second.join(self._bm25(q), ["q", "doc"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))), "scored")
+        ranked = V.corpus_rank(V.corpus_rank(both, "bm25").withColumnRenamed("rank", "lexical"), "sim")
+        fusion = h["rrf_weight_lexical"] / (h["rrf_k"] + F.col("lexical")) + h["rrf_weight_dense"] / (h["rrf_k"] + F.col("rank"))
+        kept = self._with_titles(ranked.select("q", "doc", fusion.alias("rrf"), F.col("sim").alias("retrieval")), "retrieval", q, w)
+        kept = kept.join(self._eligible(f).withColumnRenamed("code", "doc"), "doc", "left_semi")
+        if self.vectors is not None:
+            kept = kept.where(F.col("retrieval") >= w["ranking"]["min_similarity_cutoff"])
         return V.top(kept.withColumn("r", F.round("rrf", 9)), "r", int(h["retrieval_k"])).drop("r")
 
     def _reranked(self, q: str, w: dict, f: Filters, size: str) -> DataFrame:

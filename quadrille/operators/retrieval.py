@@ -145,15 +145,15 @@ def corpus_rank(scored: DataFrame, score: str) -> DataFrame:
     return out.withColumn("rank", (F.col("own") + F.col("before")).cast("int")).drop("oq", "op", "part", "own", "before")
 
 
-def title_boost(query: Column | str, title: Column | str) -> Column:
+def title_boost(query: Column | str, title: Column | str, full_boost: float = FULL_BOOST, phrase_boost: float = PHRASE_BOOST, word_boost: float = WORD_BOOST, word_cap: float = WORD_CAP) -> Column:
     """Boost of a title that holds the whole query, its phrases, or its content words; 0 for a null title."""
     q, t = F.lower(F.trim(query)), F.lower(F.coalesce(title, F.lit("")))
-    full = F.when((q != "") & F.contains(t, q), FULL_BOOST).otherwise(0.0)
+    full = F.when((q != "") & F.contains(t, q), full_boost).otherwise(0.0)
     phrases = F.size(F.filter(T.query_phrases(query), lambda p: (F.length(p) > 1) & F.contains(t, p)))
     wanted = T.content_words(query)
     shared = F.size(F.array_intersect(wanted, T.tokenize(title)))
-    words = F.when(F.size(wanted) > 0, F.least(F.lit(WORD_CAP), WORD_BOOST * shared * shared / F.size(wanted))).otherwise(0.0)
-    return F.when(t != "", full + PHRASE_BOOST * phrases + words).otherwise(0.0)
+    words = F.when(F.size(wanted) > 0, F.least(F.lit(word_cap), word_boost * shared * shared / F.size(wanted))).otherwise(0.0)
+    return F.when(t != "", full + phrase_boost * phrases + words).otherwise(0.0)
 
 
 def top(df: DataFrame, score: str, k: int, key: str = "doc", group: str = "q") -> DataFrame:
@@ -181,6 +181,10 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, include_self: boo
     return top(out.withColumn("r", F.round("sim", 9)), "r", k).drop("r")
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = 1
@@ -252,7 +256,7 @@ def mmr(pool: DataFrame, vectors: DataFrame, k: int = 10, trade: float = 0.7) ->
             best = sims if n == 0 else np.maximum(best, sims)
         return pd.DataFrame({"q": g["q"].iloc[out].to_numpy(), "doc": g["doc"].iloc[out].to_numpy(), "pick": range(1, len(out) + 1)})
 
-    return rows.groupBy("q").applyInPandas(pick, "q bigint, doc bigint, pick int")
+    return rows.groupBy("q").applyInPandas(pick, f"q bigint, doc {_kind(pool, 'doc')}, pick int")
 
 
 def similarity_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -279,10 +283,10 @@ def fuzzy_top(queries: DataFrame, items: DataFrame, fields: tuple[str, str, str]
     rows = queries.select("q", "text").toLocalIterator()
     spark, out = items.sparkSession, None
     while block := [(r["q"], (r["text"] or "").lower()) for r in itertools.islice(rows, BLOCK_QUERIES)]:
-        part = items.select("doc", *fields).mapInPandas(_fuzzy(spark.sparkContext.broadcast(block), fields, k), "q bigint, doc bigint, score double")
+        part = items.select("doc", *fields).mapInPandas(_fuzzy(spark.sparkContext.broadcast(block), fields, k), f"q bigint, doc {_kind(items, 'doc')}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "q bigint, doc bigint, score double, rank int")
+        return spark.createDataFrame([], f"q bigint, doc {_kind(items, 'doc')}, score double, rank int")
     return top(out.withColumn("r", F.round("score", 9)), "r", k).drop("r")
 
 

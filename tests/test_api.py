@@ -41,6 +41,24 @@ def test_every_method_ranks(engine):
         engine.recommend(["x"], "nosuch")
 
 
+def test_methods_over_vectors(spark):
+    """Similarity to a toy encoder of three words; every method ranks, weights act, and the cutoff and missing vectors hold."""
+    from quadrille.operators.catalog import catalog
+
+    encode = lambda q: [float(w in q.lower()) for w in ("wave", "ice", "data")]
+    raw = spark.createDataFrame([(i, c, t, d, None) for i, (c, t, d, _) in enumerate(ROWS)], "row_id bigint, course_code string, title string, description string, loaded_at timestamp")
+    vectors = spark.createDataFrame([(c, encode(f"{t} {d}")) for c, t, d, _ in ROWS if c != "MSE331"], "code string, v array<double>")
+    e = Engine(catalog(raw), None, vectors=vectors, encode=encode)
+    everything = Filters(include_grad=True)
+    for m in ("cosine", "dense", "faiss", "mmr", "graph", "fuzzy_multi", "hybrid_bm25_dense", "hybrid_ce_rrf_fused", "hybrid_rerank_graph"):
+        got = codes(e.recommend(["ice"], m, everything)["ice"])
+        assert got[0] in ("GLAC101", "GLAC650"), (m, got)
+    assert set(codes(e.recommend(["ice"], "cosine", everything)["ice"])) == {"GLAC101", "GLAC650"}
+    low = {"ranking": {"min_similarity_cutoff": -1, "full_query_title_boost": 0, "title_word_boost_per_overlap": 0, "phrase_title_boost": 0}}
+    rows = e.recommend(["ice"], "cosine", everything, low)["ice"].collect()
+    assert len(rows) == len(ROWS) and {r["code"]: r["score"] for r in rows}["MSE331"] == 0 and rows[0]["score"] == rows[1]["score"] == 1.0
+
+
 def test_lookups_and_filters(engine):
     out = engine.recommend(["msci 331", "250", "", "msci 331"])
     assert list(out) == ["msci 331", "250", ""]
