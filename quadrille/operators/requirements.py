@@ -43,6 +43,18 @@ def eligibility(nodes: DataFrame, completed: DataFrame, roots: DataFrame) -> Dat
     return roots.join(top, "key", "left").select("key", F.coalesce(all_, F.lit(True)).alias("eligible"))
 
 
+def option_trees(nodes: DataFrame, completed: DataFrame) -> DataFrame:
+    """(key, eligible): whether the completed codes meet each option's tree of AND and OR nodes over courses.
+
+    nodes: (key, node_path, parent_path, kind, quantity, code) with kind AND, OR or course; an OR node needs quantity of its
+    children, or all of them where it names none; an option needs all of its outermost nodes.
+    """
+    some = (F.col("kind") == "OR") & F.col("quantity").isNotNull()
+    group = F.col("kind").isin("AND", "OR")
+    named = nodes.withColumn("operator", F.when(some, "OR").otherwise("AND")).withColumn("kind", F.when(group, "prerequisite_group").otherwise(F.col("kind")))
+    return eligibility(named, completed, nodes.select("key", F.lit("AND").alias("operator")).distinct())
+
+
 def option_progress(lists: DataFrame, completed: DataFrame) -> DataFrame:
     """(option_name, list_name, required, completed, satisfied, remaining) of each list of each option.
 

@@ -96,6 +96,14 @@ def windowed_counts(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n", F.round("total", 4).alias("total"))
 
 
+@R.query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id AS "user", min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM n GROUP BY user_id, k""")
+def user_sessions(spark, d):
+    out = jobs.sessions(table(spark, d, "events"), "ts", "user_id")
+    return out.select("user", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
 @R.query("""SELECT event_id, json_extract(props, '$.k')::INTEGER AS k FROM events""")
 def event_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))

@@ -37,6 +37,17 @@ def test_eligibility_of_random_trees(spark):
         assert got[i] == (True if not each else all(each) if r["root_operator"] == "AND" else any(each)), (i, r)
 
 
+def test_option_trees(spark):
+    rows = [
+        ("a", "0", None, "OR", 2, None), ("a", "0.0", "0", "course", None, "CS1"), ("a", "0.1", "0", "course", None, "CS2"), ("a", "0.2", "0", "course", None, "CS9"),
+        ("b", "0", None, "OR", None, None), ("b", "0.0", "0", "course", None, "CS1"), ("b", "0.1", "0", "course", None, "CS9"),
+        ("c", "0", None, "AND", None, None), ("c", "0.0", "0", "OR", 1, None), ("c", "0.0.0", "0.0", "course", None, "CS9"), ("c", "0.0.1", "0.0", "course", None, "CS2"), ("c", "0.1", "0", "course", None, "CS1"),
+    ]
+    nodes = spark.createDataFrame(rows, "key string, node_path string, parent_path string, kind string, quantity int, code string")
+    done = spark.createDataFrame([("CS1",), ("CS2",)], "code string")
+    assert {r["key"]: r["eligible"] for r in requirements.option_trees(nodes, done).collect()} == {"a": True, "b": False, "c": True}
+
+
 def test_boost_tiers(spark):
     rows = [("O", "done", "A"), ("O", "near", "B"), ("O", "near", "C"), ("P", "done", "A"), ("P", "l1", "B"), ("P", "l2", "D"), ("P", "l2", "E"), ("P", "l2", "F"), ("Q", "none", "Z"), ("O", "near", "C")]
     lists = spark.createDataFrame(rows, "option_name string, list_name string, code string")
