@@ -16,6 +16,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -164,6 +165,19 @@ def may_extend(item: list[str], words: list[str], diagonal: int, start: int, sto
     return least <= size // SHOWN_ALLOWED + 1
 
 
+def reach(item: list[str], words: list[str], diagonal: int, start: int, stop: int) -> tuple[int, int]:
+    """The part of an item that a leak around the run from start to stop can lie in.
+
+    A leak has at least SHOWN_ALLOWED - 1 words that stand in the text for each that doesn't, so where the words to one side
+    of the run are short of that by more than the run and the best of the other side make up for, it ends before.
+    """
+    near_by = set(words[max(0, diagonal - BAND) : max(0, len(item) + diagonal + BAND)])
+    sums = [list(accumulate(1 if x in near_by else 1 - SHOWN_ALLOWED for x in part)) for part in (reversed(item[:start]), item[stop:])]
+    most = [max(0, max(s, default=0)) for s in sums]
+    left, right = (max((n for n, s in enumerate(own, 1) if s >= start - stop - other), default=0) for own, other in zip(sums, reversed(most)))
+    return start - left, stop + right
+
+
 def gram_hashes(words: list[str], n: int) -> np.ndarray:
     """A hash of each run of n words, by its place."""
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
@@ -192,18 +206,19 @@ def best_passage(item: list[str], words: list[str], seeds: list[tuple[int, int]]
         if is_leak(stop - start, 0, len(item)):
             found = (2 * (stop - start), stop - start, 0)
         elif stop > done and may_extend(item, words, diagonal, start, stop):
-            found, done = _leak_behind(item, words, diagonal, done, start, vocabulary)
+            low, high = reach(item, words, diagonal, start, stop)
+            found, done = _leak_behind(item, words, diagonal, max(low, done), high, start, vocabulary)
         best = max(filter(None, (best, found)), default=None)
         start = following[1]
     return best and best[1:]
 
 
 def _leak_behind(
-    item: list[str], words: list[str], diagonal: int, done: int, run: int, vocabulary: set[str]
+    item: list[str], words: list[str], diagonal: int, low: int, high: int, run: int, vocabulary: set[str]
 ) -> tuple[tuple[int, int, int] | None, int]:
-    """The best leak of the alignments behind the place done, up to the one that holds the run or lies behind it; and where that ends."""
-    todo, best = [(done, len(item))], None
-    stop = done
+    """The best leak of the alignments from low to high, up to the one that holds the run or lies behind it; and where that ends."""
+    todo, best = [(low, high)], None
+    stop = low
     while todo:
         lo, hi = todo.pop()
         score, a, b, edits = align_path(item[lo:hi], words, diagonal + lo)
