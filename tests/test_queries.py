@@ -13,6 +13,9 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
+#: How many rows a query asks with, where small tables may hold none.
+ASKED = {"fuzzy": "SELECT count(*) FROM documents WHERE source = 'search_log' AND text IS NOT NULL AND doc_id % 100 = 0"}
+
 
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
@@ -30,7 +33,8 @@ def test_against_sql(spark, name):
 def test_runs(spark, name):
     """Their rows are held against brute force in the tests of their operators."""
     df = QUERIES[name](spark, SF)
-    assert df.collect() and len(set(df.columns)) == len(df.columns)
+    some = duck(SF).execute(ASKED[name]).fetchone()[0] if name in ASKED else True
+    assert bool(df.collect()) == bool(some) and len(set(df.columns)) == len(df.columns)
 
 
 def test_partitions_do_not_matter(spark):
