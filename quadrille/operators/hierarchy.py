@@ -17,7 +17,7 @@ from quadrille.functions.codes import normalize_code
 from quadrille.runtime import materialize, materialize_counted, release
 
 #: One node in so many is a splitter.
-SPLIT_ONE_IN = 16
+SPLIT_ONE_IN = 8
 
 
 def clean_edges(links: DataFrame, parent: str, child: str) -> DataFrame:
