@@ -61,7 +61,7 @@ def orphan_references(prereqs: DataFrame, antireqs: DataFrame, filters: DataFram
     open_ = refs.join(shared, "code", "left_anti")
     lives = courses.select(normalize_code("course_code").alias("code"), F.col("added_at").alias("born"), F.col("deleted_at").alias("died"))
     lives = lives.where(F.col("code") != "")
-    keys = open_.select("code", "t").distinct()
+    keys = materialize(open_.select("code", "t").distinct(), "keys")
     orphans = keys.join(alive_keys(keys.where(F.col("t").isNotNull()), lives), ["code", "t"], "left_anti")
     key = orphans.select(F.col("code").alias("k"), F.col("t").alias("at"))
     return open_.join(key, (F.col("code") == F.col("k")) & F.col("t").eqNullSafe(F.col("at")), "left_semi")
