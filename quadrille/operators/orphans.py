@@ -36,10 +36,9 @@ def alive_keys(keys: DataFrame, lives: DataFrame) -> DataFrame:
     births = lives.select("code", F.col("born").alias("t"), F.lit(1).alias("delta"), F.lit(0).alias("asked"))
     deaths = lives.where(F.col("died").isNotNull()).select("code", F.col("died").alias("t"), F.lit(-1).alias("delta"), F.lit(0).alias("asked"))
     asks = keys.select("code", "t", F.lit(0).alias("delta"), F.lit(1).alias("asked"))
-    every = births.unionByName(deaths).unionByName(asks)
-    minute, day = F.date_trunc("minute", "t"), F.date_trunc("day", "minute")
-    points = every.groupBy("code", minute.alias("minute"), "t").agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked"))
-    minutes = every.groupBy("code", minute.alias("minute")).agg(F.sum("delta").alias("x")).withColumn("day", day)
+    every = births.unionByName(deaths).unionByName(asks).withColumn("minute", F.date_trunc("minute", "t")).repartition("code", "minute")
+    points = every.groupBy("code", "minute", "t").agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked"))
+    minutes = every.groupBy("code", "minute").agg(F.sum("delta").alias("x")).withColumn("day", F.date_trunc("day", "minute"))
     earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda *keys: F.coalesce(F.sum("x").over(earlier(*keys)), F.lit(0))
     days = minutes.groupBy("code", "day").agg(F.sum("x").alias("x")).select("code", "day", before("code", "day").alias("days"))
