@@ -12,7 +12,7 @@ from quadrille.operators import evaluation as E
 from quadrille.operators import retrieval as V
 from quadrille.plans import catalog_queries
 from quadrille.plans.registry import Registry, sql_list
-from quadrille.runtime import balanced, broadcast_if_small, materialize, spread, table
+from quadrille.runtime import against_all, balanced, broadcast_if_small, materialize, spread, table
 
 R = Registry()
 K = 20
@@ -105,7 +105,7 @@ def _overlap(spark, d):
     docs = balanced(table(spark, d, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("doc"), F.array_distinct(T.keywords(_title())).alias("kt"), F.array_distinct(T.keywords("text")).alias("kb")
     )
-    both = docs.join(broadcast_if_small(q, 4096))
+    both = against_all(docs, q, 4096)
     total = F.size(F.array_union("kt", "kb"))
     score = (2 * F.size(F.array_intersect("kw", "kt")) + F.size(F.array_intersect("kw", "kb"))) / F.sqrt(total)
     return both.where(total > 0).select("q", "doc", score.alias("ko"))
@@ -202,7 +202,7 @@ def title_boost_all(spark, d):
 def _boosts(spark, documents, d):
     q = _queries(spark, d).select(F.col("item_id").alias("q"), F.col("text").alias("qt"))
     docs = balanced(documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), _title().alias("t")))
-    both = docs.where(F.col("t") != "").join(broadcast_if_small(q, 4096))
+    both = against_all(docs.where(F.col("t") != ""), q, 4096)
     return both.select("q", "doc", F.round(V.title_boost(F.col("qt"), F.col("t")), 6).alias("boost"))
 
 
@@ -281,7 +281,8 @@ def _lists(spark, d, k=15):
     n = v.count()
     near = V.vector_top(_vectors(spark, d).where(F.col("id") % 100 == 0), _vectors(spark, d), max(n, 1)) if k is None else _nearest(spark, d, k)
     q = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q"))
-    firsts = v.select(F.col("vec_id").alias("doc"), F.element_at("embedding", 1).cast("double").alias("first")).join(broadcast_if_small(q, 4096))
+    firsts = v.select(F.col("vec_id").alias("doc"), F.element_at("embedding", 1).cast("double").alias("first"))
+    firsts = against_all(firsts, q, 4096)
     w = Window.partitionBy("q").orderBy(F.desc("first"), "doc")
     other = firsts.where(F.col("doc") != F.col("q")).withColumn("rank", F.row_number().over(w))
     other = other if k is None else other.where(F.col("rank") <= k)
@@ -292,7 +293,7 @@ def _qrels(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "label")
     q = v.where(F.col("doc") % 100 == 0).select(F.col("doc").alias("q"), F.col("label").alias("ql"))
     grade = F.when(F.col("label") == F.col("ql"), 2.0).when(F.col("label") == F.col("ql") + 1, 1.0)
-    return v.join(broadcast_if_small(q, 4096)).where(F.col("doc") != F.col("q")).select("q", "doc", grade.alias("grade")).where(F.col("grade").isNotNull())
+    return against_all(v, q, 4096).where(F.col("doc") != F.col("q")).select("q", "doc", grade.alias("grade")).where(F.col("grade").isNotNull())
 
 
 _EVAL = f"""{_VEC}, lists AS (SELECT 'cosine' AS method, q, doc, rank, ql, dl FROM cos WHERE rank <= 15 UNION ALL SELECT 'first', q, doc, rank, ql, dl FROM fst WHERE rank <= 15),
@@ -441,7 +442,7 @@ def lex_cov(spark, d):
     q = _queries(spark, d).select(F.col("item_id").alias("q"), T.eval_tokens("text").alias("w"))
     docs = table(spark, d, "documents").select("source", T.eval_tokens("text").alias("dw"))
     c = F.size(F.array_intersect("w", "dw")) / (F.sqrt(F.size("w").cast("double")) + 1e-9)
-    return docs.join(broadcast_if_small(q, 4096)).groupBy("q", "source").agg(F.round(F.avg(c), 6).alias("coverage"))
+    return against_all(docs, q, 4096).groupBy("q", "source").agg(F.round(F.avg(c), 6).alias("coverage"))
 
 
 @R.query("""WITH t AS (SELECT event_type, avg(value) AS score, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1), b AS (SELECT score AS bs, p95 AS bp FROM t WHERE event_type = 'click')

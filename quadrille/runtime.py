@@ -89,6 +89,23 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int | None = None)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def against_all(rows: DataFrame, queries: DataFrame, row_bytes: int) -> DataFrame:
+    """Every row joined to every row of a stated query set, which is sent to the rows in blocks below BROADCAST_BYTES.
+
+    Blocks are cut by a hash at half that size, so that none is too large by chance; repeated queries stay together.
+    """
+    most = max(BROADCAST_BYTES // row_bytes, 1)
+    if queries.limit(most + 1).count() <= most:
+        return rows.crossJoin(F.broadcast(queries))
+    n = -(-2 * queries.count() // most)
+    block = F.pmod(F.xxhash64(*queries.columns), F.lit(n))
+    out = None
+    for i in range(n):
+        part = rows.crossJoin(F.broadcast(queries.where(block == i)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

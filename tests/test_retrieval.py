@@ -52,3 +52,12 @@ def test_title_boost_all_scores_every_source(spark, tmp_path):
     spark.createDataFrame([(100, "tidal wake"), (101, "rain")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r["q"], r["doc"]): r["boost"] for r in Q.title_boost_all(spark, str(tmp_path)).collect()}
     assert got == {(100, 1): 1.14, (100, 2): 0.0, (100, 3): 0.11}
+
+
+def test_blocks_of_queries_meet_every_row(spark, monkeypatch):
+    from quadrille import runtime
+
+    rows, queries = spark.range(5).toDF("doc"), spark.range(40).selectExpr("id % 13 AS q")
+    whole = sorted(map(tuple, runtime.against_all(rows, queries, 16).collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 100)
+    assert sorted(map(tuple, runtime.against_all(rows, queries, 16).collect())) == whole and len(whole) == 200
